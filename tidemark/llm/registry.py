@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.codec import encode_decode
 from tidemark.llm.common import table, tune
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packed_ids import read_ids, write_ids
 from tidemark.llm.token_count import token_counts
 
@@ -47,3 +48,8 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
     return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
