@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.codec import encode_decode
-from tidemark.llm.common import table, tune
+from tidemark.llm.common import fold_column, table, tune
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packed_ids import read_ids, write_ids
+from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_count import token_counts
+from tidemark.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+KEEP_SCORE = 0.3
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -33,6 +36,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+@query
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (fold_column("doc_id") == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -50,6 +65,30 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 @query
 def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+#: Every pair of equal label, in double precision; components by the least reachable id.
+ORACLES["op8_embedding_groups"] = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as e from embeddings
+), w as (
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from v where label is not null and e is not null
+), p as (
+  select a.vec_id as a, b.vec_id as b from w a join w b on a.label = b.label and a.vec_id <> b.vec_id
+  where a.n > 0 and b.n > 0 and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93
+), r(id, c) as (
+  select vec_id, vec_id from embeddings
+  union
+  select p.b, r.c from r join p on p.a = r.id where r.c < p.b
+)
+select e.vec_id, (select count(*) from p where p.a = e.vec_id) as n_links, m.c as component_id, e.vec_id = m.c as kept
+from embeddings e join (select id, min(c) as c from r group by id) m on m.id = e.vec_id
+"""
