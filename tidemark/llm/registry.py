@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.codec import encode_decode
 from tidemark.llm.common import fold_column, table, tune
+from tidemark.llm.decontaminate import find_items
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.packed_ids import read_ids, write_ids
+from tidemark.llm.pii import KINDS, find_personal_data, joined
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_count import token_counts
 from tidemark.llm.vectors import near_vectors
@@ -36,6 +38,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+@query
+def op4_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,6 +77,21 @@ def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email and so on count base spans; n_added counts those that the method adds."""
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
 @query
 def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)

@@ -33,6 +33,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _WRAP(31))
 
 
+_WORD = np.zeros(256, np.int8)
+_WORD[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = 1
+
+
+def bare_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, byte starts and byte ends of runs of letters, digits and characters beyond ASCII, in lower case."""
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    word = np.zeros(len(data) + 2, np.int8)
+    word[1:-1] = _WORD[data]
+    step = np.diff(word)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    return span_hashes(data, starts, ends), starts, ends
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of the words between ASCII white space."""
     word = np.zeros(len(data) + 2, np.int8)
