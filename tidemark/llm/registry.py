@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.chat import format_conversations, read_back
 from tidemark.llm.codec import encode_decode
 from tidemark.llm.common import fold_column, table, tune
 from tidemark.llm.decontaminate import find_items
@@ -16,6 +17,7 @@ from tidemark.llm.packed_ids import read_ids, write_ids
 from tidemark.llm.pii import KINDS, find_personal_data, joined
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_count import token_counts
+from tidemark.llm.urls import Rule, judge_urls
 from tidemark.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     QUERIES[fn.__name__] = run
     return fn
 
+RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    tokenizer = public_tokenizers.path(BYTE_BPE)
+    return read_back(format_conversations(rows.union(more), tokenizer), tokenizer)
+
+
+@query
+def op2_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
 
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +101,16 @@ def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 @query
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_email and so on count base spans; n_added counts those that the method adds."""
     found = find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter(base, _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(
         "doc_id",
         *counts,
