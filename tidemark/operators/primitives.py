@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tidemark.sources.store import cut
+
 
 def ratio(top: Column, bottom: Column) -> Column:
     """top / bottom in double precision; null where bottom is 0."""
@@ -26,6 +28,31 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k:
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
 
 
+def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Row numbers over all rows in a total order, without bringing them into one task.
+
+    Rows are dealt by ranges of the order and written; numbers within a range plus the sizes of those before give the
+    place. The sizes are one row a range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_w", within).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_w") + F.col("_before")).drop("_range", "_w", "_before")
+
+
+def global_ntile(df: DataFrame, order: Sequence[str], tiles: int, name: str = "tile") -> DataFrame:
+    """ntile over all rows in a total order: the first (count mod tiles) tiles get one row more."""
+    numbered = cut(global_row_number(df, order, "_k"))
+    total = numbered.agg(F.count(F.lit(1)).alias("_total"))
+    small, more, k = F.expr(f"_total div {tiles}"), F.col("_total") % tiles, F.col("_k") - 1
+    large = more * (small + 1)
+    place = F.when(k < large, F.floor(k / (small + 1))).otherwise(more + F.floor((k - large) / F.greatest(small, F.lit(1))))
+    return numbered.crossJoin(F.broadcast(total)).withColumn(name, (place + 1).cast("bigint")).drop("_k", "_total")
+
+
 def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, left_first: bool) -> tuple[DataFrame, list]:
     """Both sides in one stream by key and time: no join, one shuffle by key."""
     names = [c for c in left.columns if c not in keys and c != "_t"]
