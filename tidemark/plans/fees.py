@@ -11,7 +11,6 @@ from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills
 
-ONE = F.lit(1)
 
 
 @query(fills_sql("""select category, count(*) as n, round(median(r), 8) as median, round(quantile_cont(r, 0.9), 8) as p90, round(quantile_cont(r, 0.99), 8) as p99, round(avg(case when r > 0.06 then 1 else 0 end), 8) as above
@@ -21,7 +20,7 @@ def fee_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = ratio(F.col("fee"), F.col("pc") * (100 - F.col("pc")) * F.col("q") * 100)
     paid = fills(spark, sf_dir).where("fee > 0").withColumn("r", rate)
     q = [F.round(F.percentile("r", F.lit(p)), 8).alias(f"p{round(p * 100)}") for p in (0.9, 0.99)]
-    return paid.groupBy("category").agg(F.count(ONE).alias("n"), F.round(F.median("r"), 8).alias("median"), *q, F.round(F.avg((F.col("r") > 0.06).cast("int")), 8).alias("above"))
+    return paid.groupBy("category").agg(F.count("*").alias("n"), F.round(F.median("r"), 8).alias("median"), *q, F.round(F.avg((F.col("r") > 0.06).cast("int")), 8).alias("above"))
 
 
 _SHARE = "round(cast(sum(fee) as double) / (sum(cents) * 10000), 8) as fee_share"
@@ -35,15 +34,15 @@ def _fee_share():
 def incidence_size_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = fills(spark, sf_dir).where("fee_paying")
     ranked = global_ntile(paid.select("cents", "tx_hash", "evt_index", "fee"), ["cents", "tx_hash", "evt_index"], 10, "decile")
-    return ranked.groupBy("decile").agg(F.count(ONE).alias("n"), F.sum("fee").alias("fee"), _fee_share())
+    return ranked.groupBy("decile").agg(F.count("*").alias("n"), F.sum("fee").alias("fee"), _fee_share())
 
 
 @query(fills_sql(f"select case when pc < 20 then 'longshot' when pc <= 80 then 'middle' else 'favourite' end as band, count(*) as n, {_SHARE}, round(sum(case when pc < 20 then cents else 0 end)::double / (select sum(cents) from f where fee_paying), 8) as longshot from f where fee_paying group by 1"))
 def incidence_price_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = fills(spark, sf_dir).where("fee_paying")
     band = F.when(F.col("pc") < 20, "longshot").when(F.col("pc") <= 80, "middle").otherwise("favourite")
-    grouped = paid.groupBy(band.alias("band")).agg(F.count(ONE).alias("n"), _fee_share(), F.sum(F.when(F.col("pc") < 20, F.col("cents")).otherwise(0)).alias("l"), F.sum("cents").alias("c"))
-    return grouped.select("band", "n", "fee_share", F.round(ratio(F.col("l"), F.sum("c").over(Window.partitionBy(ONE))), 8).alias("longshot"))
+    grouped = paid.groupBy(band.alias("band")).agg(F.count("*").alias("n"), _fee_share(), F.sum(F.when(F.col("pc") < 20, F.col("cents")).otherwise(0)).alias("l"), F.sum("cents").alias("c"))
+    return grouped.select("band", "n", "fee_share", F.round(ratio(F.col("l"), F.sum("c").over(Window.partitionBy(F.lit(1)))), 8).alias("longshot"))
 
 
 @query(fills_sql(f"select bucket, count(*) as n, {_SHARE} from (select f.*, (cents > e[1])::int + (cents > e[2])::int + (cents > e[3])::int as bucket from f, (select quantile_cont(cents, [0.25, 0.5, 0.75]) as e from f where fee_paying) where fee_paying) group by 1"))
@@ -52,7 +51,7 @@ def incidence_quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     paid = fills(spark, sf_dir).where("fee_paying")
     edges = paid.agg(F.percentile("cents", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
     bucket = sum(((F.col("cents") > F.col("e")[k]).cast("int") for k in range(3)), F.lit(0))
-    return paid.crossJoin(F.broadcast(edges)).groupBy(bucket.alias("bucket")).agg(F.count(ONE).alias("n"), _fee_share())
+    return paid.crossJoin(F.broadcast(edges)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), _fee_share())
 
 
 @query(fills_sql(f"""select month, count(*) as fills, cast(sum(cents) as bigint) as notional, {_SHARE}, round(median(cents), 4) as median_size, round(avg(case when cents < 500 then 1 else 0 end), 8) as small, count(distinct taker) as wallets, count(distinct case when month = first_month then taker end) as new_wallets
@@ -62,7 +61,7 @@ def monthly_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = tape.groupBy("taker").agg(F.min("month").alias("first_month"))
     both = tape.join(first, "taker")
     return both.groupBy("month").agg(
-        F.count(ONE).alias("fills"), F.sum("cents").alias("notional"), _fee_share(), F.round(F.median("cents"), 4).alias("median_size"),
+        F.count("*").alias("fills"), F.sum("cents").alias("notional"), _fee_share(), F.round(F.median("cents"), 4).alias("median_size"),
         F.round(F.avg((F.col("cents") < 500).cast("int")), 8).alias("small"), F.countDistinct("taker").alias("wallets"),
         F.countDistinct(F.when(F.col("month") == F.col("first_month"), F.col("taker"))).alias("new_wallets"),
     )
@@ -71,7 +70,7 @@ def monthly_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fills_sql("select taker, condition_id, sec, side, count(*) as n, cast(sum(q) as bigint) as q, cast(sum(cents) as bigint) as cents, round(sum(cents)::double / sum(q), 8) as vwap, cast(sum(fee) as bigint) as fee from f group by 1, 2, 3, 4"))
 def order_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(spark, sf_dir).groupBy("taker", "condition_id", "sec", "side").agg(
-        F.count(ONE).alias("n"), F.sum("q").alias("q"), F.sum("cents").alias("cents"), F.round(ratio(F.sum("cents"), F.sum("q")), 8).alias("vwap"), F.sum("fee").alias("fee")
+        F.count("*").alias("n"), F.sum("q").alias("q"), F.sum("cents").alias("cents"), F.round(ratio(F.sum("cents"), F.sum("q")), 8).alias("vwap"), F.sum("fee").alias("fee")
     )
 
 
@@ -105,17 +104,17 @@ def spread_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fills_sql("""select month, count(*) as builders, round(sum(power(n / tot, 2)), 8) as hhi, round(sum(case when r <= 2 then n else 0 end) / max(tot), 8) as top2 from (
  select month, builder, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by month) as double) as tot, row_number() over (partition by month order by count(*) desc, builder) as r from f group by 1, 2) group by 1"""))
 def builder_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = fills(spark, sf_dir).groupBy("month", "builder").agg(F.count(ONE).alias("n"))
+    n = fills(spark, sf_dir).groupBy("month", "builder").agg(F.count("*").alias("n"))
     w = Window.partitionBy("month")
     n = n.withColumns({"tot": F.sum("n").over(w), "r": F.row_number().over(w.orderBy(F.col("n").desc(), "builder"))})
     s = F.col("n") / F.col("tot")
-    return n.groupBy("month").agg(F.count(ONE).alias("builders"), F.round(F.sum(s * s), 8).alias("hhi"), F.round(ratio(F.sum(F.when(F.col("r") <= 2, F.col("n")).otherwise(0)), F.max("tot")), 8).alias("top2"))
+    return n.groupBy("month").agg(F.count("*").alias("builders"), F.round(F.sum(s * s), 8).alias("hhi"), F.round(ratio(F.sum(F.when(F.col("r") <= 2, F.col("n")).otherwise(0)), F.max("tot")), 8).alias("top2"))
 
 
 @query(fills_sql(f"select condition_id, day, count(*) as n, cast(sum(cents) as bigint) as notional, count(distinct taker) as takers, count(distinct maker) as makers, min(pc) as low, max(pc) as high, {_SHARE} from f group by 1, 2"))
 def market_day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(spark, sf_dir).groupBy("condition_id", "day").agg(
-        F.count(ONE).alias("n"), F.sum("cents").alias("notional"), F.countDistinct("taker").alias("takers"), F.countDistinct("maker").alias("makers"), F.min("pc").alias("low"), F.max("pc").alias("high"), _fee_share()
+        F.count("*").alias("n"), F.sum("cents").alias("notional"), F.countDistinct("taker").alias("takers"), F.countDistinct("maker").alias("makers"), F.min("pc").alias("low"), F.max("pc").alias("high"), _fee_share()
     )
 
 
@@ -123,7 +122,7 @@ def market_day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
  from (select category, month, count(*) as n, cast(sum(cents) as bigint) as cents, min(case when cast(sum(fee) as double) / (sum(cents) * 10000) >= 0.01 then month end) over (partition by category) as start from f group by 1, 2)"""))
 def class_month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class by month with months since fees first reached 1 % of notional."""
-    cell = fills(spark, sf_dir).groupBy("category", "month").agg(F.count(ONE).alias("n"), F.sum("cents").alias("cents"), F.sum("fee").alias("fee"))
+    cell = fills(spark, sf_dir).groupBy("category", "month").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.sum("fee").alias("fee"))
     paid = ratio(F.col("fee"), F.col("cents") * 10000) >= 0.01
     cell = cell.withColumn("start", F.min(F.when(paid, F.col("month"))).over(Window.partitionBy("category")))
     return cell.select("category", "month", "n", "cents", F.round(ratio(F.col("cents"), F.col("n")), 6).alias("mean_order"), (F.col("month") - F.col("start")).alias("since"), F.coalesce(F.col("month") >= F.col("start"), F.lit(False)).alias("post"))
@@ -142,4 +141,4 @@ def incidence_tenure_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = tape.groupBy("taker").agg(F.min("day").alias("d0"))
     tenure = F.when(F.col("day") - F.col("d0") < 365, "new").otherwise("old").alias("tenure")
     size = F.when(F.col("cents") < 500, "s").when(F.col("cents") < 2000, "m").otherwise("l").alias("size")
-    return tape.join(first, "taker").groupBy(tenure, size).agg(F.count(ONE).alias("n"), _fee_share(), F.round(F.avg((F.col("fee") == 0).cast("int")), 8).alias("exempt"))
+    return tape.join(first, "taker").groupBy(tenure, size).agg(F.count("*").alias("n"), _fee_share(), F.round(F.avg((F.col("fee") == 0).cast("int")), 8).alias("exempt"))

@@ -12,14 +12,13 @@ from tidemark.plans.base_sql import fills_sql, raw_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills, markets, raw_fills, table
 
-ONE = F.lit(1)
 
 
 @query(fills_sql("select family, count(*) as members, count(*) filter (where winner = 0) as winners, min(first_sec) as first_sec, max(close_sec) as close_sec, array_to_string(list_sort(list(condition_id)), ',') as ids from (select condition_id, max(family) as family, max(winner) as winner, min(sec) as first_sec, max(sec) as close_sec from f group by 1) group by 1"))
 def family_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of exclusive markets, with how many of their members won (one, if the map is sound)."""
     return markets(fills(spark, sf_dir)).groupBy("family").agg(
-        F.count(ONE).alias("members"), F.count_if(F.col("winner") == 0).alias("winners"), F.min("first_sec").alias("first_sec"), F.max("close_sec").alias("close_sec"),
+        F.count("*").alias("members"), F.count_if(F.col("winner") == 0).alias("winners"), F.min("first_sec").alias("first_sec"), F.max("close_sec").alias("close_sec"),
         F.array_join(F.transform(F.array_sort(F.collect_set("condition_id")), lambda x: x.cast("string")), ",").alias("ids"),
     )
 
@@ -50,7 +49,7 @@ def hour_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
  select wallet, count(*)::double as n, sum(made)::double as made, count(distinct day) as days from s group by 1) join (select wallet, -sum(n / t * ln(n / t)) as h from (select wallet, hour % 24, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by wallet) as double) as t from s group by 1, 2) group by 1) using (wallet)) group by 1""",
     "s as (select maker as wallet, 1 as made, day, hour from f union all select taker, 0, day, hour from f)"))
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.taxonomy(fills(spark, sf_dir)).groupBy("kind").agg(F.count(ONE).alias("wallets"), F.sum("n").alias("fills"))
+    return classify.taxonomy(fills(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("wallets"), F.sum("n").alias("fills"))
 
 
 _TAGS = "map(name, class) as (values ('red', 'warm'), ('blue', 'cold'), ('green', 'cold'), ('ring', 'jewel'), ('widget', 'tool'), ('economy', 'cheap'), ('standard', 'plain'), ('promo', 'cheap'))"
@@ -70,12 +69,12 @@ def class_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     joined = F.concat(F.lower("p_name"), F.lit("|"), F.lower("p_type"))
     rules = [("jewel", r"^[^|]*\bring\b"), ("cheap", r"\|.*(eco|promo)"), ("colour", r"^(red|blue)")]
-    return part.groupBy(classify.rule_class(joined, rules).alias("class")).agg(F.count(ONE).alias("n"))
+    return part.groupBy(classify.rule_class(joined, rules).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query(fills_sql("""select category, week, count(*) as n, cast(sum(cents) as bigint) as notional, count(distinct condition_id) as markets, round(sum(cents)::double / sum(sum(cents)) over (partition by week), 8) as share from f group by 1, 2"""))
 def class_week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = fills(spark, sf_dir).groupBy("category", "week").agg(F.count(ONE).alias("n"), F.sum("cents").alias("notional"), F.countDistinct("condition_id").alias("markets"))
+    cell = fills(spark, sf_dir).groupBy("category", "week").agg(F.count("*").alias("n"), F.sum("cents").alias("notional"), F.countDistinct("condition_id").alias("markets"))
     return cell.withColumn("share", F.round(ratio(F.col("notional"), F.sum("notional").over(Window.partitionBy("week"))), 8))
 
 
@@ -132,7 +131,7 @@ def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of each rule, counted in one pass over per-key aggregates."""
     tape = raw_fills(spark, sf_dir)
     rules = {"bad_price": "pc < 0 or pc > 100", "bad_size": "q <= 0", "self_match": "maker = taker", "no_party": "maker is null or taker is null"}
-    per = tape.groupBy("tx_hash", "evt_index").agg(F.count(ONE).alias("n"), *[F.count_if(F.expr(e)).alias(k) for k, e in rules.items()])
+    per = tape.groupBy("tx_hash", "evt_index").agg(F.count("*").alias("n"), *[F.count_if(F.expr(e)).alias(k) for k, e in rules.items()])
     return per.agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in rules], F.count_if(F.col("n") > 1).alias("repeated_keys"))
 
 
@@ -141,7 +140,7 @@ def share_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buys of both outcomes by one taker on one day: complete sets that must have been made."""
     q = lambda k: F.sum(F.when(F.col("outcome_index") == k, F.col("q")).otherwise(0))
     cell = fills(spark, sf_dir).where("side = 'BUY'").groupBy("condition_id", "day", "taker").agg(q(0).alias("q0"), q(1).alias("q1")).where("q0 > 0 and q1 > 0")
-    return cell.groupBy("condition_id").agg(F.count(ONE).alias("groups"), F.sum(F.least("q0", "q1")).alias("created"))
+    return cell.groupBy("condition_id").agg(F.count("*").alias("groups"), F.sum(F.least("q0", "q1")).alias("created"))
 
 
 @query(fills_sql("""select grouping(category) as g_category, grouping(side) as g_side, category, side, count(*) as n, cast(sum(cents) as bigint) as cents from f group by grouping sets ((category, side), (category), (side), ())"""))
@@ -155,4 +154,4 @@ def multi_level_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def account_type_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = fills(spark, sf_dir).groupBy("taker").agg(F.sum("cents").alias("vol"))
     ranked = per.select((F.col("taker") % 4).alias("account"), "vol", F.ntile(10).over(Window.orderBy("vol", "taker")).cast("bigint").alias("decile"))
-    return ranked.groupBy("account", "decile").agg(F.count(ONE).alias("n"), F.sum("vol").alias("vol"))
+    return ranked.groupBy("account", "decile").agg(F.count("*").alias("n"), F.sum("vol").alias("vol"))
