@@ -31,7 +31,7 @@ def hour_entropy(tape: DataFrame, wallet: str) -> DataFrame:
     """Shannon entropy (nats) of a wallet's activity over the hours of the day."""
     n = tape.groupBy(F.col(wallet).alias("wallet"), (F.col("hour") % 24).alias("h")).agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("wallet"))
-    return n.withColumn("p", p).groupBy("wallet").agg(F.sum("n").alias("n"), (-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
+    return n.withColumn("p", p).groupBy("wallet").agg(F.sum("n").alias("n"), F.abs(F.sum(F.col("p") * F.log("p"))).alias("entropy"))
 
 
 def taxonomy(tape: DataFrame, maker_share: float = 0.7, per_day: float = 40, regular: float = 0.9) -> DataFrame:

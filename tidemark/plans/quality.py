@@ -40,13 +40,13 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.episodes(tape, stale_s=2_592_000)
 
 
-@query(fills_sql("""select wallet, n, round(h, 8) as entropy from (select wallet, cast(sum(n) as bigint) as n, -sum(n / t * ln(n / t)) as h from (select taker as wallet, hour % 24, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by taker) as double) as t from f group by 1, 2) group by 1)"""))
+@query(fills_sql("""select wallet, n, round(h, 8) as entropy from (select wallet, cast(sum(n) as bigint) as n, abs(sum(n / t * ln(n / t))) as h from (select taker as wallet, hour % 24, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by taker) as double) as t from f group by 1, 2) group by 1)"""))
 def hour_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.hour_entropy(fills(spark, sf_dir), "taker").withColumn("entropy", F.round("entropy", 8))
 
 
 @query(fills_sql("""select kind, count(*) as wallets, cast(sum(n) as bigint) as fills from (select wallet, n, case when made / n >= 0.7 then 'market_maker' when n / days >= 40 and h >= 0.9 * ln(24) then 'high_frequency' when n = 1 then 'one_shot' else 'active' end as kind from (
- select wallet, count(*)::double as n, sum(made)::double as made, count(distinct day) as days from s group by 1) join (select wallet, -sum(n / t * ln(n / t)) as h from (select wallet, hour % 24, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by wallet) as double) as t from s group by 1, 2) group by 1) using (wallet)) group by 1""",
+ select wallet, count(*)::double as n, sum(made)::double as made, count(distinct day) as days from s group by 1) join (select wallet, abs(sum(n / t * ln(n / t))) as h from (select wallet, hour % 24, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by wallet) as double) as t from s group by 1, 2) group by 1) using (wallet)) group by 1""",
     "s as (select maker as wallet, 1 as made, day, hour from f union all select taker, 0, day, hour from f)"))
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.taxonomy(fills(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("wallets"), F.sum("n").alias("fills"))
