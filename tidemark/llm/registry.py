@@ -128,7 +128,7 @@ def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every pair of equal label, in double precision; components by the least reachable id.
 ORACLES["op8_embedding_groups"] = """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as e from embeddings
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
 ), w as (
   select vec_id, label, e, sqrt(list_dot_product(e, e)) as n from v where label is not null and e is not null
 ), p as (
