@@ -238,7 +238,10 @@ def _log_sum(values: list[float]) -> float:
 
 
 def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Made-up sentences with entities in forms that the base patterns miss, and numbers that are no entities."""
+    """Made-up sentences with entities in forms that the base patterns miss, and numbers that are no entities.
+
+    Plain phone and card numbers stand side by side: there a base match runs on into the next number and fails.
+    """
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice(["an", "the", "or", "ti", "re", "bo", "st", "is", "en", "ka", "lu"]) for _ in range(rng.randint(1, 4)))
@@ -308,6 +311,13 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
         text, gold = " ".join(word() for _ in range(rng.randint(0, 4))), []
         for _ in range(rng.randint(1, 2)):
             entity, kind, cue = made()
+            if rng.random() < 0.2:  # numbers side by side, which the base patterns run together
+                text = f"{text} ".lstrip()
+                for number, y in ((f"+{rng.randrange(1, 100)} ({digits(3)}) {digits(3)}-{digits(4)}", 3), rng.choice([(card([16], ""), 2), (bad_number(16), -1), (bad_number(15), -1)])):
+                    if y >= 0:
+                        gold.append((len(text), y, len(text) + len(number)))
+                    text += f"{number} "
+                text = text.rstrip() + rng.choice(["", ".", ",", " |"])
             if cue is not None and rng.random() < 0.3:
                 text += f" {rng.choice(cues[cue])}{rng.choice([':', ''])}"
             text = f"{text} ".lstrip()
