@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from tidemark.sources.store import cut
 
@@ -53,32 +53,34 @@ def global_ntile(df: DataFrame, order: Sequence[str], tiles: int, name: str = "t
     return numbered.crossJoin(F.broadcast(total)).withColumn(name, (place + 1).cast("bigint")).drop("_k", "_total")
 
 
-def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, left_first: bool) -> tuple[DataFrame, list]:
-    """Both sides in one stream by key and time: no join, one shuffle by key."""
+def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Both sides in one table by key and time: no join, one shuffle by key."""
     names = [c for c in left.columns if c not in keys and c != "_t"]
     lhs = left.select(*keys, "_t", F.struct(*names).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(None).cast("bigint").alias("_vt"))
     rhs = right.select(*keys, "_t", F.lit(None).cast(lhs.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"), F.col("_t").alias("_vt"))
-    searching = F.col("_row").isNotNull()
-    return lhs.unionByName(rhs), [F.col("_t"), searching.desc() if left_first else searching.asc()]
+    return lhs.unionByName(rhs)
 
 
-def _taken(df: DataFrame, keys: Sequence[str], w: WindowSpec, pick, value: str, found: str) -> DataFrame:
-    out = df.withColumns({found: pick("_v", ignorenulls=True).over(w), f"{found}_t": pick("_vt", ignorenulls=True).over(w)})
+def _running_last(df: DataFrame, keys: Sequence[str], time: Column, found: str) -> DataFrame:
+    """Each left row with the last right row before it in the order of time; at one time right rows come first.
+
+    The frame only grows, so a key of n rows costs n steps. (A frame that shrinks towards the end costs n squared.)
+    """
+    w = Window.partitionBy(*keys).orderBy(time, F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.withColumns({found: F.last("_v", ignorenulls=True).over(w), f"{found}_t": F.last("_vt", ignorenulls=True).over(w)})
     return out.where("_row is not null").select(*keys, "_row.*", found, f"{found}_t")
 
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, shift: int = 0, found: str = "next") -> DataFrame:
     """Each left row with the value of the first right row at or after its time + shift (and that row's time)."""
-    stream, order = _merged(left.withColumn("_t", F.col(left_time) + shift), right.withColumn("_t", F.col(right_time)), keys, value, True)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return _taken(stream, keys, w, F.first, value, found)
+    stream = _merged(left.withColumn("_t", F.col(left_time) + shift), right.withColumn("_t", F.col(right_time)), keys, value)
+    return _running_last(stream, keys, F.col("_t").desc(), found)
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, shift: int = 0, found: str = "last") -> DataFrame:
     """Each left row with the value of the last right row at or before its time + shift (and that row's time)."""
-    stream, order = _merged(left.withColumn("_t", F.col(left_time) + shift), right.withColumn("_t", F.col(right_time)), keys, value, False)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _taken(stream, keys, w, F.last, value, found)
+    stream = _merged(left.withColumn("_t", F.col(left_time) + shift), right.withColumn("_t", F.col(right_time)), keys, value)
+    return _running_last(stream, keys, F.col("_t").asc(), found)
 
 
 def interpolate(left: DataFrame, points: DataFrame, keys: Sequence[str], time: str, point_time: str, value: str) -> DataFrame:
