@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tidemark.llm.shingles import mix
 #: Slots that features are hashed to.
 SLOTS = 1 << 18
 #: Labelled rows of each class that the model is fitted on, at most; those with the least hashes of their ids.
-TRAIN_ROWS_PER_CLASS = 2500
+TRAIN_ROWS_PER_CLASS = 1500
 _rng = np.random.Generator(np.random.PCG64(99))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0xD1342543DE82EF95
@@ -94,7 +96,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> Model:
+def train(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> Model:
     """FTRL-proximal: per slot a sum of adjusted gradients z and of squares n; the weight follows from them."""
     z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
 
@@ -105,7 +107,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 2, a
     ready = []
     for slots, values, label in examples:  # slots of two families can coincide
         at, back = np.unique(np.append(slots, SLOTS), return_inverse=True)
-        ready.append((at, np.bincount(back, np.append(values, 1.0)), label))
+        ready.append((at.astype(np.int32), np.bincount(back, np.append(values, 1.0)).astype(np.float32), label))
     rng = np.random.Generator(np.random.PCG64(3))
     for _ in range(epochs if ready else 0):
         for k in rng.permutation(len(ready)):
@@ -140,10 +142,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality
         )
 
     got = map_arrow(sample, extract, "doc_id bigint, y int, slots binary, v binary").toArrow()
-    got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("slots", "ascending")])) if got.num_rows else got
-    columns = [got.column(k).to_pylist() for k in (1, 2, 3)]
-    examples = [(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64), y) for y, s, v in zip(*columns, strict=True)]
-    return train(examples)
+    order = pa.compute.sort_indices(got, [("doc_id", "ascending"), ("slots", "ascending")]).to_pylist() if got.num_rows else []
+    ids, slots, values = got.column(1), got.column(2), got.column(3)
+    return train((np.frombuffer(slots[k].as_py(), "<i4"), np.frombuffer(values[k].as_py(), "<f4"), ids[k].as_py()) for k in order)
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
