@@ -11,6 +11,7 @@ from tidemark.operators.primitives import ratio
 from tidemark.plans.base_sql import fills_sql, trades_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills, trades
+from tidemark.sources.store import cut
 
 #: The synthetic trades are sparse, so windows are wider than on a real tape (300 s, 600 s, 600 s).
 COTRADE_S, LEAD_S, ROUND_S = 21_600, 3_600, 86_400
@@ -131,12 +132,11 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the strongest co-trading pairs; the universe is cut to 3,000 edges before it reaches the driver."""
-    pairs = G.cotrade_pairs(trades(spark, sf_dir), COTRADE_S, 3)
+    """Communities over all co-trading pairs with at least 3 events; every trading wallet is a node."""
+    tape = trades(spark, sf_dir)
     weight = F.col("events") * (1 + 0.5 * (F.col("markets") - 1))
-    top = pairs.select("a", "b", weight.alias("w")).orderBy(F.col("w").desc(), "a", "b").limit(3000).collect()
-    label = graph.louvain([(r.a, r.b, float(r.w)) for r in top])
-    return spark.createDataFrame(sorted(label.items()), "node bigint, community bigint")
+    pairs = G.cotrade_pairs(tape, COTRADE_S, 3).select("a", "b", weight.cast("double").alias("w"))
+    return graph.communities(tape.select(F.col("wallet").alias("node")).where("node is not null").distinct(), cut(pairs))
 
 
 @query(trades_sql("select a, b, events, markets, round(events * (1 + 0.5 * (markets - 1)), 6)::double as weight from pairs where events >= 3", _PRES, _PAIRS))
