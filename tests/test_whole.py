@@ -1,5 +1,12 @@
 """Operators do the whole job: no cap on rows, no filter that thins them out."""
 
+import collections
+import math
+
+import pytest
+
+from tidemark.llm import urls
+from tidemark.llm.registry import RULES
 from tidemark.operators.graph import communities, louvain
 from tidemark.plans.registry import QUERIES, load
 
@@ -31,3 +38,36 @@ def test_louvain_covers_every_wallet(spark, sf_dir):
     got = QUERIES["louvain_communities"](spark, sf_dir)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'signup' and user_id is not null")
     assert got.count() == events.select("user_id").distinct().count() > wallets
+
+
+def _exact_scores(shown, ruled):
+    """The character models in plain Python, with a count for each gram and context."""
+    models = []
+    for verdict in ("allow", "block"):
+        grams, contexts = collections.Counter(), collections.Counter()
+        for text, v in zip(shown, ruled, strict=True):
+            if v == verdict:
+                coded = b"\0" * urls.ORDER + text.encode() + b"\x01"
+                for at in range(urls.ORDER, len(coded)):
+                    for k in range(urls.ORDER + 1):
+                        grams[coded[at - k : at + 1], k] += 1
+                        contexts[coded[at - k : at], k] += 1
+        models.append((grams, contexts))
+    for text in shown:
+        coded, total = b"\0" * urls.ORDER + text.encode() + b"\x01", 0.0
+        for at in range(urls.ORDER, len(coded)):
+            for sign, (grams, contexts) in zip((1, -1), models, strict=True):
+                p = 1 / 256
+                for k in range(urls.ORDER + 1):
+                    p = (grams[coded[at - k : at + 1], k] + urls.WEIGHT * p) / (contexts[coded[at - k : at], k] + urls.WEIGHT)
+                total += sign * math.log(p)
+        yield total / (len(coded) - urls.ORDER)
+
+
+def test_url_scores_are_those_of_exact_counts(spark):
+    made = [f"http://{'example.org' if k % 3 else 'x.net'}/{'es' if k % 2 else 'en'}/{k * 7919 % 9_999_991:07d}{k * 104_729 % 9_999_973:07d}" for k in range(12_000)]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").repartition(3)
+    got = urls.judge_urls(df, RULES).orderBy("page_id").collect()
+    ruled = [r.verdict if r.rule is not None else None for r in got]
+    assert {None, "allow", "block"} == set(ruled)
+    assert [r.score for r in got] == pytest.approx(list(_exact_scores([r.host + r.path for r in got], ruled)), abs=1e-9)

@@ -7,14 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_column
+from tidemark.llm.common import fold_column, written
 from tidemark.llm.shingles import mix
 
-#: Longest context, slots that counts are hashed to, and the weight of the next shorter context.
+#: Longest context, slots of the hashed form (Ratio), and the weight of the next shorter context.
 ORDER, SLOTS, WEIGHT = 5, 1 << 20, 2.0
+#: Characters that a task scores at once, and the counts of a gram by accepted, held out.
+CHUNK, _N = 1 << 18, ("n00", "n01", "n10", "n11")
 #: Bins of the calibration histogram over scores from -RANGE to RANGE.
 BINS, RANGE = 1024, 4.0
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,41 +74,12 @@ def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(grams), np.array(contexts), row
 
 
-def _counts(rows: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Counts by (accepted, held out) over all ruled URLs. Each task adds up its share before anything is shuffled,
-    and at most 2 * SLOTS numbers of each of the four come to the driver, whatever the number of URLs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = np.array(batch.column(0).to_pylist(), object)
-            for flag in np.unique(flags):
-                grams, contexts, _ = _slots(texts[flags == flag].tolist())
-                table = tables.setdefault(int(flag), np.zeros(2 * SLOTS, np.int64))
-                np.add.at(table, grams.ravel(), 1)
-                np.add.at(table, contexts.ravel() + SLOTS, 1)
-        for flag, table in tables.items():
-            some = np.flatnonzero(table)
-            for k in range(0, len(some), 1 << 16):
-                part = some[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), flag), pa.int32()), pa.array(part), pa.array(table[part])], ["flag", "slot", "n"])
-
-    flag = (F.when(F.col("verdict") == "allow", 1).otherwise(0) + 2 * F.col("held")).cast("int")
-    found = rows.where("verdict is not null").select("shown", flag.alias("flag")).mapInArrow(count, "flag int, slot bigint, n bigint")
-    got = found.groupBy("flag", "slot").agg(F.sum("n").alias("n")).toArrow()
-    flags, slots, n = (got.column(k).to_numpy() for k in range(3))
-    out = {}
-    for flag_value in range(4):
-        table, mine = np.zeros(2 * SLOTS), flags == flag_value
-        table[slots[mine]] = n[mine]
-        out[flag_value & 1, flag_value >> 1] = table
-    return out
-
-
 @dataclass(frozen=True)
 class Ratio:
-    """Two models. A context's estimate mixes its own counts with the next shorter context's, down to equal chances."""
+    """Two models. A context's estimate mixes its own counts with the next shorter context's, down to equal chances.
+
+    The form for few URLs, with counts in slots; judge_urls has the same recursion over tables of exact counts.
+    """
 
     accepted: np.ndarray
     rejected: np.ndarray
@@ -124,16 +99,118 @@ class Ratio:
         return sums / np.bincount(row, minlength=len(texts)) * (np.array([len(t) for t in texts]) > 0)
 
 
-def _scored(rows: DataFrame, model: Ratio) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((model.accepted.astype(np.float32), model.rejected.astype(np.float32)))
+def _tails(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each character as in _slots, it and the ORDER before it as one number (exact, six bytes), and its row.
+
+    The low k + 1 bytes are the gram of order k; they without the last byte are its context.
+    """
+    coded = [t.encode("utf-8", "surrogatepass") + b"\x01" for t in texts]
+    sizes = np.array([len(c) for c in coded], np.int64)
+    data = np.frombuffer(b"".join(b"\0" * ORDER + c for c in coded), np.uint8).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(row)) + (row + 1) * ORDER
+    tails = np.zeros(len(at), np.int64)
+    for k in range(ORDER, -1, -1):
+        tails = tails << 8 | data[at - k]
+    return tails, row
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows with the number of their chunk: neighbours in a partition, about CHUNK characters. To be written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, used = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("shown")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Ratio(*shared.value).scores(texts))], [*batch.schema.names, "score"])
+            out = []
+            for size in pc.binary_length(batch.column(batch.schema.get_field_index("shown"))).to_pylist():
+                if used > CHUNK:
+                    chunk, used = chunk + 1, 0
+                used += size + 1
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "chunk"])
+
+    return rows.mapInArrow(run, f"{_ddl(rows)}, chunk bigint")
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, score double")
+def _tail_counts(rows: DataFrame) -> DataFrame:
+    """(chunk, tail, n00, n01, n10, n11): every tail in the chunk's texts, n by accepted and held out where ruled.
+
+    A chunk's counts are added up before anything is shuffled, so a tail of every URL makes one row a chunk."""
+    flag = F.when(F.col("verdict").isNull(), 4).otherwise(F.when(F.col("verdict") == "allow", 2).otherwise(0) + F.col("held"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[int, list, list] | None = None
+        for batch in batches:
+            chunks, flags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            texts = np.array(batch.column(0).to_pylist(), object)
+            for chunk in np.unique(chunks):
+                mine = np.flatnonzero(chunks == chunk)
+                tails, row = _tails(texts[mine].tolist())
+                if kept is None or kept[0] != chunk:
+                    if kept is not None:
+                        yield emit(*kept)
+                    kept = (chunk, [], [])
+                kept[1].append(tails)
+                kept[2].append(flags[mine][row])
+        if kept is not None:
+            yield emit(*kept)
+
+    def emit(chunk: int, tails: list, flags: list) -> pa.RecordBatch:
+        some, place = np.unique(np.concatenate(tails), return_inverse=True)
+        n = np.bincount(place * 5 + np.concatenate(flags), minlength=5 * len(some)).reshape(-1, 5)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(some), *(pa.array(n[:, k]) for k in range(4))], ["chunk", "tail", *_N])
+
+    return rows.select("shown", "chunk", flag.cast("int").alias("flag")).mapInArrow(count, "chunk bigint, tail bigint, " + ", ".join(f"{c} bigint" for c in _N))
+
+
+def _differences(counts: DataFrame) -> DataFrame:
+    """(tail, first, final): the log-likelihood difference of a character after its context, by models of the rows not
+    held out and of all ruled rows.
+
+    Exact counts, order by order: a gram joins its context's counts and the estimate of the next shorter order, so a key
+    meets at most the 256 grams that lengthen it by a byte, however common it is.
+    """
+    levels = [counts]  # from the longest order to 0
+    for k in range(ORDER - 1, -1, -1):
+        gram = F.col("tail").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        levels.append(levels[-1].groupBy(gram.alias("tail")).agg(*[F.sum(c).alias(c) for c in _N]))
+    models = {"r0": ["n00"], "a0": ["n10"], "r1": ["n00", "n01"], "a1": ["n10", "n11"]}
+    estimates = None
+    for k, grams in enumerate(reversed(levels)):
+        context = F.shiftright("tail", 8)
+        totals = grams.groupBy(context.alias("context")).agg(*[F.sum(c).alias(f"t{c}") for c in _N])
+        joined = grams.withColumn("context", context).join(totals, "context")
+        if estimates is None:
+            joined = joined.withColumns({m: F.lit(1 / 256) for m in models})
+        else:
+            joined = joined.withColumn("shorter", F.col("tail").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(estimates.withColumnRenamed("tail", "shorter"), "shorter")
+        add = lambda names: sum((F.col(c) for c in names[1:]), F.col(names[0]))
+        p = {m: (add(names) + WEIGHT * F.col(m)) / (add([f"t{c}" for c in names]) + WEIGHT) for m, names in models.items()}
+        estimates, _ = written(joined.select("tail", *[e.alias(m) for m, e in p.items()]), "url-estimates")
+    return estimates.select("tail", (F.log("a0") - F.log("r0")).alias("first"), (F.log("a1") - F.log("r1")).alias("final"))
+
+
+def _scored(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Chunked rows with first and final, the mean over a text's characters of the differences asked has for its chunk
+    (chunk, tail, first, final); 0 for an empty text."""
+    names = rows.columns
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        tails, row = _tails(texts.column("shown").to_pylist())
+        known = found.column("tail").to_numpy()
+        order = np.argsort(known)
+        place = order[np.searchsorted(known, tails, sorter=order)]
+        sizes = np.bincount(row, minlength=texts.num_rows)
+        for name in ("first", "final"):
+            sums = np.bincount(row, found.column(name).to_numpy()[place], texts.num_rows)
+            texts = texts.append_column(name, pa.array(sums / sizes * (sizes > 1)))
+        return texts.select([*names, "first", "final"])
+
+    return rows.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, f"{_ddl(rows)}, first double, final double")
 
 
 def _threshold(held: DataFrame) -> float:
@@ -167,10 +244,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_i
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("shown"))
     rows = rows.withColumn("held", (fold_column("shown") == 0).cast("int"))
-    counts = _counts(rows)
-    first = Ratio(counts[1, 0], counts[0, 0])
-    threshold = _threshold(_scored(rows.where("verdict is not null and held = 1").select("shown", "verdict"), first))
-    final = Ratio(counts[1, 0] + counts[1, 1], counts[0, 0] + counts[0, 1])
-    out = _scored(rows.select(id_column, "host", "path", "rule", "verdict", "shown"), final)
-    own = F.when((F.col("score") >= threshold) & (F.col("shown") != ""), "allow").otherwise("block")
-    return out.select(id_column, "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
+    rows, _ = written(_chunked(rows), "urls")
+    counts, _ = written(_tail_counts(rows), "url-tails")
+    differences = _differences(written(counts.groupBy("tail").agg(*[F.sum(c).alias(c) for c in _N]), "url-counts")[0])
+    out, _ = written(_scored(rows, counts.select("chunk", "tail").join(differences, "tail")), "url-scores")
+    threshold = _threshold(out.where("verdict is not null and held = 1").select("verdict", F.col("first").alias("score")))
+    own = F.when((F.col("final") >= threshold) & (F.col("shown") != ""), "allow").otherwise("block")
+    return out.select(id_column, "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), F.col("final").alias("score"))
