@@ -71,3 +71,13 @@ def test_url_scores_are_those_of_exact_counts(spark):
     ruled = [r.verdict if r.rule is not None else None for r in got]
     assert {None, "allow", "block"} == set(ruled)
     assert [r.score for r in got] == pytest.approx(list(_exact_scores([r.host + r.path for r in got], ruled)), abs=1e-9)
+
+
+def _fills(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey as tx_hash", "cast(l_linenumber as bigint) as evt_index").distinct()
+
+
+def test_every_fill_has_a_decile(spark, sf_dir):
+    got = QUERIES["rank_deciles_all"](spark, sf_dir)
+    assert got.count() == _fills(spark, sf_dir).count() > QUERIES["rank_deciles"](spark, sf_dir).count()
+    assert {r.decile for r in got.select("decile").distinct().collect()} == set(range(10))

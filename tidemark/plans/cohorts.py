@@ -181,10 +181,19 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(fills_sql("select tx_hash, evt_index, cents, decile from (select *, least(cast(floor(10.0 * (rank() over (partition by category order by cents) - 1) / count(*) over (partition by category)) as bigint), 9) as decile from f) where tx_hash % 13 = 0"))
 def rank_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deciles by competition rank within a class."""
+    """Deciles by competition rank within a class: the fills that the given SQL asks for."""
+    return rank_deciles_all(spark, sf_dir).where("tx_hash % 13 = 0")
+
+
+@query(fills_sql("select tx_hash, evt_index, cents, least(cast(floor(10.0 * (rank() over (partition by category order by cents) - 1) / count(*) over (partition by category)) as bigint), 9) as decile from f"))
+def rank_deciles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decile of every fill. Ranks come from counts of each amount, so no task holds the fills of a class."""
+    tape = fills(spark, sf_dir)
     w = Window.partitionBy("category")
-    share = 10.0 * (F.rank().over(w.orderBy("cents")) - 1) / F.count("*").over(w)
-    return fills(spark, sf_dir).withColumn("decile", F.least(F.floor(share), F.lit(9)).cast("bigint")).where("tx_hash % 13 = 0").select("tx_hash", "evt_index", "cents", "decile")
+    amounts = tape.groupBy("category", "cents").agg(F.count("*").alias("n"))
+    below = F.coalesce(F.sum("n").over(w.orderBy("cents").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    deciles = amounts.select("category", "cents", F.least(F.floor(10.0 * below / F.sum("n").over(w)), F.lit(9)).cast("bigint").alias("decile"))
+    return tape.join(deciles, ["category", "cents"]).select("tx_hash", "evt_index", "cents", "decile")
 
 
 @query(fills_sql("select a.condition_id, a.day, a.v, b.v as v_prev, round(a.v::double / nullif(b.v, 0) - 1, 8) as change from d a left join d b on a.condition_id = b.condition_id and a.day = b.day + 1", "d as (select condition_id, day, cast(sum(cents) as bigint) as v from f group by 1, 2)"))
