@@ -81,3 +81,11 @@ def test_every_fill_has_a_decile(spark, sf_dir):
     got = QUERIES["rank_deciles_all"](spark, sf_dir)
     assert got.count() == _fills(spark, sf_dir).count() > QUERIES["rank_deciles"](spark, sf_dir).count()
     assert {r.decile for r in got.select("decile").distinct().collect()} == set(range(10))
+
+
+def test_every_block_has_a_time_and_every_fill_is_labelled(spark, sf_dir):
+    fills = _fills(spark, sf_dir)
+    times = QUERIES["block_time_map_all"](spark, sf_dir)
+    assert times.where("sec is not null").count() == fills.select("tx_hash").distinct().count() > QUERIES["block_time_map"](spark, sf_dir).count()
+    months = QUERIES["block_month_asof_all"](spark, sf_dir)
+    assert months.count() == fills.count() > QUERIES["block_month_asof"](spark, sf_dir).count()

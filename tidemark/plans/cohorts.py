@@ -10,7 +10,7 @@ from tidemark.functions.inference import sign_flip
 from tidemark.functions.tails import beta_posterior_columns
 from tidemark.operators import concentration as C
 from tidemark.operators import skill as K
-from tidemark.operators.primitives import asof_backward, interpolate, ratio
+from tidemark.operators.primitives import ratio
 from tidemark.plans.base_sql import fills_sql, trades_sql
 from tidemark.plans.flow import _BETS, _conc
 from tidemark.plans.prices import _AT, _CONV, _MK, _convergence
@@ -112,21 +112,43 @@ def reconcile_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fills_sql("""select k.block, round(coalesce(lo.t + (hi.t - lo.t) * (k.block - lo.b)::double / nullif(hi.b - lo.b, 0), lo.t, hi.t), 4) as sec from k asof left join env lo on k.block >= lo.b join (select k.block, e.t, e.b from k asof left join env e on k.block <= e.b) hi using (block)""",
     "env as (select b, max(t) over (order by b rows unbounded preceding) as t from (select tx_hash // 500 * 500 as b, median(sec) as t from f group by 1))", "k as (select distinct tx_hash as block from f where tx_hash % 7 = 0)"))
 def block_time_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block to time: a median per bin, made monotone, straight lines between. One row a bin is ordered globally."""
-    tape = fills(spark, sf_dir)
-    bins = tape.groupBy(F.expr("tx_hash div 500 * 500").alias("b")).agg(F.median("sec").alias("t"))
-    mono = bins.withColumn("t", F.max("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("one", F.lit(1))
-    asked = tape.where("tx_hash % 7 = 0").select(F.col("tx_hash").alias("block"), F.lit(1).alias("one")).distinct()
-    return interpolate(asked, mono, ["one"], "block", "b", "t").select("block", F.round("value", 4).alias("sec"))
+    """Block to time for the blocks that the given SQL asks for."""
+    return block_time_map_all(spark, sf_dir).where("block % 7 = 0")
+
+
+@query(fills_sql("""select k.block, round(coalesce(lo.t + (hi.t - lo.t) * (k.block - lo.b)::double / nullif(hi.b - lo.b, 0), lo.t, hi.t), 4) as sec from k asof left join env lo on k.block >= lo.b join (select k.block, e.t, e.b from k asof left join env e on k.block <= e.b) hi using (block)""",
+    "env as (select b, max(t) over (order by b rows unbounded preceding) as t from (select tx_hash // 500 * 500 as b, median(sec) as t from f group by 1))", "k as (select distinct tx_hash as block from f)"))
+def block_time_map_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block to its time: a median per bin, made monotone, straight lines between.
+
+    A block lies in a bin that exists, so it joins that bin and carries the next one: only one row a bin is ordered globally.
+    """
+    blocks = fills(spark, sf_dir).select("tx_hash", "sec", F.expr("tx_hash div 500 * 500").alias("b"))
+    order = Window.orderBy("b")
+    mono = blocks.groupBy("b").agg(F.median("sec").alias("t")).withColumn("t", F.max("t").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    mono = mono.withColumns({"b1": F.lead("b").over(order), "t1": F.lead("t").over(order)})
+    line = F.col("t") + (F.col("t1") - F.col("t")) * ratio(F.col("block") - F.col("b"), F.col("b1") - F.col("b"))
+    asked = blocks.select(F.col("tx_hash").alias("block"), "b").distinct().join(mono, "b")
+    return asked.select("block", F.round(F.coalesce(line, "t"), 4).alias("sec"))
 
 
 @query(fills_sql("select f.tx_hash, f.evt_index, m.month0 from f asof left join (select tx_hash as lo, max(month) as month0 from f where tx_hash % 1000 = 0 group by 1) m on f.tx_hash >= m.lo where f.tx_hash % 11 = 0"))
 def block_month_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The month label of the last breakpoint block at or before each block."""
-    tape = fills(spark, sf_dir)
-    points = tape.where("tx_hash % 1000 = 0").groupBy(F.col("tx_hash").alias("lo")).agg(F.max("month").alias("month0")).withColumn("one", F.lit(1))
-    asked = tape.where("tx_hash % 11 = 0").select("tx_hash", "evt_index", F.lit(1).alias("one"))
-    return asof_backward(asked, points, ["one"], "tx_hash", "lo", "month0", found="month0").select("tx_hash", "evt_index", "month0")
+    """The month label of the fills that the given SQL asks for."""
+    return block_month_asof_all(spark, sf_dir).where("tx_hash % 11 = 0")
+
+
+@query(fills_sql("select f.tx_hash, f.evt_index, m.month0 from f asof left join (select tx_hash as lo, max(month) as month0 from f where tx_hash % 1000 = 0 group by 1) m on f.tx_hash >= m.lo"))
+def block_month_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month label of the last breakpoint block at or before the block of every fill.
+
+    Blocks are dealt by the thousand, which starts with its breakpoint if that was traded; a thousand without one takes
+    the last earlier label. Only one row a thousand is ordered globally.
+    """
+    tape = fills(spark, sf_dir).withColumn("lo", F.expr("tx_hash div 1000"))
+    own = tape.groupBy("lo").agg(F.max(F.when(F.col("tx_hash") % 1000 == 0, F.col("month"))).alias("own"))
+    labels = own.select("lo", F.last("own", ignorenulls=True).over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, 0)).alias("month0"))
+    return tape.join(labels, "lo").select("tx_hash", "evt_index", "month0")
 
 
 @query(fills_sql("""select n_legs, count(*) as txs, round(avg(abs_gap), 6) as mean_gap from (select tx_hash, condition_id, count(*) as n_legs, abs(sum(case when outcome_index = 0 then pc else 0 end)::double / nullif(count(*) filter (where outcome_index = 0), 0) + sum(case when outcome_index = 1 then pc else 0 end)::double / nullif(count(*) filter (where outcome_index = 1), 0) - 100) as abs_gap
