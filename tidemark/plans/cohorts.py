@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -195,9 +195,20 @@ def roundtrip_fee_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select p_brand, count(*) as n, min(p_partkey) as first_id, string_agg(p_name, '|' order by p_partkey) filter (where p_partkey < 40) as names, md5(p_brand || '42') as h from part group by 1")
 def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that the given SQL asks for."""
+    return _brands(spark, sf_dir, F.col("p_partkey") < 40)
+
+
+@query("select p_brand, count(*) as n, min(p_partkey) as first_id, string_agg(p_name, '|' order by p_partkey) as names, md5(p_brand || '42') as h from part group by 1")
+def string_functions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names of each brand."""
+    return _brands(spark, sf_dir, F.lit(True))
+
+
+def _brands(spark: SparkSession, sf_dir: str, named: Column) -> DataFrame:
     """Ordered string aggregation and the hash that orders pseudo-random picks."""
     part = table(spark, sf_dir, "part")
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("p_partkey") < 40, F.struct("p_partkey", "p_name")))), lambda x: x["p_name"]), "|")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(named, F.struct("p_partkey", "p_name")))), lambda x: x["p_name"]), "|")
     return part.groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"), F.nullif(names, F.lit("")).alias("names"), F.md5(F.concat("p_brand", F.lit("42")).cast("binary")).alias("h"))
 
 

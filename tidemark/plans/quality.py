@@ -118,9 +118,20 @@ def reconcile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select coalesce(s_suppkey, c_custkey) as id, case when s_suppkey is null then 'only_right' when c_custkey is null then 'only_left' when s_nationkey = c_nationkey then 'identical' else 'conflict' end as flag from supplier full join (select * from customer where c_custkey < 200 and c_custkey % 3 > 0) on s_suppkey = c_custkey""")
 def registry_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two registries by id, with the part of the second that the given SQL asks for."""
+    return _verified(spark, sf_dir, "c_custkey < 200 and c_custkey % 3 > 0")
+
+
+@query("""select coalesce(s_suppkey, c_custkey) as id, case when s_suppkey is null then 'only_right' when c_custkey is null then 'only_left' when s_nationkey = c_nationkey then 'identical' else 'conflict' end as flag from supplier full join customer on s_suppkey = c_custkey""")
+def registry_verify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two whole registries by id."""
+    return _verified(spark, sf_dir, "true")
+
+
+def _verified(spark: SparkSession, sf_dir: str, right: str) -> DataFrame:
     """Two registries by id: what only one has, what agrees, what conflicts."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("x"))
-    b = table(spark, sf_dir, "customer").where("c_custkey < 200 and c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("y"))
+    b = table(spark, sf_dir, "customer").where(right).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("y"))
     flag = F.when(F.col("x").isNull(), "only_right").when(F.col("y").isNull(), "only_left").when(F.col("x") == F.col("y"), "identical").otherwise("conflict")
     return a.join(b, "id", "full").select("id", flag.alias("flag"))
 
