@@ -5,7 +5,7 @@ import math
 
 import pytest
 
-from tidemark.llm import urls
+from tidemark.llm import decontaminate, urls
 from tidemark.llm.registry import RULES
 from tidemark.operators.graph import communities, louvain
 from tidemark.plans.registry import QUERIES, load
@@ -98,3 +98,11 @@ def test_registries_and_names_are_whole(spark, sf_dir):
     assert QUERIES["registry_verify_all"](spark, sf_dir).count() == ids > QUERIES["registry_verify"](spark, sf_dir).count()
     names = QUERIES["string_functions_all"](spark, sf_dir).selectExpr("sum(size(split(names, '[|]'))) as n").first().n
     assert names == read("part").count()
+
+
+def test_items_without_an_id_are_found(spark):
+    passage = "the quick brown fox jumps over the lazy dog near the old river bank at dawn"
+    docs = spark.createDataFrame([(1, f"before it {passage} after it"), (2, "nothing of the kind stands in here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, passage), (7, None)], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_items(docs, items).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]

@@ -199,7 +199,7 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
 
 def _indexes(items: DataFrame, rate: float, item_bytes: int) -> Iterator[Index]:
     """Blocks of items of bounded size, one index each. Items without words match nothing."""
-    rows = items.select("item_id", "text").where("text is not null and item_id is not null").distinct()
+    rows = items.select("item_id", "text").where("text is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("text") * 2), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // item_bytes))
     for k in range(blocks):
@@ -216,7 +216,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, item_bytes
     A word is a run of letters, digits or characters beyond ASCII, in lower case. An item of n words is found if some
     stretch of the document is at most int(rate * n) word edits away; the nearest (then first) stretch is given.
     No shuffle: items go to the documents, in blocks of bounded size. Null or empty texts and items without words
-    match nothing; null doc ids pass through; repeated rows repeat; items that share an id give a row each.
+    match nothing; null doc ids and item ids pass through; repeated rows repeat; items that share an id give a row each.
     """
     sc = docs.sparkSession.sparkContext
     rows, out = docs.select("doc_id", "text"), None
