@@ -16,6 +16,7 @@ from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.pii import redact_personal_data
 from tidemark.llm.quality import fit_quality, score_quality
+from tidemark.operators.primitives import global_row_number
 
 KEEP_SCORE = 0.3
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,18 +30,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the least id. Rows with a null id stay; of rows that share an id
-    with a kept one, all stay only if their texts differ."""
-    tune(spark)
-    kept = near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    keyed, rest = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    chosen = keyed.join(kept, "doc_id", "left_semi").select(docs.columns)
-    return chosen.dropDuplicates(["doc_id", "text"]).union(rest) if _repeats(keyed) else chosen.union(rest)
-
+    """One row of each near-duplicate group: that of the least id, null ids last, then by a hash of the text.
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether some id stands in more than one row."""
-    return bool(docs.groupBy("doc_id").count().where("count > 1").head(1))
+    Texts without words are in no group: such rows stay, but for repeats of both id and text."""
+    tune(spark)
+    if not _ambiguous(docs):
+        kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    rows, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = rows.select(F.col("doc_id").isNull().alias("_null"), "doc_id", F.xxhash64("text").alias("_hash"), "_row")
+    places = global_row_number(order, ["_null", "doc_id", "_hash", "_row"], "_place").select("_row", "_place")
+    rows, _ = written(rows.join(places, "_row"), "placed")
+    kept = near_duplicates(rows, size=5, percent=80, id_column="_place").where("kept").select(F.col("doc_id").alias("_place"))
+    chosen = rows.join(kept, "_place", "left_semi").select(docs.columns)
+    return chosen.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(chosen.where("doc_id is null"))
+
+
+def _ambiguous(docs: DataFrame) -> bool:
+    """Whether an id is null or stands in more than one row, so that ids do not name rows."""
+    return bool(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import decontaminate, urls
 from tidemark.llm.registry import RULES
 from tidemark.operators.graph import communities, louvain
@@ -106,3 +107,13 @@ def test_items_without_an_id_are_found(spark):
     items = spark.createDataFrame([(None, passage), (7, None)], "item_id bigint, text string")
     assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.find_items(docs, items).collect()] == [(1, None, 0)]
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_one_row_of_a_group_stays_whatever_its_id(spark, sf_dir):
+    one, two = (" ".join(f"{w}{k}" for k in range(30)) for w in ("first", "second"))
+    rows = [(1, one), (5, one), (5, two), (5, two), (None, one), (None, one), (None, "only here there are these six words"), (9, two), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, sf_dir).collect()), key=repr)
+    assert got == sorted([(1, one), (5, two), (None, "only here there are these six words"), (None, "")], key=repr)
+    alone = spark.createDataFrame([(2, one), (1, one), (3, two)], docs.schema)
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, alone, sf_dir).collect()) == [1, 3]
