@@ -4,22 +4,66 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset (tests, local mode)."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the driver's JVM ends, even if the session ends earlier."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    store, at = _file_system(spark, path)
+    store.deleteOnExit(at)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _file_system(spark, path)
+    store.delete(at, True)
+    store.cancelDeleteOnExit(at)
+    if (made := _MADE.get()) is not None and path in made:
+        made.remove(path)
+
+
+@contextmanager
+def paths_made() -> Iterator[list[str]]:
+    """A list that fills with the paths made inside the with statement and not yet deleted."""
+    token = _MADE.set([])
+    try:
+        yield _MADE.get()
+    finally:
+        _MADE.reset(token)
+
+
+def written(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
+    """Cut the lineage: write a table in the shared folder and read it again. The path is for delete()."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path, compression=codec)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a table written to the shared folder: the plan behind them is gone, and no executor holds them."""
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "cut")[0]
