@@ -1,20 +1,23 @@
-"""Shared plumbing: table loading, the shared folder, written intermediate tables, Arrow mapping."""
+"""Shared plumbing: table loading, names that do not clash, id lists, Arrow mapping."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
+
+from tidemark.sources.store import delete, new_path, paths_made, shared_dir, written
+
+__all__ = ["delete", "new_path", "paths_made", "shared_dir", "written"]
 
 #: Arrow batches stay small because a single text can be long.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
-_TEMP: list[str] = []
+#: Ids that are sent to every executor, at most: some 64 MB there. More are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,47 +30,39 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir()
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as set it apart from the columns of df in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
 
+def integer_id(df: DataFrame, column: str) -> Column:
+    """The id column as a long; an error here, not in a task, if it holds something else."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{column} must hold integers, not {kind.simpleString()}")
+    return F.col(column).cast("long")
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _TEMP.append(path)
-    return path
 
+def with_ids(df: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of df whose column is in ids (how: left_semi) or is not (left_anti).
 
-def delete(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _TEMP:
-        _TEMP.remove(path)
+    ids is a written table of one column of that name. It is counted: up to BROADCAST_IDS go to every executor, and df is
+    not shuffled.
+    """
+    return df.join(small_or_shuffled(ids), column, how)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write a table in the shared folder and read it again. The path is for delete()."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is counted to hold at most BROADCAST_IDS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-@atexit.register
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in list(_TEMP):
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
+def columns_schema(df: DataFrame) -> str:
+    """The DDL of a frame's columns."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -82,13 +77,6 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(schema: str, spark: SparkSession) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def fold(doc_id) -> int:
     """crc32 of the id as text, modulo 5; 0 marks held-out rows."""
     return zlib.crc32(str(doc_id).encode()) % 5
