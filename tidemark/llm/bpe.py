@@ -1,7 +1,7 @@
-"""Byte-pair encoding: merge lists, pre-tokenisation, the token counter, the streaming transducer and its decoder.
+"""Byte-pair encoding: merge lists, the token counter, the streaming transducer and its decoder.
 
 All vocabularies come from public tokenizer files whose path is a parameter. Pieces (pre-tokens) are independent of
-each other, so each worker keeps a bounded cache of what it has worked out for a piece.
+each other, so each worker keeps a bounded table of what it has worked out for a piece.
 """
 
 from __future__ import annotations
@@ -10,18 +10,13 @@ import codecs
 import heapq
 import json
 import re
-import unicodedata
 from array import array
 from functools import lru_cache
 
-import regex
+import numpy as np
+
+from tidemark.llm.pieces import ByteSplit, PieceTable, WordSplit, segments
 
-#: Fixed pattern of the byte-level vocabularies, as published with them.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Fixed pattern of the word-end vocabulary.
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-#: Entries a worker keeps for pieces and for chunks between blanks, and the longest text that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 _NEVER = 1 << 40
 
 
@@ -162,25 +157,6 @@ def sufficient_lookahead(vocab: Vocabulary) -> int:
     return most
 
 
-class _Cache(dict):
-    """A bounded dict that works out what is missing. When full, its entries age into `old`; the older ones go."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Transducer:
     """Streaming encoder and decoder of a byte-level vocabulary.
 
@@ -193,14 +169,12 @@ class Transducer:
         self.vocab = vocabulary(path)
         self.lookahead = sufficient_lookahead(self.vocab)
         self.window = max(window, 2 * self.lookahead, 64)
-        self.pattern = regex.compile(BYTE_PATTERN)
         self.table = [b""] * (1 + max([*self.vocab.ids.values(), *self.vocab.special.values()]))
         for t, i in self.vocab.ids.items():
             self.table[i] = self.vocab.token_bytes(t)
         for t, i in self.vocab.special.items():
             self.table[i] = t.encode()
-        self.pieces = _Cache(self._piece)
-        self.chunks = _Cache(self._chunk)
+        self.split, self.known = ByteSplit(), PieceTable(self._learn, "<u4")
 
     def tokens(self, piece: bytes):
         """Yield lists of ids of a piece as they become stable."""
@@ -221,31 +195,37 @@ class Transducer:
             yield out
             start = at
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(array("I", ids).tobytes() for ids in self.tokens(piece.encode()))
-
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + chunk)))
-
-    def _plain(self, text: str) -> bytes:
-        # A blank joins the word after it, so what lies between blanks can be looked up whole. Runs of white space
-        # that cross a blank are split by the pattern over the whole text instead.
-        if text[-1:] == " " or _BLANK_RUN.search(text):
-            return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
-        first, *rest = text.split(" ")
-        head = b"".join(map(self.pieces.__getitem__, self.pattern.findall(first)))
-        return head + b"".join(map(self.chunks.__getitem__, rest))
+    def _learn(self, keys: list[str | int]):
+        """Ids of pieces; a number stands for itself."""
+        for key in keys:
+            if isinstance(key, int):
+                yield key.to_bytes(4, "little")
+            elif len(piece := key.encode()) <= 32:
+                yield array("I", merge_short(self.vocab.symbols(piece), self.vocab.ranks, self.vocab.made)).tobytes()
+            else:
+                yield b"".join(array("I", ids).tobytes() for ids in self.tokens(piece))
+
+    def _keys(self, text: str, plain: bool):
+        """Lists of pieces, in turn; a special string is its id."""
+        found, at = self.vocab.special_re, 0
+        if not plain and found:
+            for m in found.finditer(text):
+                yield from map(self.split, segments(text[at : m.start()]))
+                yield [self.vocab.special[m.group()]]
+                at = m.end()
+        yield from map(self.split, segments(text[at:] if at else text))
+
+    def encode_all(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Special strings in a text become their own ids, or, if plain, are text as any other.
+        """
+        ids, ends = self.known.gather([self._keys(t, plain) for t in texts])
+        flat, ends = ids.tobytes(), (4 * ends).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; special strings in the text become their own ids."""
-        found = self.vocab.special_re
-        if not found or not found.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in found.finditer(text):
-            out += [self._plain(text[at : m.start()]), self.vocab.special[m.group()].to_bytes(4, "little")]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes, step: int = 1 << 16) -> str:
         """Ids to text, `step` ids at a time; between steps only the bytes of an unfinished character are held."""
@@ -257,43 +237,30 @@ class Transducer:
         return "".join(out)
 
 
-_BLANK_RUN = re.compile(r" \s")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-
-
 class WordPieces:
-    """Pre-tokenisation of the word-end vocabulary (white space dropped, NFC, lower case) with a value per piece.
-
-    `value(piece bytes)` is worked out once for a piece; `join` combines values. Values add up: counts or id bytes.
-    """
-
-    def __init__(self, path: str, value, empty) -> None:
-        self.vocab = vocabulary(path)
-        self.pattern = regex.compile(WORD_PATTERN)
-        self.space = regex.compile(r"\s+")
-        self.value, self.empty = value, empty
-        self.pieces = _Cache(lambda piece: value(piece.encode()))
-        self.chunks = _Cache(self._chunk)
-        self.join = sum if isinstance(empty, int) else b"".join
-
-    def _chunk(self, chunk: str):
-        if not chunk.isascii() and not unicodedata.is_normalized("NFC", chunk):
-            chunk = unicodedata.normalize("NFC", chunk)
-        low = chunk.lower() if chunk.isascii() else "".join(map(str.lower, chunk))  # each character by itself
-        return self.join(map(self.pieces.__getitem__, self.pattern.findall(low)))
-
-    def segment(self, text: str):
-        """The joined value of a text without special strings."""
-        parts = self.space.split(text) if _ODD_SPACE.search(text) else text.split()
-        return self.join(map(self.chunks.__getitem__, parts))
-
-    def text(self, text: str, special):
-        """The joined value of a whole text; special(string) gives the value of a special string."""
-        found = self.vocab.special_re
-        if not found or not found.search(text):
-            return self.segment(text)
-        out, at = [], 0
-        for m in found.finditer(text):
-            out += [self.segment(text[at : m.start()]), special(m.group())]
-            at = m.end()
-        return self.join([*out, self.segment(text[at:])])
+    """Sums of a number for each piece of the word-end vocabulary; value(piece bytes) is worked out once for a piece."""
+
+    def __init__(self, path: str, value) -> None:
+        self.vocab, self.split, self.value = vocabulary(path), WordSplit(), value
+        self.known = PieceTable(self._learn, "<u4")
+
+    def _learn(self, keys: list[str | int]):
+        """A number stands for itself."""
+        for key in keys:
+            yield (key if isinstance(key, int) else self.value(key.encode())).to_bytes(4, "little")
+
+    def _keys(self, text: str, special: int):
+        found, at = self.vocab.special_re, 0
+        if found:
+            for m in found.finditer(text):
+                yield from map(self.split, segments(text[at : m.start()]))
+                yield [special]
+                at = m.end()
+        yield from map(self.split, segments(text[at:] if at else text))
+
+    def totals(self, texts: list[str], special: int) -> np.ndarray:
+        """The sum over each text; every special string counts as `special`."""
+        values, ends = self.known.gather([self._keys(t, special) for t in texts])
+        before = np.zeros(len(values) + 1, np.int64)
+        np.cumsum(values, out=before[1:])
+        return np.diff(before[ends], prepend=0)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.codec import transducer
-from tidemark.llm.common import map_arrow
 
 #: Reserved ids follow the vocabulary's own; their strings are how they are shown.
 MARKS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>")
@@ -41,43 +40,37 @@ def first_reserved(tokenizer: str) -> int:
     return len(transducer(tokenizer).table)
 
 
-def encode_segment(tokenizer: str, text: str) -> bytes:
-    """Ids (u32) of an escaped content; special strings do not occur in it."""
-    return transducer(tokenizer)._plain(escape(text)) if text else b""
+def encode_segments(tokenizer: str, texts: list[str]) -> list[bytes]:
+    """Ids (u32) of escaped contents; special strings do not occur in them."""
+    return transducer(tokenizer).encode_all([escape(t) for t in texts], plain=True)
 
 
 def format_conversations(df: DataFrame, tokenizer: str, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Rows (conv_id, part, n_turns, ids, mask): a conversation's tokens, and 1 for each token of an assistant's text.
 
     A turn is START role SEP text END with reserved ids for the marks; role and text are escaped and encoded apart,
-    so no content can make a mark. Turns are ordered by turn (nulls first), then role and text. Encoding happens
-    before the shuffle; conversations are then streamed from sorted partitions, and a long one leaves in several
-    parts, consecutive rows of one partition, so no conversation is held whole.
+    so no content can make a mark. Turns are ordered by turn (nulls first), role, a hash of the text, and the text.
+    Rows are dealt by ranges of that order, so a conversation of any size, or all rows without one, spread over tasks;
+    each task streams its range. A conversation leaves in one or several parts, whose numbers ascend along it.
 
     Null role and text are empty; rows with a null conv_id form one conversation; repeated rows are turns of their
-    own; an empty table gives no rows; other columns are not read.
+    own; a turn of any length is in one part; an empty table gives no rows; other columns are not read.
     """
     rows = df.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    )
-
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        start, sep, end = (int(first_reserved(tokenizer) + k).to_bytes(4, "little") for k in range(3))
-        ids, before, inside = [], [], []
-        for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            head, body = encode_segment(tokenizer, role), encode_segment(tokenizer, text)
-            ids.append(b"".join([start, head, sep, body, end]))
-            before.append(2 + len(head) // 4)
-            inside.append(len(body) // 4 if role == "assistant" else 0)
-        order = pa.array([hashlib.blake2b(f"{r}\0{t}".encode(), digest_size=8).hexdigest() for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), order, pa.array(ids, pa.binary()), pa.array(before, pa.int32()), pa.array(inside, pa.int32())],
-            ["conv_id", "turn", "role", "tie", "ids", "before", "inside"],
-        )
+    ).withColumn("tie", F.xxhash64("text"))
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("tie"), F.col("text")]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order[:4]).sortWithinPartitions(*order).select("conv_id", "role", "text")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, part, conv, started = [], 0, 0, None, False
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        start, sep, end = (int(first_reserved(tokenizer) + k).to_bytes(4, "little") for k in range(3))
+        held: list[tuple[bytes, int, int]] = []
+        size, conv = 0, None
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(h[0] for h in held), "<u4")
@@ -87,28 +80,24 @@ def format_conversations(df: DataFrame, tokenizer: str, part_tokens: int = PART_
                 step[at + before + inside] -= inside > 0
                 at += len(raw) // 4
             mask = np.cumsum(step[:-1], dtype=np.int8)
-            columns = [pa.array([conv], pa.int64()), pa.array([part], pa.int32()), pa.array([len(held)], pa.int64())]
+            columns = [pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array([len(held)], pa.int64())]
             columns += [pa.array([ids.tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "n_turns", "ids", "mask"])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if held and (row[0] != conv or size >= part_tokens):
+            convs, roles, texts = (c.to_pylist() for c in batch.columns)
+            coded = zip(convs, roles, encode_segments(tokenizer, roles), encode_segments(tokenizer, texts), strict=True)
+            for this, role, head, body in coded:
+                if held and (this != conv or size >= part_tokens):
                     yield flush()
-                    part, held, size = (part + 1 if row[0] == conv else 0), [], 0
-                elif started and row[0] != conv:
-                    part = 0
-                conv, started = row[0], True
-                held.append(row[1:])
-                size += len(row[1]) // 4
+                    part, held, size = part + 1, [], 0
+                conv = this
+                held.append((b"".join([start, head, sep, body, end]), 2 + len(head) // 4, len(body) // 4 if role == "assistant" else 0))
+                size += len(held[-1][0]) // 4
         if held:
             yield flush()
 
-    coded = map_arrow(rows, encode, "conv_id bigint, turn bigint, role string, tie string, ids binary, before int, inside int")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "tie"]
-    dealt = coded.repartition(n, "conv_id").sortWithinPartitions(*order).select("conv_id", "ids", "before", "inside")
-    return dealt.mapInArrow(assemble, "conv_id bigint, part int, n_turns bigint, ids binary, mask binary")
+    return dealt.mapInArrow(assemble, "conv_id bigint, part bigint, n_turns bigint, ids binary, mask binary")
 
 
 @dataclass
@@ -145,7 +134,8 @@ class _Digest:
 def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """Per conversation, from its tokens and mask alone: counts and digests of its turns and of what is under the mask.
 
-    Parts must follow each other within a partition, as format_conversations leaves them.
+    The digests run over a conversation from its first turn to its last, so its parts, wherever they stand, are streamed
+    in order through one task, which holds a part at a time.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -154,10 +144,9 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
         now: _Digest | None = None
         for batch in batches:
             done = []
-            for conv, part, ids, mask in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if part == 0 and now is not None:
-                    done.append(now.row())
-                if part == 0:
+            for conv, ids, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or now.conv_id != conv:
+                    done += [now.row()] if now else []
                     now = _Digest(conv)
                 now.add(tokenizer, ids, mask)
             if done:
@@ -165,5 +154,7 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(now.row(), types, strict=True)], names)
 
+    n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "part").select("conv_id", "ids", "mask")
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return formatted.select("conv_id", "part", "ids", "mask").mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ def encode_decode(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         tool = transducer(tokenizer)
-        ids = [tool.encode(text.as_py() or "") for text in batch.column(1)]
+        ids = tool.encode_all([t or "" for t in batch.column(1).to_pylist()])
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm import bpe
@@ -13,9 +14,9 @@ from tidemark.llm.common import map_arrow
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> bpe.WordPieces:
-    """One per worker process; its cache lives as long as the worker."""
+    """One per worker process; its table lives as long as the worker."""
     vocab = bpe.vocabulary(path)
-    return bpe.WordPieces(path, lambda piece: bpe.count_tokens(vocab.symbols(piece), vocab.ranks, vocab.made), 0)
+    return bpe.WordPieces(path, lambda piece: bpe.count_tokens(vocab.symbols(piece), vocab.ranks, vocab.made))
 
 
 def token_counts(
@@ -29,16 +30,11 @@ def token_counts(
     id_type = df.select(id_column).schema[0].dataType.simpleString()
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tool = counter(tokenizer)
-        sizes, tokens = [], []
-        for text in batch.column(1):
-            text = text.as_py() or ""
-            sizes.append(len(text.encode()))
-            tokens.append(tool.text(text, lambda _: 1))
-        n = pa.array(tokens, pa.int64())
-        over = pa.array([x > limit for x in tokens], pa.bool_())
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        tokens = counter(tokenizer).totals(texts, special=1)
+        sizes = pc.coalesce(pc.binary_length(batch.column(1)), pa.scalar(0, pa.int32())).cast(pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), n, over], [id_column, "n_bytes", "n_tokens", "over_limit"]
+            [batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], [id_column, "n_bytes", "n_tokens", "over_limit"]
         )
 
     schema = f"`{id_column}` {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean"
