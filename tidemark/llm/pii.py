@@ -6,13 +6,15 @@ import math
 import random
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow
+from tidemark.llm.common import columns_schema, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed base patterns. Looking behind only skips starts that cannot match, so runs of digits cost linear time.
@@ -21,11 +23,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|dot|DOT|Dot")
 #: Tokens of a segment at most, characters of one at most, and the posterior from which a segment is taken.
 MAX_TOKENS, MAX_CHARS, SURE = 15, 64, 0.7
-#: Characters looked at on either side of an anchor, cut back to white space.
-REACH = 48
 
 
 def luhn(digits: str) -> bool:
@@ -72,9 +71,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # The field. Segments of kind -1 are single tokens outside any entity; others are spans of at most MAX_TOKENS tokens.
 
 _TOKEN = re.compile(r"[^\s()\[\]<>{},;:\"'!?|*#&$%=~^`\\/]+(?<![.\-])|[^\s]")
-_AT, _DOT = re.compile(r"[(\[{<]?\s?at\s?[)\]}>]?", re.I), re.compile(r"[(\[{<]?\s?dot\s?[)\]}>]?", re.I)
 _VEILED = re.compile(r"[\w.+-]+ ?[(\[{<]? ?at ?[)\]}>]? ?[\w-]+(?: ?[(\[{<]? ?dot ?[)\]}>]? ?[A-Za-z]{2,})+", re.I)
 _SPACED = re.compile(r"[\w.+-]+ ?@ ?[\w-]+(?: ?\. ?[A-Za-z]{2,})+")
+_DIGIT = re.compile("[0-9]")
+_DIAL = re.compile(r"\+?\(?[0-9]{1,4}\)?(?:[ .\-]?\(?[0-9]{2,4}\)?){2,4}")
+#: Where tokens end for certain: white space, and marks that are tokens of their own.
+_EDGE = re.compile(r"[\s()\[\]<>{},;:\"'!?|*#&$%=~^`\\/]")
+_SIGN = re.compile("@|dot", re.I)
 _HEX6 = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){3,7}")
 _CUES = {
     "email": 0, "mail": 0, "contact": 0, "write": 0, "ip": 1, "host": 1, "server": 1, "address": 1, "card": 2, "visa": 2, "credit": 2,
@@ -96,7 +99,7 @@ def segment_features(text: str, spans: list[tuple[int, int]], i: int, j: int) ->
     if end - start > MAX_CHARS:
         return []
     part = text[start:end]
-    n_digits = sum(c.isdigit() for c in part)
+    n_digits = len(_DIGIT.findall(part))
     veiled = (" " in part or "(" in part or "[" in part) and bool(_VEILED.fullmatch(part))
     at_sign = "@" in part
     if not (n_digits >= 7 or veiled or at_sign or part.count(":") >= 3 or (part.count(".") >= 3 and n_digits >= 4)):
@@ -104,25 +107,25 @@ def segment_features(text: str, spans: list[tuple[int, int]], i: int, j: int) ->
     if not (part[0].isalnum() or part[0] in "+(") or not part[-1].isalnum():
         return []
     out = [f"shape={_shape(part)}", f"digits={n_digits}", f"tokens={j - i + 1}"]
-    digits = "".join(c for c in part if c.isdigit())
+    digits = "".join(_DIGIT.findall(part))
     kinds = "".join(sorted({c for c in part if not c.isalnum()}))
     letters = any(c.isalpha() for c in part)
     out.append(f"marks={kinds}|{letters}")
     if not letters and n_digits >= 13:
         out.append(f"luhn={luhn(digits)}|{n_digits in range(13, 20)}")
-        groups = [g for g in re.split(r"\D+", part) if g]
+        groups = re.findall("[0-9]+", part)
         out.append(f"fours={luhn(digits) and all(len(g) == 4 for g in groups[:-1])}")
     if veiled:
         out.append("veiled")
     if at_sign:
         out.append(f"spaced={bool(_SPACED.fullmatch(part))}")
     parts = re.split(r"\.|\[\.\]| dot ", part)
-    if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 for p in parts):
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 for p in parts):
         out.append(f"quad={all(int(p) <= 255 for p in parts)}")
     if _HEX6.fullmatch(part):
         out.append(f"colons={part.count(':')}")
-    if not letters and 7 <= n_digits <= 15 and re.fullmatch(r"\+?\(?\d{1,4}\)?(?:[ .\-]?\(?\d{2,4}\)?){2,4}", part):
-        groups = "-".join(str(len(g)) for g in re.split(r"\D+", part) if g)
+    if not letters and 7 <= n_digits <= 15 and _DIAL.fullmatch(part):
+        groups = "-".join(str(len(g)) for g in re.findall("[0-9]+", part))
         out.append(f"dial={groups}|{'(' in part}|{'+' in part}")
     before, after = text[max(0, start - 1) : start], text[end : end + 1]
     out.append(f"edges={before.isalnum() or before in ('.', '-', '=', '_', '/', '$')}|{after.isalnum() or after in ("-", "_", "/")}")
@@ -341,50 +344,96 @@ def trained() -> dict:
     return {k: v for k, v in train().w.items() if abs(v) > 1e-6}
 
 
-def added_spans(field: SemiMarkov, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Segments that the field is sure of, in windows around digits and signs that base spans do not cover."""
-    taken = sorted((a, b) for a, _, b in base)
-    windows: list[list[int]] = []
-    k = 0
-    for m in _ANY.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            k += 1
-        if k < len(taken) and taken[k][0] <= m.start():
-            continue
-        low = max(m.start() - REACH, taken[k - 1][1] if k else 0)
-        high = min(m.end() + REACH, taken[k][0] if k < len(taken) else len(text))
-        if windows and windows[-1][2] == k and m.start() <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], high)
+def zones(text: str) -> list[list[int]]:
+    """Stretches outside which no segment can be an entity.
+
+    By segment_features an entity holds an at sign, the letters dot, seven digits, three colons, or four digits and three
+    points, within MAX_CHARS characters. So it lies within MAX_CHARS of the ends of such a group.
+    """
+    groups = [(m.start(), m.end()) for m in _SIGN.finditer(text)]
+    if text.count(":") >= 3:
+        colons = [m.start() for m in re.finditer(":", text)]
+        groups += [(a, b + 1) for a, b in zip(colons, colons[2:]) if b - a < MAX_CHARS]
+    digits = [m.start() for m in _DIGIT.finditer(text)]
+    groups += [(a, b + 1) for a, b in zip(digits, digits[6:]) if b - a < MAX_CHARS]
+    if digits and text.count(".") >= 3:
+        groups += [(a, b + 1) for a, b in zip(digits, digits[3:]) if b - a < MAX_CHARS and text.count(".", max(0, b + 1 - MAX_CHARS), a + MAX_CHARS) >= 3]
+    out: list[list[int]] = []
+    for low, high in sorted((max(0, b - MAX_CHARS), min(len(text), a + MAX_CHARS)) for a, b in groups):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
         else:
-            windows.append([low, high, k])
-    out = []
-    for low, high, _ in windows:
-        while low > 0 and not text[low - 1].isspace() and low > 0 and text[low].isalnum() and high - low < 4 * REACH:
+            out.append([low, high])
+    return out
+
+
+def _wider(text: str, low: int, high: int, first: int, last: int) -> tuple[int, int]:
+    """The stretch with the three words before it, which cues may stand in, and the word after it, all within first to last."""
+    for _ in range(4):
+        while low > first and text[low - 1].isspace():
+            low -= 1
+        while low > first and not text[low - 1].isspace():
             low -= 1
-        if any(low < b and a < high for a, b in taken):
-            low = max([low, *(b for _, b in taken if b <= high and b > low)])
-        spans = tokens(text, low, high)
-        lattice = field.lattice(text, spans)
-        if not any(lattice):
-            continue
-        scored = field.scores(lattice)
-        sure = None
-        for i, j, y in field.best(scored):
-            sure = sure or field.posteriors(scored)
-            if sure[i, j, y] >= SURE:
-                out.append((spans[i][0], y, spans[j][1]))
-    kept, last = [], 0
-    for a, y, b in sorted(out):
-        if a >= last and not any(a < d and c < b for c, d in taken):
-            kept.append((a, y, b))
-            last = b
-    return kept
+    edge = _EDGE.search(text, high, last)
+    high = edge.start() if edge else last
+    while high < last and text[high].isspace():
+        high += 1
+    edge = _EDGE.search(text, high + 1, last) if high < last else None
+    return low, edge.start() if edge else last
+
+
+def _islands(lattice: list[list]) -> Iterator[tuple[int, int]]:
+    """Runs of tokens that some segment covers, each with the token after it, which is outside any entity.
+
+    What lies outside for certain parts the sequence: sums and best segmentations of the runs are those of the whole.
+    """
+    covered = [0] * (len(lattice) + 1)
+    for j, row in enumerate(lattice):
+        if row:
+            covered[min(i for i, _ in row)] += 1
+            covered[j + 1] -= 1
+    covered = list(accumulate(covered))
+    start = None
+    for j, n in enumerate(covered):
+        if n and start is None:
+            start = j
+        elif not n and start is not None:
+            yield start, min(j + 1, len(lattice))
+            start = None
+
+
+def added_spans(field: SemiMarkov, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Segments that the field is sure of, in the whole text: what base spans leave are sequences of their own.
+
+    Tokens that can be in no entity are passed over, which changes nothing (zones, _islands).
+    """
+    near, out, at, k = zones(text), [], 0, 0
+    for a, b in [*((a, b) for a, _, b in sorted(base)), (len(text), len(text))]:
+        first, last, at = at, a, max(at, b)
+        while k < len(near) and near[k][1] <= first:
+            k += 1
+        parts: list[list[int]] = []
+        j = k
+        while j < len(near) and near[j][0] < last:
+            low, high = _wider(text, max(near[j][0], first), min(near[j][1], last), first, last)
+            j += 1
+            if parts and low <= parts[-1][1]:
+                parts[-1][1] = max(parts[-1][1], high)
+            else:
+                parts.append([low, high])
+        for low, high in parts:
+            spans = tokens(text, low, high)
+            lattice = field.lattice(text, spans)
+            for start, end in _islands(lattice):
+                scored = field.scores([[(i - start, f) for i, f in row] for row in lattice[start:end]])
+                best = field.best(scored)
+                sure = field.posteriors(scored) if best else {}
+                out += [(spans[start + i][0], y, spans[start + j][1]) for i, j, y in best if sure[i, j, y] >= SURE]
+    return out
 
 
 def find_spans(field: SemiMarkov, text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind number, end, base) of all spans of a text, in order."""
-    if not _ANY.search(text):
-        return []
     base = base_spans(text)
     return sorted([(a, y, b, True) for a, y, b in base] + [(a, y, b, False) for a, y, b in added_spans(field, text, base)])
 
@@ -406,8 +455,10 @@ _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, spans (array of kind, start, end, base; code points, end exclusive; by start, then kind).
 
-    Base spans are the fixed patterns' matches; the others come from the field, and touch no base span. No shuffle.
-    Null and empty texts have no spans; null ids and repeated rows pass through; an empty table gives no rows.
+    Base spans are the fixed patterns' matches; the others come from the field, which reads the whole of what base spans
+    leave, and touch no base span. No shuffle. Null and empty texts have no spans; long texts are read whole; spans of
+    one start are in the order of KINDS; null ids and repeated rows pass through; an empty table gives no rows; other
+    columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
     id_type = docs.select(id_column).schema[0].dataType.simpleString()
@@ -421,7 +472,10 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def redact_personal_data(docs: DataFrame) -> DataFrame:
-    """The columns of docs, spans in `text` replaced by their kind in brackets; a column n_chars is counted anew."""
+    """The columns of docs, spans in `text` replaced by their kind in brackets; a column n_chars is counted anew.
+
+    Null texts stay null; repeated rows and null ids pass through; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -429,8 +483,7 @@ def redact_personal_data(docs: DataFrame) -> DataFrame:
         texts = [None if (t := x.as_py()) is None else redact(t, find_spans(field, t)) for x in batch.column(at)]
         return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = map_arrow(docs, run, schema)
+    out = map_arrow(docs, run, columns_schema(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
