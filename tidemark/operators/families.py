@@ -1,15 +1,14 @@
-"""Families of exclusive markets whose prices should sum to one: hourly sums and stateful episodes."""
+"""Families of exclusive markets whose prices should sum to one: hourly sums, corrective trades, episodes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-EPISODE = "family bigint, opened_sec bigint, closed_sec bigint, peak double, n_trades bigint, closer bigint, corrective double"
+from tidemark.operators.primitives import running
+
+_ORDER = ["sec", "tx_hash", "evt_index"]
 
 
 def hourly_sums(hourly: DataFrame, carry_h: int = 24, least: int = 3) -> DataFrame:
@@ -26,74 +25,72 @@ def hourly_sums(hourly: DataFrame, carry_h: int = 24, least: int = 3) -> DataFra
     return out.where(F.col("alive") >= least)
 
 
-class _Family:
-    """One family's state: last prices, their running sum, and the open episode if there is one."""
-
-    def __init__(self, family: int, stale_s: int, least: int, opens: float, closes: float) -> None:
-        self.family, self.stale_s, self.least, self.opens, self.closes = family, stale_s, least, opens, closes
-        self.last: dict[int, tuple[int, int]] = {}  # oldest price first
-        self.total, self.open_at, self.peak, self.n, self.best = 0, None, 0.0, 0, (0.0, None)
-
-    def _sum(self) -> float | None:
-        return self.total / 100 if len(self.last) >= self.least else None
-
-    def trade(self, condition: int, sec: int, pc: int, wallet: int) -> tuple | None:
-        """Take a trade in; the episode that it closes, if any."""
-        while self.last and sec - self.last[oldest := next(iter(self.last))][0] > self.stale_s:
-            self.total -= self.last.pop(oldest)[1]
-        before = self._sum()
-        self.total += pc - self.last.pop(condition, (0, 0))[1]
-        self.last[condition] = (sec, pc)
-        after = self._sum()
-        if self.open_at is not None and before is not None and after is not None:
-            gain = abs(before - 1) - abs(after - 1)
-            if gain > self.best[0]:
-                self.best = (gain, wallet)
-        if after is None:
-            return None
-        off = abs(after - 1)
-        if self.open_at is None:
-            if off > self.opens:
-                self.open_at, self.peak, self.n, self.best = sec, off, 1, (0.0, None)
-            return None
-        self.peak, self.n = max(self.peak, off), self.n + 1
-        return self.end(sec) if off < self.closes else None
-
-    def end(self, sec: int | None) -> tuple | None:
-        """The open episode, closed at sec, or unfinished if that is None."""
-        if self.open_at is None:
-            return None
-        out = (self.family, self.open_at, sec, self.peak, self.n, self.best[1], self.best[0])
-        self.open_at = None
-        return out
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in EPISODE.split(", ")])
-    for c in ("closed_sec", "closer"):
-        pdf[c] = pdf[c].astype("Int64")
-    return pdf
-
-
-def episodes(trades: DataFrame, stale_s: int = 172_800, least: int = 3, opens: float = 0.05, closes: float = 0.02) -> DataFrame:
-    """Stretches in which a family's prices sum to more than `opens` away from one, until within `closes`.
-
-    trades: (family, condition_id, sec, pc, wallet) of outcome 0, with tie-break columns. The closer is the wallet of
-    the largest corrective step. Trades of a family are streamed in order from a sorted partition.
-    """
+def price_sums(trades: DataFrame, stale_s: int = 172_800, least: int = 3, chunk: int = 2_592_000) -> DataFrame:
+    """Each trade with how far its family's price sum stands from 100 cents before and after it (off_before, off_after).
 
-    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: _Family | None = None
-        for pdf in stream:
-            done = []
-            for family, *trade in pdf[["family", "condition_id", "sec", "pc", "wallet"]].itertuples(index=False):
-                if now is None or now.family != family:
-                    done.append(now.end(None) if now else None)
-                    now = _Family(family, stale_s, least, opens, closes)
-                done.append(now.trade(*trade))
-            yield _frame([d for d in done if d])
-        if now and (last := now.end(None)):
-            yield _frame([last])
-
-    n = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return trades.repartition(n, "family").sortWithinPartitions("family", "sec", "tx_hash", "evt_index").mapInPandas(run, EPISODE)
+    trades: family, condition_id, sec, tx_hash, evt_index, pc, wallet. The sum counts only while every candidate of the
+    family (all that ever trade in it; `least` or more) has a price no older than stale_s; else the distance is null. The
+    sum is a running sum of price changes, and a candidate that goes stale is an event of its own, so nothing is held per
+    family but running totals, by chunks of time.
+    """
+    known = running(trades, ["family", "condition_id"], _ORDER, chunk, before={"prev_pc": F.col("pc"), "prev_sec": F.col("sec")})
+    late = F.coalesce((F.col("sec") - F.col("prev_sec") > stale_s).cast("bigint"), F.lit(0))
+    known = known.withColumns({"late": late, "fresh": F.col("prev_sec").isNull().cast("bigint"), "step": F.col("pc") - F.coalesce("prev_pc", F.lit(0))})
+    members = trades.groupBy("family", "condition_id").agg(F.max("sec").alias("sec"))
+    gone = known.where("late = 1").select("family", "prev_sec").union(members.select("family", "sec"))
+    none = F.lit(0).cast("bigint")
+    gone = gone.toDF("family", "sec").select("family", (F.col("sec") + stale_s + 1).alias("sec"), F.lit(0).alias("kind"), none.alias("step"), none.alias("fresh"), F.lit(1).cast("bigint").alias("aged"))
+    events = known.withColumns({"kind": F.lit(1), "aged": -F.col("late")}).unionByName(gone, allowMissingColumns=True)
+    sums = {"total": F.col("step"), "seen": F.col("fresh"), "stale": F.col("aged")}
+    totals = running(events, ["family"], ["sec", "kind", "tx_hash", "evt_index"], chunk, sums=sums).where("kind = 1")
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= least)
+    after = (F.col("seen") == F.col("members")) & (F.col("stale") == 0)
+    before = (F.col("seen") - F.col("fresh") == F.col("members")) & (F.col("stale") + F.col("late") == 0)
+    return totals.join(size, "family").select(
+        "family", "condition_id", *_ORDER, "pc", "wallet",
+        F.when(before, F.abs(F.col("total") - F.col("step") - 100)).alias("off_before"), F.when(after, F.abs(F.col("total") - 100)).alias("off_after"),
+    )
+
+
+def _credited(sums: DataFrame, opens: int, closes: int, chunk: int) -> DataFrame:
+    """Trades with mag (what they take off the distance; negative if they add to it) and the number of their episode."""
+    both = F.col("off_before").isNotNull() & F.col("off_after").isNotNull()
+    state = F.when(F.col("off_after") > opens, 1).when(both & (F.col("off_after") < closes), 0)
+    held = running(sums, ["family"], _ORDER, chunk, before={"prior": state})
+    prior, state = F.coalesce("prior", F.lit(0)), F.coalesce(state, F.lit(-1))
+    starts = ((prior == 0) & (state == 1)).cast("bigint")
+    held = held.withColumns({"starts": starts, "ends": ((prior == 1) & (state == 0)).cast("int"), "inside": (prior == 1) | (starts == 1), "mag": F.when(both, F.col("off_before") - F.col("off_after"))})
+    return running(held, ["family"], _ORDER, chunk, sums={"episode": F.col("starts")})
+
+
+def episodes(sums: DataFrame, opens: int = 5, closes: int = 2, chunk: int = 2_592_000) -> DataFrame:
+    """Finished stretches in which a family's prices sum to more than `opens` cents off, until within `closes`.
+
+    sums: as price_sums gives them. Per episode: start, peak distance, how many wallets took something off, and the closer:
+    the wallet with the largest total taken off (ties by its first such trade), null if there is none.
+    """
+    inside = _credited(sums, opens, closes, chunk).where("inside")
+    peak = F.when(F.col("mag").isNotNull(), F.greatest("off_before", "off_after")).when(F.col("starts") == 1, F.col("off_after"))
+    whole = inside.groupBy("family", "episode").agg(F.min("sec").alias("start"), F.max(peak).alias("peak"), F.max("ends").alias("ended"))
+    gains = inside.where("mag > 0").groupBy("family", "episode", "wallet").agg(F.sum("mag").alias("gain"), F.min(F.struct(*_ORDER)).alias("at"))
+    ranked = F.row_number().over(Window.partitionBy("family", "episode").orderBy(F.col("gain").desc(), "at"))
+    several = F.count(F.lit(1)).over(Window.partitionBy("family", "episode"))
+    top = gains.select("family", "episode", "wallet", "gain", ranked.alias("r"), several.alias("n")).where("r = 1")
+    out = whole.where("ended = 1").join(top, ["family", "episode"], "left")
+    return out.select("family", "start", F.col("peak").cast("bigint").alias("peak"), F.coalesce("n", F.lit(0)).cast("bigint").alias("correctors"), F.col("wallet").alias("closer"), F.coalesce("gain", F.lit(0)).cast("bigint").alias("corrective"))
+
+
+def corrections(sums: DataFrame) -> DataFrame:
+    """Per wallet: cents taken off and added to the distance by its trades, and how many did either."""
+    mag = F.col("off_before") - F.col("off_after")
+    total = lambda c: F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0)).cast("bigint")
+    return sums.where("off_before is not null and off_after is not null").groupBy("wallet").agg(
+        total(mag).alias("corrective"), total(-mag).alias("added"), F.count_if(mag > 0).alias("n_corrective"), F.count_if(mag < 0).alias("n_added")
+    )
+
+
+def covered_sums(hourly: DataFrame, members: DataFrame, carry_h: int = 24, least: int = 3, coverage: float = 0.8) -> DataFrame:
+    """hourly_sums where the candidates alive in that hour (first to last trade) number `least` and enough have a price."""
+    grid = hourly_sums(hourly, carry_h, 1)
+    alive = members.select("family", F.explode(F.sequence("first_hour", "last_hour")).alias("hour")).groupBy("family", "hour").agg(F.count(F.lit(1)).alias("candidates"))
+    return grid.join(alive, ["family", "hour"]).where((F.col("candidates") >= least) & (F.col("alive") >= coverage * F.col("candidates")))

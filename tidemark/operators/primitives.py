@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,22 +30,33 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k:
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
-    """Row numbers over all rows in a total order, without bringing them into one task.
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
-    Rows are dealt by ranges of the order and written; numbers within a range plus the sizes of those before give the
-    place. The sizes are one row a range.
+
+def global_running(df: DataFrame, order: Sequence[str | Column], running: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Running sums, minima or maxima over all rows in a total order, without bringing them into one task.
+
+    Rows are dealt by ranges of the order and written; what runs within a range is combined with one row for each range
+    before it.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    dealt = cut(df.withColumns({f"_{k}": c for k, (c, _) in running.items()}).repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    ends = dealt.groupBy("_range").agg(*[_MERGE[how](f"_{k}").alias(f"_{k}") for k, (_, how) in running.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("_w", within).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_w") + F.col("_before")).drop("_range", "_w", "_before")
+    carried = ends.select("_range", *[_MERGE[how](f"_{k}").over(before).alias(f"_before_{k}") for k, (_, how) in running.items()])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumns({k: _MERGE[how](f"_{k}").over(within) for k, (_, how) in running.items()}).join(F.broadcast(carried), "_range")
+    both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    out = out.withColumns({k: both[how](F.col(k), F.col(f"_before_{k}")) for k, (_, how) in running.items()})
+    return out.drop("_range", *[f"_{k}" for k in running], *[f"_before_{k}" for k in running])
+
+
+def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str = "row_number") -> DataFrame:
+    """Row numbers over all rows in a total order, by ranges (global_running)."""
+    return global_running(df, order, {name: (F.lit(1).cast("bigint"), "sum")})
 
 
-def global_ntile(df: DataFrame, order: Sequence[str], tiles: int, name: str = "tile") -> DataFrame:
+def global_ntile(df: DataFrame, order: Sequence[str | Column], tiles: int, name: str = "tile") -> DataFrame:
     """ntile over all rows in a total order: the first (count mod tiles) tiles get one row more."""
     numbered = cut(global_row_number(df, order, "_k"))
     total = numbered.agg(F.count(F.lit(1)).alias("_total"))
@@ -53,6 +66,29 @@ def global_ntile(df: DataFrame, order: Sequence[str], tiles: int, name: str = "t
     return numbered.crossJoin(F.broadcast(total)).withColumn(name, (place + 1).cast("bigint")).drop("_k", "_total")
 
 
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: int, sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None, before: dict[str, Column] | None = None
+) -> DataFrame:
+    """Running sums, last values that are not null, and the same without the row itself (before), by keys in a total order.
+
+    The first column of the order is a whole number that is cut into chunks, so a key of any size is spread: a task holds a
+    chunk of a key, and what earlier chunks leave is carried in from a table of one row for each.
+    """
+    sums, last, before = sums or {}, last or {}, before or {}
+    values = {**last, **before}
+    held = df.withColumn("_chunk", F.floor(F.col(order[0]) / chunk)).withColumns({f"_{k}": c for k, c in {**sums, **values}.items()})
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    upto, prior = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    inner = {k: F.sum(f"_{k}").over(upto) for k in sums} | {k: F.last(f"_{k}", ignorenulls=True).over(upto if k in last else prior) for k in values}
+    newest = lambda k: F.max(F.when(F.col(f"_{k}").isNotNull(), F.struct(*order, F.col(f"_{k}").alias("_value"))))["_value"]
+    ends = held.groupBy(*keys, "_chunk").agg(*[F.sum(f"_{k}").alias(k) for k in sums], *[newest(k).alias(k) for k in values])
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_chunk", *[F.sum(k).over(earlier).alias(f"_in_{k}") for k in sums], *[F.last(k, ignorenulls=True).over(earlier).alias(f"_in_{k}") for k in values])
+    out = held.withColumns(inner).join(carried, [*keys, "_chunk"])
+    out = out.withColumns({k: F.col(k) + F.coalesce(F.col(f"_in_{k}"), F.lit(0)) for k in sums} | {k: F.coalesce(k, f"_in_{k}") for k in values})
+    return out.drop("_chunk", *[f"{p}{k}" for k in {**sums, **values} for p in ("_", "_in_")])
+
+
 def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Both sides in one table by key and time: no join, one shuffle by key."""
     names = [c for c in left.columns if c not in keys and c != "_t"]
@@ -61,26 +97,42 @@ def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str)
     return lhs.unionByName(rhs)
 
 
-def _running_last(df: DataFrame, keys: Sequence[str], time: Column, found: str) -> DataFrame:
-    """Each left row with the last right row before it in the order of time; at one time right rows come first.
+#: Seconds of a chunk in as-of joins. A key's rows are spread over its chunks; a denser tape wants shorter ones.
+CHUNK = 2_592_000
 
-    The frame only grows, so a key of n rows costs n steps. (A frame that shrinks towards the end costs n squared.)
-    """
-    w = Window.partitionBy(*keys).orderBy(time, F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.withColumns({found: F.last("_v", ignorenulls=True).over(w), f"{found}_t": F.last("_vt", ignorenulls=True).over(w)})
-    return out.where("_row is not null").select(*keys, "_row.*", found, f"{found}_t")
 
+def _nearest(df: DataFrame, keys: Sequence[str], found: str, forward: bool, chunk: int) -> DataFrame:
+    """Each left row with the nearest right row before it (forward: after it); at one time right rows count as met.
 
-def asof_forward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, shift: int = 0, found: str = "next") -> DataFrame:
-    """Each left row with the value of the first right row at or after its time + shift (and that row's time)."""
+    Within a chunk of time the frame only grows, so n rows cost n steps; what lies beyond a chunk's edge is carried in from
+    one row for each chunk. A busy key is spread over its chunks.
+    """
+    sign = -1 if forward else 1
+    real = reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    near = F.when(F.col("_row").isNull() & real, F.struct((F.col("_t") * sign).alias("at"), F.col("_v").alias("v"), F.col("_vt").alias("vt")))
+    held = df.withColumns({"_p": near, "_c": F.floor(F.col("_t") / chunk) * sign})
+    w = Window.partitionBy(*keys, "_c").orderBy(F.col("_t") * sign, F.col("_row").isNotNull(), "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = held.groupBy(*keys, "_c").agg(F.max("_p").alias("_e"))
+    carried = ends.select(*keys, "_c", F.last("_e", ignorenulls=True).over(earlier).alias("_e"))
+    out = held.withColumn("_p", F.last("_p", ignorenulls=True).over(w)).where("_row is not null").join(carried, [*keys, "_c"], "left")
+    p = F.coalesce("_p", "_e")
+    return out.select(*keys, "_row.*", p["v"].alias(found), p["vt"].alias(f"{found}_t"))
+
+
+def asof_forward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, shift: int = 0, found: str = "next", chunk: int = CHUNK) -> DataFrame:
+    """Each left row with the value of the first right row at or after its time + shift (and that row's time).
+
+    Left rows with a null key find nothing; among right rows of one time the largest value counts.
+    """
     stream = _merged(left.withColumn("_t", F.col(left_time) + shift), right.withColumn("_t", F.col(right_time)), keys, value)
-    return _running_last(stream, keys, F.col("_t").desc(), found)
+    return _nearest(stream, keys, found, True, chunk)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, shift: int = 0, found: str = "last") -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, shift: int = 0, found: str = "last", chunk: int = CHUNK) -> DataFrame:
     """Each left row with the value of the last right row at or before its time + shift (and that row's time)."""
     stream = _merged(left.withColumn("_t", F.col(left_time) + shift), right.withColumn("_t", F.col(right_time)), keys, value)
-    return _running_last(stream, keys, F.col("_t").asc(), found)
+    return _nearest(stream, keys, found, False, chunk)
 
 
 def interpolate(left: DataFrame, points: DataFrame, keys: Sequence[str], time: str, point_time: str, value: str) -> DataFrame:
@@ -120,23 +172,38 @@ def interval_gaps(df: DataFrame, keys: Sequence[str], low: str, high: str) -> Da
     return following.where("_n is not null").select(*keys, (F.col(high) + 1).alias("gap_low"), (F.col("_n") - 1).alias("gap_high"))
 
 
-def bh_qvalues(df: DataFrame, p: str, tie: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg q-values within keys: the least p * n / rank over this and all larger p, at most 1."""
-    w = Window.partitionBy(*keys).orderBy(p, *tie)
-    ranked = df.withColumns({"_r": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
-    up = Window.partitionBy(*keys).orderBy(F.col(p).desc(), *[F.col(c).desc() for c in tie]).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.min(F.col(p) * F.col("_n") / F.col("_r")).over(up), F.lit(1.0))
-    return ranked.withColumn("q_value", q).drop("_r", "_n")
+def bh_qvalues(df: DataFrame, p: str, tie: Sequence[str]) -> DataFrame:
+    """Benjamini-Hochberg q-values over all rows: the least p * n / rank over this and all larger p, at most 1. By ranges."""
+    ranked = cut(global_row_number(df, [p, *tie], "_r"))
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    q = F.col(p) * F.col("_n") / F.col("_r")
+    down = global_running(ranked.crossJoin(F.broadcast(n)), [F.col("_r").desc()], {"q_value": (q, "min")})
+    return down.withColumn("q_value", F.least("q_value", F.lit(1.0))).drop("_r", "_n")
+
+
+def average_ranks(df: DataFrame, columns: Sequence[str], ties: str = "average") -> DataFrame:
+    """A column rank_<c> for each c: over all rows, ascending, ties sharing the mean place (or the first, if ties is "min").
+
+    Places are counted over distinct values, by ranges; values then meet their places by an equi-join.
+    """
+    for c in columns:
+        counts = global_running(df.groupBy(c).agg(F.count(F.lit(1)).alias("_m")), [c], {"_upto": (F.col("_m"), "sum")})
+        first = F.col("_upto") - F.col("_m") + 1
+        place = first + (F.col("_m") - 1) / 2.0 if ties == "average" else first.cast("double")
+        df = df.join(counts.select(c, place.alias(f"rank_{c}")), c)
+    return df
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation with average ranks for ties: rank + (ties - 1) / 2."""
+def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), ties: str = "average") -> DataFrame:
+    """Rank correlation by keys, with average ranks for ties: rank + (ties - 1) / 2; or with the first place of ties ("min")."""
+    if not keys:
+        return average_ranks(df, [x, y], ties).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
 
-    def average_rank(c: str) -> Column:
+    def rank(c: str) -> Column:
         w = Window.partitionBy(*keys)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0
+        return F.rank().over(w.orderBy(c)) + ((F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0 if ties == "average" else 0)
 
-    ranked = df.withColumns({"_x": average_rank(x), "_y": average_rank(y)})
+    ranked = df.withColumns({"_x": rank(x), "_y": rank(y)})
     return ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

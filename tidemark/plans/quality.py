@@ -34,12 +34,6 @@ def negrisk_hourly_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.hourly_sums(per, 24, 3)
 
 
-@query()
-def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = fills(spark, sf_dir).where("outcome_index = 0").select("family", "condition_id", "sec", "pc", F.col("taker").alias("wallet"), "tx_hash", "evt_index")
-    return families.episodes(tape, stale_s=2_592_000)
-
-
 @query(fills_sql("""select wallet, n, round(h, 8) as entropy from (select wallet, cast(sum(n) as bigint) as n, abs(sum(n / t * ln(n / t))) as h from (select taker as wallet, hour % 24, cast(count(*) as double) as n, cast(sum(count(*)) over (partition by taker) as double) as t from f group by 1, 2) group by 1)"""))
 def hour_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.hour_entropy(fills(spark, sf_dir), "taker").withColumn("entropy", F.round("entropy", 8))
