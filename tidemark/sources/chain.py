@@ -39,17 +39,30 @@ def decode_fills_v1(logs: DataFrame) -> DataFrame:
     return logs.select("block_number", "tx_hash", "evt_index", t[1].alias("order_hash"), address(t[2]).alias("maker"), address(t[3]).alias("taker"), *[word_int(d, k).alias(n) for k, n in enumerate(names)])
 
 
-def decode_fills_v2(logs: DataFrame) -> DataFrame:
+def decode_fills_v2(logs: DataFrame, *keep: str) -> DataFrame:
     """Logs with a side word and a token word: amounts swap their meaning between buying and selling."""
     t, d = F.col("topics"), F.col("data")
     side = F.when(word_int(d, 0) == "0", "BUY").otherwise("SELL")
     made, taken = word_int(d, 2).cast("decimal(38,0)"), word_int(d, 3).cast("decimal(38,0)")
-    out = logs.select("block_number", "tx_hash", "evt_index", address(t[2]).alias("maker"), address(t[3]).alias("taker"), side.alias("side"), word_int(d, 1).alias("token_id"), made.alias("made"), taken.alias("taken"), word_int(d, 4).cast("decimal(38,0)").alias("fee_raw"))
+    out = logs.select("block_number", "tx_hash", "evt_index", address(t[2]).alias("maker"), address(t[3]).alias("taker"), side.alias("side"), word_int(d, 1).alias("token_id"), made.alias("made"), taken.alias("taken"), word_int(d, 4).cast("decimal(38,0)").alias("fee_raw"), *keep)
     buy = F.col("side") == "BUY"
     usdc, shares = F.when(buy, F.col("made")).otherwise(F.col("taken")), F.when(buy, F.col("taken")).otherwise(F.col("made"))
     return out.withColumns({"usdc": usdc / 1_000_000, "shares": shares / 1_000_000, "price": usdc.cast("double") / F.nullif(shares.cast("double"), F.lit(0.0))}).drop("made", "taken")
 
 
+def decode_events_v2(logs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Logs of several kinds, told apart by their first topic (kinds: topic -> fill, match or fee).
+
+    Fills and matched orders have the words of decode_fills_v2; a fee has one word, and neither side, token nor price.
+    """
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("topics")[0]]
+    named = logs.withColumn("event", kind).where("event is not null")
+    orders = decode_fills_v2(named.where("event <> 'fee'"), "event").withColumn("fee_raw", F.col("fee_raw").cast("string"))
+    t = F.col("topics")
+    fees = named.where("event = 'fee'").select("block_number", "tx_hash", "evt_index", address(t[2]).alias("maker"), address(t[3]).alias("taker"), word_int(F.col("data"), 0).alias("fee_raw"), "event")
+    return orders.unionByName(fees, allowMissingColumns=True)
+
+
 def normalise_fills(raw: DataFrame) -> DataFrame:
     """Asset "0" is cash: the maker who gives it buys. Price is cash over shares, null without shares."""
     buys = F.col("maker_asset_id") == "0"

@@ -68,9 +68,29 @@ def safe_bool(column: Column) -> Column:
     return F.when(low.isin("t", "true", "1", "yes"), True).when(low.isin("f", "false", "0", "no"), False)
 
 
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows chosen by the hash of a key and a seed: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+def seeded_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
+    """n rows chosen by the md5 of a key and a seed: the same rows whatever the partitioning. Each task keeps n rows."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)).cast("binary")), key).limit(n)
+
+
+def parameter_rows(spark: SparkSession, values: Sequence, name: str) -> DataFrame:
+    """A bound list as rows, in no order, repeats kept."""
+    return spark.sql(f"select explode(:given) as `{name}`", args={"given": F.array(*map(F.lit, values))})
+
+
+def block_range(df: DataFrame, block: str, low: int, high: int) -> DataFrame:
+    """Rows of a range of blocks: a plain comparison, which prunes row groups at the scan."""
+    return df.where(F.col(block).between(low, high))
+
+
+def canonical(tape: DataFrame, exchanges: Sequence[int], exchange: str = "builder") -> DataFrame:
+    """Fills of the given exchanges at prices strictly between 0 and 100 cents, with shares."""
+    return tape.where(F.col(exchange).isin(*exchanges) & (F.col("pc") > 0) & (F.col("pc") < 100) & (F.col("q") > 0))
+
+
+def resolved(tape: DataFrame) -> DataFrame:
+    """Fills at open prices in markets with a known winner."""
+    return tape.where(F.col("winner").isNotNull() & F.col("pc").between(1, 99))
 
 
 def token_rows(markets: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, TimestampNTZType, TimestampType
 
@@ -58,6 +58,11 @@ def write_chunk(df: DataFrame, path: str) -> bool:
     return True
 
 
+def write_buckets(spark: SparkSession, jobs: dict[int, DataFrame], root: str) -> list[int]:
+    """One folder a bucket, each skipped if it is finished; the buckets that were written now."""
+    return [k for k, df in jobs.items() if write_chunk(df, f"{root}/bucket-{k:05d}")]
+
+
 def grown(corpus: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The corpus with fresh rows in place of old ones of equal keys."""
     return corpus.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
