@@ -47,23 +47,24 @@ def jumps(hourly: DataFrame, high: float = 70.0, low: float = 50.0) -> DataFrame
     return out.where((F.col("max24") < high) & (F.col("p") >= high) & (F.col("prior") < low))
 
 
-def markout(makers: DataFrame, taker_prices: DataFrame, horizon_s: int) -> DataFrame:
-    """Maker fills with the first taker price at least horizon later, and what the price moved in the maker's favour.
+def markouts(makers: DataFrame, taker_prices: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Maker fills by horizon with the first taker price at least that much later, and what it moved in the maker's favour.
 
-    A price later than horizon + max(2 * horizon, 900) seconds does not count.
+    A price later than horizon + max(2 * horizon, 900) seconds does not count. All horizons share one as-of pass.
     """
-    found = asof_forward(makers, taker_prices, ["token_id"], "sec", "sec", "vwap", horizon_s, "later")
+    h = F.col("horizon")
+    asked = makers.withColumn("horizon", F.explode(F.array(*[F.lit(x).cast("bigint") for x in horizons]))).withColumn("at", F.col("sec") + h)
+    found = asof_forward(asked, taker_prices, ["token_id"], "at", "sec", "vwap", 0, "later")
     gap = F.col("later_t") - F.col("sec")
     move = F.when(F.col("side") == "BUY", F.col("later") - F.col("pc")).otherwise(F.col("pc") - F.col("later"))
-    within = gap <= horizon_s + max(2 * horizon_s, 900)
+    within = gap <= h + F.greatest(2 * h, F.lit(900))
     return found.withColumns({"gap": F.when(within, gap), "markout": F.when(within, move)})
 
 
-def markout_point(marked: DataFrame, horizon_s: int) -> DataFrame:
-    """One row: coverage, dollar-weighted and mean markout (cents a share), share below -1e-9 and mean gap."""
+def markout_points(marked: DataFrame) -> DataFrame:
+    """Per horizon: coverage, dollar-weighted and mean markout (cents a share), share below -1e-9 and mean gap."""
     has, w = F.col("markout").isNotNull(), F.col("cents")
-    return marked.agg(
-        F.lit(horizon_s).cast("bigint").alias("horizon"),
+    return marked.groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(ratio(F.count_if(has), F.count(F.lit(1))), 8).alias("coverage"),
         F.round(F.sum(w * F.col("markout")) / F.nullif(F.sum(F.when(has, w)).cast("double"), F.lit(0.0)), 6).alias("weighted"),

@@ -80,9 +80,9 @@ def positions(trades: DataFrame, wallet: str = "wallet", size: str = "size", low
         }
     )
     trial = trial.where(F.col("p").between(low, high)).withColumn("decile", F.least(F.floor(F.col("p") / 10), F.lit(9)).cast("bigint"))
-    d = Window.partitionBy("decile")
-    loo = ratio(F.sum("won").over(d) - F.col("won"), F.count(F.lit(1)).over(d) - 1)
-    return trial.select("wallet", "condition_id", F.round("p", 6).alias("p"), "won", "decile", F.round(loo, 8).alias("bench_loo"))
+    deciles = trial.groupBy("decile").agg(F.sum("won").alias("wins"), F.count(F.lit(1)).alias("trials"))  # ten rows
+    loo = ratio(F.col("wins") - F.col("won"), F.col("trials") - 1)
+    return trial.join(F.broadcast(deciles), "decile").select("wallet", "condition_id", F.round("p", 6).alias("p"), "won", "decile", F.round(loo, 8).alias("bench_loo"))
 
 
 def brier(bet: DataFrame, bins: int = 10) -> DataFrame:

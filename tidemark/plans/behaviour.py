@@ -46,11 +46,12 @@ def leader_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.leader_lag(trades(spark, sf_dir), LEAD_S, 3)
 
 
-@query(trades_sql(f"""select x.wallet as leader, y.wallet as follower, round(sum(x.k * y.k * s.adj / (s.n * s.n)::double), 6) as expected from k x join k y using (asset_id, side)
+@query(trades_sql(f"""select x.wallet as leader, y.wallet as follower, round(sum(x.k * y.k * s.adj / (s.n * s.n)::double), 6) as expected, any_value(e.events) as events from k x join k y using (asset_id, side)
  join (select asset_id, side, count(*) as n, count(*) filter (where nxt - sec <= {LEAD_S}) as adj from (select *, lead(sec) over (partition by asset_id, side order by sec) as nxt from (select distinct asset_id, side, sec from t)) group by 1, 2) s using (asset_id, side)
- where x.wallet <> y.wallet group by 1, 2""", "k as (select asset_id, side, wallet, count(distinct sec) as k from t group by 1, 2, 3)"))
+ join (select leader, follower, count(*) as events from ll group by 1, 2) e on e.leader = x.wallet and e.follower = y.wallet
+ where x.wallet <> y.wallet group by 1, 2""", _LL, "k as (select asset_id, side, wallet, count(distinct sec) as k from t group by 1, 2, 3)"))
 def leader_lag_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.leader_lag_null(trades(spark, sf_dir), LEAD_S).select("leader", "follower", F.round("expected", 6).alias("expected"))
+    return G.leader_lag_null(trades(spark, sf_dir), LEAD_S).select("leader", "follower", "events", F.round("expected", 6).alias("expected"))
 
 
 @query(trades_sql("""select wallet, count(*) as n, cast(sum(least(buy_size, sell_size)) as bigint) as matched, round(avg(gap), 6) as mean_gap from (
@@ -125,7 +126,8 @@ def funding_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _funding(spark, sf_dir).select("a", "b", "shared", F.round("weight", 8).alias("weight"))
 
 
-@query()
+@query(fills_sql("""select id as node, min(c) as component from r group by 1""", _FUND.replace("e as (", "e as (", 1),
+    "k as (select a, b from fe where shared >= 2 union all select b, a from fe where shared >= 2)", "r(id, c) as (select distinct a, a from k union select k.b, r.c from r join k on k.a = r.id where r.c < k.b)").replace("with ", "with recursive ", 1))
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.connected_components(_funding(spark, sf_dir).where("shared >= 2"))
 

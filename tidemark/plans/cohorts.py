@@ -109,16 +109,9 @@ def reconcile_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(spark, sf_dir).groupBy("tx_hash").agg(*legs).withColumn("conserved", F.col("taken") == F.col("made"))
 
 
-@query(fills_sql("""select k.block, round(coalesce(lo.t + (hi.t - lo.t) * (k.block - lo.b)::double / nullif(hi.b - lo.b, 0), lo.t, hi.t), 4) as sec from k asof left join env lo on k.block >= lo.b join (select k.block, e.t, e.b from k asof left join env e on k.block <= e.b) hi using (block)""",
-    "env as (select b, max(t) over (order by b rows unbounded preceding) as t from (select tx_hash // 500 * 500 as b, median(sec) as t from f group by 1))", "k as (select distinct tx_hash as block from f where tx_hash % 7 = 0)"))
-def block_time_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block to time for the blocks that the given SQL asks for."""
-    return block_time_map_all(spark, sf_dir).where("block % 7 = 0")
-
-
 @query(fills_sql("""select k.block, round(coalesce(lo.t + (hi.t - lo.t) * (k.block - lo.b)::double / nullif(hi.b - lo.b, 0), lo.t, hi.t), 4) as sec from k asof left join env lo on k.block >= lo.b join (select k.block, e.t, e.b from k asof left join env e on k.block <= e.b) hi using (block)""",
     "env as (select b, max(t) over (order by b rows unbounded preceding) as t from (select tx_hash // 500 * 500 as b, median(sec) as t from f group by 1))", "k as (select distinct tx_hash as block from f)"))
-def block_time_map_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_time_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block to its time: a median per bin, made monotone, straight lines between.
 
     A block lies in a bin that exists, so it joins that bin and carries the next one: only one row a bin is ordered globally.
@@ -132,14 +125,8 @@ def block_time_map_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("block", F.round(F.coalesce(line, "t"), 4).alias("sec"))
 
 
-@query(fills_sql("select f.tx_hash, f.evt_index, m.month0 from f asof left join (select tx_hash as lo, max(month) as month0 from f where tx_hash % 1000 = 0 group by 1) m on f.tx_hash >= m.lo where f.tx_hash % 11 = 0"))
-def block_month_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The month label of the fills that the given SQL asks for."""
-    return block_month_asof_all(spark, sf_dir).where("tx_hash % 11 = 0")
-
-
 @query(fills_sql("select f.tx_hash, f.evt_index, m.month0 from f asof left join (select tx_hash as lo, max(month) as month0 from f where tx_hash % 1000 = 0 group by 1) m on f.tx_hash >= m.lo"))
-def block_month_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_month_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month label of the last breakpoint block at or before the block of every fill.
 
     Blocks are dealt by the thousand, which starts with its breakpoint if that was traded; a thousand without one takes
@@ -193,33 +180,16 @@ def roundtrip_fee_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tape.join(legs, ["tx_hash", "evt_index"], "left").groupBy("category").agg(F.sum(F.when(F.col("leg"), paid).otherwise(0)).alias("leg_cents"), F.sum(paid).alias("cents"))
 
 
-@query("select p_brand, count(*) as n, min(p_partkey) as first_id, string_agg(p_name, '|' order by p_partkey) filter (where p_partkey < 40) as names, md5(p_brand || '42') as h from part group by 1")
-def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names that the given SQL asks for."""
-    return _brands(spark, sf_dir, F.col("p_partkey") < 40)
-
-
 @query("select p_brand, count(*) as n, min(p_partkey) as first_id, string_agg(p_name, '|' order by p_partkey) as names, md5(p_brand || '42') as h from part group by 1")
-def string_functions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All names of each brand."""
-    return _brands(spark, sf_dir, F.lit(True))
-
-
-def _brands(spark: SparkSession, sf_dir: str, named: Column) -> DataFrame:
+def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered string aggregation and the hash that orders pseudo-random picks."""
     part = table(spark, sf_dir, "part")
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(named, F.struct("p_partkey", "p_name")))), lambda x: x["p_name"]), "|")
-    return part.groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"), F.nullif(names, F.lit("")).alias("names"), F.md5(F.concat("p_brand", F.lit("42")).cast("binary")).alias("h"))
-
-
-@query(fills_sql("select tx_hash, evt_index, cents, decile from (select *, least(cast(floor(10.0 * (rank() over (partition by category order by cents) - 1) / count(*) over (partition by category)) as bigint), 9) as decile from f) where tx_hash % 13 = 0"))
-def rank_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deciles by competition rank within a class: the fills that the given SQL asks for."""
-    return rank_deciles_all(spark, sf_dir).where("tx_hash % 13 = 0")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), "|")
+    return part.groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"), names.alias("names"), F.md5(F.concat("p_brand", F.lit("42")).cast("binary")).alias("h"))
 
 
 @query(fills_sql("select tx_hash, evt_index, cents, least(cast(floor(10.0 * (rank() over (partition by category order by cents) - 1) / count(*) over (partition by category)) as bigint), 9) as decile from f"))
-def rank_deciles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rank_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decile of every fill. Ranks come from counts of each amount, so no task holds the fills of a class."""
     tape = fills(spark, sf_dir)
     w = Window.partitionBy("category")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.primitives import global_ntile, ratio
 from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import fills
+from tidemark.sources.adapters import fills, written_fills
 
 
 
@@ -57,14 +57,17 @@ def incidence_quantile_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fills_sql(f"""select month, count(*) as fills, cast(sum(cents) as bigint) as notional, {_SHARE}, round(median(cents), 4) as median_size, round(avg(case when cents < 500 then 1 else 0 end), 8) as small, count(distinct taker) as wallets, count(distinct case when month = first_month then taker end) as new_wallets
  from (select *, min(month) over (partition by taker) as first_month from f) group by 1"""))
 def monthly_participation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = fills(spark, sf_dir)
-    first = tape.groupBy("taker").agg(F.min("month").alias("first_month"))
-    both = tape.join(first, "taker")
-    return both.groupBy("month").agg(
-        F.count("*").alias("fills"), F.sum("cents").alias("notional"), _fee_share(), F.round(F.median("cents"), 4).alias("median_size"),
-        F.round(F.avg((F.col("cents") < 500).cast("int")), 8).alias("small"), F.countDistinct("taker").alias("wallets"),
-        F.countDistinct(F.when(F.col("month") == F.col("first_month"), F.col("taker"))).alias("new_wallets"),
+    """Wallets are counted in a table of one row a (wallet, month); the median comes from counts of each amount."""
+    tape = written_fills(spark, sf_dir, "taker", "month", "cents", "fee")
+    small = F.count_if(F.col("cents") < 500)
+    per = tape.groupBy("taker", "month").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"), F.sum("fee").alias("fee"), small.alias("small"))
+    per = per.withColumn("fresh", F.col("month") == F.min("month").over(Window.partitionBy("taker")))
+    wallets = per.groupBy("month").agg(
+        F.sum("n").alias("fills"), F.sum("cents").alias("notional"), _fee_share(), F.round(ratio(F.sum("small"), F.sum("n")), 8).alias("small"), F.count("*").alias("wallets"), F.count_if("fresh").alias("new_wallets"),
     )
+    amounts = tape.groupBy("month", "cents").agg(F.count("*").alias("n"))
+    medians = amounts.groupBy("month").agg(F.round(F.percentile("cents", F.lit(0.5), F.col("n")), 4).alias("median_size"))
+    return wallets.join(medians, "month").select("month", "fills", "notional", "fee_share", "median_size", "small", "wallets", "new_wallets")
 
 
 @query(fills_sql("select taker, condition_id, sec, side, count(*) as n, cast(sum(q) as bigint) as q, cast(sum(cents) as bigint) as cents, round(sum(cents)::double / sum(q), 8) as vwap, cast(sum(fee) as bigint) as fee from f group by 1, 2, 3, 4"))

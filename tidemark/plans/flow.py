@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import concentration as C
 from tidemark.operators import skill as K
-from tidemark.operators.primitives import ratio, top_k
+from tidemark.operators.primitives import global_ntile, global_row_number, ratio, top_k
 from tidemark.plans.base_sql import fills_sql, raw_sql, trades_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills, raw_fills, trades
+from tidemark.sources.store import cut
 
 _CONC = """, r as (select *, row_number() over (partition by {k} order by w, wallet) as i,
   row_number() over (partition by {k} order by w desc, wallet) as r from w)
@@ -167,8 +168,10 @@ def universe_union_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = K.bets(tape).groupBy("wallet").agg(F.sum("notional").alias("notional"), F.when(F.count(F.lit(1)) >= 20, gap).alias("gap"))
     pnl = K.covered_pnl(tape).groupBy("wallet").agg(F.sum("gross").alias("pnl"))
     both = base.join(pnl, "wallet")
-    ranks = {f"r_{c}": F.row_number().over(Window.orderBy(F.col(c).desc_nulls_last(), "wallet")).cast("bigint") for c in ("notional", "pnl", "gap")}
-    ranked = both.withColumns(ranks).withColumn("r_gap", F.when(F.col("gap").isNotNull(), F.col("r_gap")))
+    both, ranked = cut(both), None
+    for c in ("notional", "pnl", "gap"):
+        places = global_row_number(both.where(F.col(c).isNotNull()).select("wallet", c), [F.col(c).desc(), F.col("wallet")], f"r_{c}").select("wallet", f"r_{c}")
+        ranked = (both if ranked is None else ranked).join(places, "wallet", "left")
     return ranked.where("r_notional <= 50 or r_pnl <= 50 or coalesce(r_gap, 999) <= 50").select("wallet", "notional", "pnl", "gap", "r_notional", "r_pnl", "r_gap")
 
 
@@ -177,7 +180,7 @@ def universe_union_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quartile_band_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     tape = trades(spark, sf_dir)
     size = tape.groupBy("wallet").agg(F.sum("notional").alias("w"))
-    quart = size.select("wallet", F.ntile(4).over(Window.orderBy("w", "wallet")).cast("bigint").alias("quartile"))
+    quart = global_ntile(size, ["w", "wallet"], 4, "quartile").select("wallet", "quartile")
     band = F.when(F.col("implied") < 20, "low").when(F.col("implied") > 80, "high").otherwise("mid")
     return K.bets(tape).join(quart, "wallet").groupBy("quartile", band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("won") - F.avg("implied") / 100, 8).alias("gap"))
 
@@ -226,7 +229,7 @@ def maker_decile_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     payout = F.when(F.col("outcome_index") == F.col("winner"), 100).otherwise(0)
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     per = fills(spark, sf_dir).where("not is_taker").groupBy("maker").agg(F.sum("cents").alias("vol"), F.sum(F.col("q") * (payout - F.col("pc")) * sign).alias("pnl"))
-    per = per.withColumn("decile", F.ntile(10).over(Window.orderBy("vol", "maker")).cast("bigint"))
+    per = global_ntile(per, ["vol", "maker"], 10, "decile")
     return per.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum("vol").alias("volume"), F.sum("pnl").alias("pnl"), F.count_if(F.col("pnl") > 0).alias("winners"))
 
 

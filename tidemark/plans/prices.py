@@ -14,7 +14,7 @@ from tidemark.operators.primitives import interpolate, ratio
 from tidemark.operators.primitives import spearman as rank_correlation
 from tidemark.plans.base_sql import fills_sql, trades_sql
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import fills, markets, table, trades
+from tidemark.sources.adapters import fills, markets, table, trades, written_fills
 
 HOURS = (720, 336, 168, 72, 24, 6, 3, 1)
 TIE = ("tx_hash", "evt_index")
@@ -33,12 +33,16 @@ _CONV = "cv as (select po.condition_id, hours, p, cast(p - case when winner = 0
 
 @query(fills_sql("select * from po", _MK, _AT))
 def price_at_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = fills(spark, sf_dir)
+    tape = _tape(spark, sf_dir)
     return P.price_at_offsets(tape, markets(tape), HOURS, TIE)
 
 
+def _tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_fills(spark, sf_dir, "condition_id", "outcome_index", "winner", "category", "family", "sec", "pc", *TIE)
+
+
 def _convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = fills(spark, sf_dir)
+    tape = _tape(spark, sf_dir)
     known = markets(tape)
     return P.convergence(P.price_at_offsets(tape, known, HOURS, TIE), known, HOURS)
 

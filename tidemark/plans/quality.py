@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import classify, families
-from tidemark.operators.primitives import interval_gaps, ratio
+from tidemark.operators.primitives import global_ntile, interval_gaps, ratio
 from tidemark.plans.base_sql import fills_sql, raw_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills, markets, raw_fills, table
@@ -110,22 +110,11 @@ def reconcile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "tx_hash", "full").withColumn("status", status)
 
 
-@query("""select coalesce(s_suppkey, c_custkey) as id, case when s_suppkey is null then 'only_right' when c_custkey is null then 'only_left' when s_nationkey = c_nationkey then 'identical' else 'conflict' end as flag from supplier full join (select * from customer where c_custkey < 200 and c_custkey % 3 > 0) on s_suppkey = c_custkey""")
-def registry_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two registries by id, with the part of the second that the given SQL asks for."""
-    return _verified(spark, sf_dir, "c_custkey < 200 and c_custkey % 3 > 0")
-
-
 @query("""select coalesce(s_suppkey, c_custkey) as id, case when s_suppkey is null then 'only_right' when c_custkey is null then 'only_left' when s_nationkey = c_nationkey then 'identical' else 'conflict' end as flag from supplier full join customer on s_suppkey = c_custkey""")
-def registry_verify_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two whole registries by id."""
-    return _verified(spark, sf_dir, "true")
-
-
-def _verified(spark: SparkSession, sf_dir: str, right: str) -> DataFrame:
+def registry_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two registries by id: what only one has, what agrees, what conflicts."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("x"))
-    b = table(spark, sf_dir, "customer").where(right).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("y"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("y"))
     flag = F.when(F.col("x").isNull(), "only_right").when(F.col("y").isNull(), "only_left").when(F.col("x") == F.col("y"), "identical").otherwise("conflict")
     return a.join(b, "id", "full").select("id", flag.alias("flag"))
 
@@ -158,5 +147,5 @@ def multi_level_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fills_sql("""select account, decile, count(*) as n, cast(sum(vol) as bigint) as vol from (select taker % 4 as account, vol, ntile(10) over (order by vol, taker) as decile from (select taker, sum(cents) as vol from f group by 1)) group by 1, 2"""))
 def account_type_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = fills(spark, sf_dir).groupBy("taker").agg(F.sum("cents").alias("vol"))
-    ranked = per.select((F.col("taker") % 4).alias("account"), "vol", F.ntile(10).over(Window.orderBy("vol", "taker")).cast("bigint").alias("decile"))
+    ranked = global_ntile(per, ["vol", "taker"], 10, "decile").select((F.col("taker") % 4).alias("account"), "vol", "decile")
     return ranked.groupBy("account", "decile").agg(F.count("*").alias("n"), F.sum("vol").alias("vol"))

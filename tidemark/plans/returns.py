@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import paths as P
-from tidemark.operators.primitives import ratio
+from tidemark.operators.primitives import asof_forward, global_ntile, ratio, spearman
 from tidemark.plans.base_sql import fills_sql, trades_sql
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import fills, trades
+from tidemark.sources.adapters import fills, trades, written_fills
+from tidemark.sources.store import cut
 
 #: Horizons are those of a dense tape times 1440: the synthetic one has about a fill a day and token.
-HORIZONS = (86_400, 432_000, 1_296_000, 5_184_000)
+HORIZONS = (86_400, 432_000, 1_296_000, 5_184_000, 124_416_000)
 _TV = "tv as (select token_id, sec, sum(q * pc)::double / sum(q) as v, cast(sum(q) as bigint) as size, count(*) as n from f where is_taker group by 1, 2)"
 
 
@@ -34,10 +32,24 @@ def _point(h: int) -> str:
 
 @query(fills_sql(" union all ".join(_point(h) for h in HORIZONS), _TV))
 def markout_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = fills(spark, sf_dir)
+    tape = written_fills(spark, sf_dir, "token_id", "sec", "maker", "side", "pc", "q", "cents", "is_taker")
     makers = tape.where("not is_taker").select("token_id", "sec", "maker", "side", "pc", "cents")
     prices = P.vwap(tape.where("is_taker"), ["token_id", "sec"], "q")
-    return reduce(DataFrame.union, [P.markout_point(P.markout(makers, prices, h), h) for h in HORIZONS])
+    return P.markout_points(P.markouts(makers, prices, HORIZONS))
+
+
+@query(fills_sql("""select cast(count(*) as bigint) as n, round(corr(a, b), 6) as rho from (select rank() over (order by vol) as a, rank() over (order by mk) as b from (
+ select maker, sum(cents) as vol, round(sum(cents * m)::double / sum(case when m is not null then cents end), 9) as mk from (select maker, cents, case when gap <= 86400 * 3 then case when side = 'BUY' then v - pc else pc - v end end as m from (
+  select k.*, x.v, x.sec - k.sec as gap from (select * from f where not is_taker and maker in (select maker from f where not is_taker group by 1 having count(*) >= 20)) k asof left join tv x on k.token_id = x.token_id and k.sec + 86400 <= x.sec)) group by maker) where mk is not null)""", _TV))
+def markout_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of volume and markout over a subset of makers, those with twenty fills (O04, O05, A16: first places of ties)."""
+    tape = fills(spark, sf_dir)
+    makers = tape.where("not is_taker").select("token_id", "sec", "maker", "side", "pc", "cents")
+    busy = makers.groupBy("maker").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select("maker")
+    marked = P.markouts(makers.join(busy, "maker", "left_semi"), P.vwap(tape.where("is_taker"), ["token_id", "sec"], "q"), [86_400])
+    mean = ratio(F.sum(F.col("cents") * F.col("markout")), F.sum(F.when(F.col("markout").isNotNull(), F.col("cents"))))
+    per = cut(marked.groupBy("maker").agg(F.sum("cents").alias("vol"), F.round(mean, 9).alias("mk")).where("mk is not null"))
+    return spearman(per, "vol", "mk", ties="min").select("n", F.round("rho", 6).alias("rho"))
 
 
 @query(fills_sql("""select decile, count(*) as makers, cast(sum(vol) as bigint) as volume, round(avg(mk), 6) as mean_markout from (select *, ntile(10) over (order by vol, maker) as decile from (
@@ -45,13 +57,11 @@ def markout_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markout_by_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Makers by volume decile and their mean weighted markout a day later, whatever the gap."""
     tape = fills(spark, sf_dir)
-    from tidemark.operators.primitives import asof_forward
-
     makers = tape.where("not is_taker").select("token_id", "sec", "maker", "side", "pc", "cents")
     later = asof_forward(makers, P.vwap(tape.where("is_taker"), ["token_id", "sec"], "q"), ["token_id"], "sec", "sec", "vwap", 86_400, "v")
     m = F.when(F.col("side") == "BUY", F.col("v") - F.col("pc")).otherwise(F.col("pc") - F.col("v"))
     per = later.withColumn("m", m).groupBy("maker").agg(F.sum("cents").alias("vol"), ratio(F.sum(F.col("cents") * F.col("m")), F.sum(F.when(F.col("m").isNotNull(), F.col("cents")))).alias("mk"))
-    ranked = per.withColumn("decile", F.ntile(10).over(Window.orderBy("vol", "maker")).cast("bigint"))
+    ranked = global_ntile(per, ["vol", "maker"], 10, "decile")
     return ranked.groupBy("decile").agg(F.count(F.lit(1)).alias("makers"), F.sum("vol").alias("volume"), F.round(F.avg("mk"), 6).alias("mean_markout"))
 
 

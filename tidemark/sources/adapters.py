@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.primitives import dedup_first
+from tidemark.sources.store import cut
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 #: A total order over a fill's columns, so that one survivor of a repeated key is defined.
@@ -34,20 +35,14 @@ def calendar(df: DataFrame, sec: str = "sec") -> DataFrame:
     )
 
 
-def raw_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tape as logged: keys (tx_hash, evt_index) repeat."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    out = joined.selectExpr(
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log itself says of each fill. Lines are dealt by transaction: one exchange serves the join and the dedup."""
+    lines, orders = table(spark, sf_dir, "lineitem").repartition("l_orderkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
         "l_orderkey as tx_hash",
         "cast(l_linenumber as bigint) as evt_index",
         f"timestampdiff(SECOND, {EPOCH}, l_shipdate) + (l_suppkey * 397 + l_partkey * 13 + l_linenumber * 7) % 86400 as sec",
-        "l_partkey % 100 as condition_id",
-        "l_suppkey % 2 as outcome_index",
         "(l_partkey % 100) * 2 + l_suppkey % 2 as token_id",
-        "(l_partkey % 100) % 2 as winner",
-        "(l_partkey % 100) div 5 as family",
-        "(l_partkey % 100) % 7 as category",
         "l_suppkey as maker",
         "o_custkey as taker",
         "case when l_linestatus = 'O' then 'BUY' else 'SELL' end as side",
@@ -55,16 +50,33 @@ def raw_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_quantity as bigint) as q",
         "l_returnflag = 'N' as is_taker",
         "l_returnflag = 'R' as fee_paying",
-        "l_orderkey % 3 as builder",
     )
-    out = out.withColumn("cents", F.col("pc") * F.col("q"))
+
+
+def _described(logged: DataFrame) -> DataFrame:
+    """Fills with what follows from the log: market, outcome, class, amounts, fee, calendar."""
+    market = "token_id div 2"
+    out = logged.selectExpr(
+        "tx_hash", "evt_index", "sec", f"{market} as condition_id", "token_id % 2 as outcome_index", "token_id", f"({market}) % 2 as winner", f"({market}) div 5 as family",
+        f"({market}) % 7 as category", "maker", "taker", "side", "pc", "q", "is_taker", "fee_paying", "tx_hash % 3 as builder", "pc * q as cents",
+    )
     rate = F.when(F.col("fee_paying"), F.col("category") % 3 + 5).otherwise(0)
     return calendar(out.withColumn("fee", (rate * F.col("pc") * (100 - F.col("pc")) * F.col("q")).cast("bigint")))
 
 
+def raw_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape as logged: keys (tx_hash, evt_index) repeat."""
+    return _described(_logged(spark, sf_dir))
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tape with one row for each (tx_hash, evt_index)."""
-    return dedup_first(raw_fills(spark, sf_dir), ["tx_hash", "evt_index"], FILL_ORDER)
+    """The tape with one row for each (tx_hash, evt_index). Only logged columns are shuffled and sorted; the rest follows."""
+    return _described(dedup_first(_logged(spark, sf_dir), ["tx_hash", "evt_index"], FILL_ORDER))
+
+
+def written_fills(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of the tape, written once to the shared folder: for queries that read it more than once."""
+    return cut(fills(spark, sf_dir).select(*columns))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
