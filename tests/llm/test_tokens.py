@@ -2,17 +2,20 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, chat, codec, packed_ids, token_count
-from tidemark.llm.common import new_path, tune
+from tidemark.llm import bpe, chat, codec, packed_ids, pieces, token_count
+from tidemark.llm.common import new_path, tune, written
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ODD = ["", " ", "a  b", "x <|endoftext|> y<|startoftext|>", "it's\n\n  ok\t", "ÉÉ é Σς İ", "\x1c a\x85b c", "ah" * 3000, " " * 300 + "x", "1" * 900, "中文😀‍", "a\x01b", "<|endoftext|>" * 3, None]
@@ -91,8 +94,8 @@ def test_random_access(tmp_path):
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 50000, n).astype(np.uint32) for n in (0, 5, 300_000, 1, 70_000)]
     out = packed_ids.Writer(f"{tmp_path}/x", 16)
-    for k, ids in enumerate(parts):
-        out.add(k, ids)
+    out.add_batch(pa.array(range(3)), parts[:3])
+    out.add_batch(pa.array([3, 4]), parts[3:])
     out.close()
     reader, flat = packed_ids.Reader(f"{tmp_path}/x"), np.concatenate(parts)
     for start, n in ((0, 10), (299_990, 40), (len(flat) - 3, 3), (5, 0)):
@@ -116,13 +119,21 @@ def test_files_with_null_and_repeated_ids(spark):
     assert sorted(r.start for r in got)[0] == 0
 
 
-def test_cache_ages_without_losing_chunks(libraries, monkeypatch):
-    monkeypatch.setattr(packed_ids, "CACHE_CHUNKS", 20)
+def test_table_starts_anew_and_texts_are_cut_without_loss(libraries, monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE_PIECES", 20)
+    monkeypatch.setattr(pieces, "SEGMENT", 10)
     tool, rng = packed_ids.LibraryEncoder(WORD), random.Random(2)
     for _ in range(60):
-        texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(8)) for _ in range(3)]
-        for t, ids in zip(texts, tool.encode(texts), strict=True):
-            assert ids.tolist() == libraries[0].encode(t, add_special_tokens=False).ids
+        texts = [" ".join(rng.choice(["w", "Ü", "’", "  "]) + f"{rng.randrange(60)}" for _ in range(8)) for _ in range(3)]
+        ids, ends = tool.encode_all(texts)
+        for t, found in zip(texts, np.split(ids, ends), strict=False):
+            assert found.tolist() == libraries[0].encode(t, add_special_tokens=False).ids
+
+
+def test_near_characters_are_what_they_are_said_to_be():
+    near = [chr(c) for c in range(pieces.NEAR) if not pieces.FAR.search(chr(c))]
+    assert all(len(c.lower()) == 1 and not pieces.FAR.search(c.lower()) and unicodedata.normalize("NFC", c) == c for c in near)
+    assert all((split.near.findall(f"a{c}1 {c}"), split.near.findall(c)) == (split.far.findall(f"a{c}1 {c}"), split.far.findall(c)) for split in (pieces.ByteSplit, pieces.WordSplit) for c in near)
 
 
 @pytest.mark.parametrize("fn", [lambda d: token_count.token_counts(d, WORD), lambda d: codec.encode_decode(d, BYTE)])
@@ -157,8 +168,24 @@ def test_conversations_read_back(spark):
     assert chat.format_conversations(df.limit(0), BYTE).count() == 0
 
 
+def test_a_conversation_spread_over_tasks_and_written_is_read_back(spark):
+    rows = [(k % 3 or None, k // 7, "assistant" if k % 2 else "user", f"turn {k} " * (k % 40)) for k in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"part": F.lit("x"), "IDS": F.lit(1), "n_turns": F.lit("y")})
+    got = {}
+    for partitions in ("2", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        formatted, _ = written(chat.format_conversations(df, BYTE, 500), "formatted")
+        got[partitions] = sorted(map(tuple, chat.read_back(formatted.repartition(5), BYTE).collect()), key=str)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        turns, loss = want.get(conv, (0, ""))
+        want[conv] = turns + 1, loss + (text if role == "assistant" else "")
+    assert got["2"] == got["16"] and {(r[0], r[1], r[3]) for r in got["2"]} == {(c, n, len(t)) for c, (n, t) in want.items()}
+
+
 def test_mask_covers_only_assistant_texts(spark):
     df = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "general reply")], "conv_id long, turn long, role string, text string")
-    r = chat.format_conversations(df, BYTE).first()
-    ids, mask = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.mask, np.int8)
+    parts = chat.format_conversations(df, BYTE).orderBy("part").collect()
+    ids, mask = np.frombuffer(b"".join(r.ids for r in parts), "<u4"), np.frombuffer(b"".join(r.mask for r in parts), np.int8)
     assert codec.transducer(BYTE).decode(ids[mask > 0].tobytes()) == "general reply" and len(ids) == len(mask)

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import new_path
+from tidemark.llm.bpe import byte_alphabet
+from tidemark.llm.common import delete, integer_id, new_path, written
+from tidemark.llm.pieces import FAR, PieceTable, WordSplit, segments
 
 MAGIC = b"TMIDS1"
 #: Ids per block; a multiple of eight.
 BLOCK = 1 << 15
-#: Chunks between white space whose ids a worker keeps (twice that, with the older generation).
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 48
+#: Bytes of text for which a file is wanted.
+FILE_BYTES = 256 << 20
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
 
 
@@ -77,15 +81,20 @@ class Writer:
         store.create_dir(os.path.dirname(path), recursive=True)
         self.out, self.bits = store.open_output_stream(path), bits
         self.out.write(MAGIC + struct.pack("<BI", bits, BLOCK))
-        self.at, self.offsets, self.index, self.held, self.n_held, self.total = len(MAGIC) + 5, [], [], [], 0, 0
-
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.index.append((doc_id, self.total, len(ids)))
-        self.held.append(ids)
-        self.n_held += len(ids)
-        self.total += len(ids)
-        if self.n_held >= 8 * BLOCK:
-            self._flush(last=False)
+        self.at, self.offsets, self.index, self.held, self.n_held, self.total, self.n_docs = len(MAGIC) + 5, [], [], [], 0, 0, 0
+
+    def add_batch(self, doc_ids: pa.Array, ids: list[np.ndarray]) -> None:
+        """Append the ids of some documents."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        starts = self.total + np.cumsum(sizes) - sizes
+        self.index.append(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(sizes)], schema=_INDEX))
+        self.n_docs += len(ids)
+        for x in ids:
+            self.held.append(x)
+            self.n_held += len(x)
+            if self.n_held >= 8 * BLOCK:
+                self._flush(last=False)
+        self.total += int(sizes.sum())
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate([*self.held, np.zeros(0, np.uint32)])
@@ -99,12 +108,12 @@ class Writer:
 
     def close(self) -> None:
         self._flush(last=True)
-        columns = [pa.array([x[k] for x in self.index], pa.int64()) for k in range(3)]
         sink = pa.BufferOutputStream()
         meta = {"total": str(self.total), "offsets": np.array([*self.offsets, self.at], "<u8").tobytes()}
         schema = _INDEX.with_metadata(meta)
         with pa.ipc.new_stream(sink, schema) as stream:
-            stream.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
+            for batch in self.index:
+                stream.write_batch(batch.replace_schema_metadata(meta))
         footer = sink.getvalue().to_pybytes()
         self.out.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
         self.out.close()
@@ -147,15 +156,13 @@ class Reader:
 
 
 class LibraryEncoder:
-    """Ids of whole texts from the tokenizers library, asked once for each distinct chunk between white space.
+    """Ids of whole texts from the tokenizers library, asked once for each distinct piece.
 
-    The word-end vocabulary drops white space, and its normaliser and pattern never look across it, so the ids of a
-    text are the ids of its chunks in turn. Unknown chunks go to the library together, kept apart by a control
-    character; chunks that hold that character, and texts with special strings, go to it alone.
+    The word-end vocabulary drops white space, lower-cases, and splits by a fixed pattern, so the ids of a text are those
+    of its pieces in turn, and the library's model is asked for pieces. What the library would normalise otherwise than
+    by lower case goes to it as it stands: chunks with far characters, and whole texts with special strings.
     """
 
-    MARK = "\x01"
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -164,43 +171,31 @@ class LibraryEncoder:
         self.tool.no_truncation()
         self.tool.no_padding()
         self.size = self.tool.get_vocab_size(with_added_tokens=True)
-        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
-        (self.mark,) = self._ask(self.MARK)
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _ask(self, text: str) -> list[int]:
-        return self.tool.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(chunks), 400):
-            group = chunks[at : at + 400]
-            ids = np.array(self._ask(f" {self.MARK} ".join(group)), np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
-            for chunk, a, b in zip(group, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                out[chunk] = ids[a:b].tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        alone = [any(s in t for s in (*self.special, self.MARK, "\x1c", "\x1d", "\x1e", "\x1f")) for t in texts]
-        split = [[] if a else t.split() for t, a in zip(texts, alone, strict=True)]
-        new = {c for parts in split for c in parts} - self.known.keys()
-        aged = {c: self.old[c] for c in new & self.old.keys()}
-        fresh = aged | self._learn(sorted(new - aged.keys()))
-        if len(self.known) + len(fresh) > CACHE_CHUNKS:
-            self.old, self.known = self.known, {}
-        view, old, out = self.known, self.old, []
-        view.update(fresh)
-        for text, parts, a in zip(texts, split, alone, strict=True):
-            if a:
-                out.append(np.array(self._ask(text), np.uint32))
+        self.alone = [t.content for t in self.tool.get_added_tokens_decoder().values()] + list("\x1c\x1d\x1e\x1f")
+        self.split, self.letters = WordSplit(whole_far=True), byte_alphabet()
+        self.known = PieceTable(self._learn, "<u4")
+
+    def _learn(self, keys: list[str | int | tuple[str]]) -> Iterator[bytes]:
+        """A number stands for itself, a tuple holds a whole text."""
+        ask, model, letters = self.tool.encode, self.tool.model, self.letters
+        for key in keys:
+            if isinstance(key, int):
+                ids = [key]
+            elif isinstance(key, tuple) or FAR.search(key):
+                ids = ask(key[0] if isinstance(key, tuple) else key, add_special_tokens=False).ids
             else:
-                out.append(np.frombuffer(b"".join([view[c] if c in view else old[c] for c in parts]), np.uint32))
-        for chunk in fresh:
-            if len(chunk) > CACHE_CHARS:
-                del view[chunk]
-        return out
+                ids = [t.id for t in model.tokenize(key if key.isascii() and key.isprintable() else key.encode().decode("latin-1").translate(letters))]
+            yield array("I", ids).tobytes()
+
+    def encode_all(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, and where those of each text end."""
+        last = [] if end_id is None else [[end_id]]
+
+        def keys(text: str) -> Iterator[list]:
+            yield from [[(text,)]] if any(map(text.__contains__, self.alone)) else map(self.split, segments(text))
+            yield from last
+
+        return self.known.gather([keys(t) for t in texts])
 
 
 @lru_cache(maxsize=2)
@@ -208,42 +203,66 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def id_type(vocabulary_size: int, end_id: int) -> np.dtype:
+    return np.dtype("<u2" if max(vocabulary_size, end_id + 1) <= 1 << 16 else "<u4")
+
+
+def _range_ends(rows: DataFrame, files: int) -> list[tuple[bool, int, int]]:
+    """The last key of each of `files` ranges of about as many rows: (not null, id, hash), nulls first."""
+    ranges = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "h").groupBy(F.spark_partition_id().alias("k"))
+    last = ranges.agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("real"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")).alias("last"))
+    return [tuple(r.last) for r in last.orderBy("k").collect()]
+
+
 def write_ids(
     df: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_column: str = "doc_id", text_column: str = "text"
 ) -> str:
     """Encode every text, append end_id, and write the ids in ascending id order; returns the folder.
 
-    Rows are dealt by ranges of (id, hash of the text), so a repeated id is not one task's burden; each task streams
-    its range into one file of its own name and reports it. The reports are the manifest: a file that no report
-    names, left by a lost or repeated attempt, is never read. Null ids come first, null texts count as empty,
-    repeated rows are all written (ordered by hash and text), an empty table gives an empty manifest.
+    Texts are encoded where they are read and only ids are shuffled, two bytes each where the vocabulary allows. Ranges of
+    (id, hash of the text) are found first, from those columns alone, as many as the size of the texts asks for
+    (FILE_BYTES), so a repeated id is not one task's burden. Each task streams its range into one file of its own name and
+    reports it. The reports are the manifest: a file that no report names, left by a lost or repeated attempt, is never
+    read. Null ids come first, null and empty texts give the end id alone, repeated rows are all written (ordered by hash
+    and ids), an empty table gives an empty manifest, a text of any length goes to one file, other columns are not read.
     """
     spark = df.sparkSession
     folder = folder or new_path(spark, "token-ids")
-    rows = df.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
-    ).withColumn("h", F.xxhash64("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("text")]
-    dealt = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    rows = df.select(integer_id(df, id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys, path = written(rows.select("doc_id", "h", F.octet_length("text").alias("size")), "keys")
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(keys.agg(F.sum("size")).first()[0] or 0) // FILE_BYTES))
+    ends = spark.sparkContext.broadcast(_range_ends(keys, files))
+    delete(spark, path)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, last = encoder(tokenizer), ends.value
+        dtype = id_type(tool.size, end_id)
+        for batch in batches:
+            ids, stops = tool.encode_all([t or "" for t in batch.column(1).to_pylist()], end_id)
+            flat, places = pa.py_buffer(ids.astype(dtype).tobytes()), np.concatenate([[0], stops * dtype.itemsize])
+            packed = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(places.astype("<i8").tobytes()), flat])
+            key = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            shard = [bisect_left(last, (d is not None, d or 0, h)) for d, h in key]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shard, pa.int32()), packed.cast(pa.binary())], ["doc_id", "h", "shard", "ids"])
+
+    coded = rows.select("doc_id", "text", "h").mapInArrow(encode, "doc_id bigint, h bigint, shard int, ids binary")
+    dealt = coded.repartitionById(files, "shard").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tool, out, shard = encoder(tokenizer), None, TaskContext.get().partitionId()
-        name = f"{folder}/ids-{shard:05d}-{uuid.uuid4().hex}"
+        out, shard, size = None, TaskContext.get().partitionId(), encoder(tokenizer).size
+        name, dtype = f"{folder}/ids-{shard:05d}-{uuid.uuid4().hex}", id_type(size, end_id)
         for batch in batches:
             if out is None:
-                out = Writer(name, bits_for(max(tool.size, end_id + 1)))
-            end = np.array([end_id], np.uint32)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist()), strict=True):
-                out.add(doc_id, np.concatenate([ids, end]))
+                out = Writer(name, bits_for(max(size, end_id + 1)))
+            out.add_batch(batch.column(0), [np.frombuffer(x, dtype) for x in batch.column(1).to_pylist()])
         if out is not None:
             out.close()
-            columns = [[shard], [name], [len(out.index)], [out.total]]
+            columns = [[shard], [name], [out.n_docs], [out.total]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "file", "n_docs", "n_ids"])
 
-    reports = dealt.select("doc_id", "text").mapInArrow(write, "shard bigint, file string, n_docs bigint, n_ids bigint")
+    reports = dealt.select("doc_id", "ids").mapInArrow(write, "shard bigint, file string, n_docs bigint, n_ids bigint")
     reports.write.parquet(f"{folder}/manifest")
     return folder
 
