@@ -33,11 +33,6 @@ def cotrade_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "events", F.round("expected", 6).alias("expected"), F.round("excess", 6).alias("excess"))
 
 
-@query()
-def cotrade_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.cotrade_null(trades(spark, sf_dir), COTRADE_S).select("a", "b", "events", "expected", "p", "q_value")
-
-
 _LL = f"ll as (select x.wallet as leader, y.wallet as follower, s.nxt - s.sec as lag from (select *, lead(sec) over (partition by asset_id, side order by sec) as nxt from (select distinct asset_id, side, sec from t)) s join (select distinct asset_id, side, sec, wallet from t) x using (asset_id, side, sec) join (select distinct asset_id, side, sec, wallet from t) y on y.asset_id = s.asset_id and y.side = s.side and y.sec = s.nxt where s.nxt - s.sec <= {LEAD_S} and x.wallet <> y.wallet)"
 
 

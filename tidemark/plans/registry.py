@@ -24,4 +24,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tidemark.plans import behaviour, cohorts, exclusive, fees, flow, layers, prices, quality, returns  # noqa: F401
+    from tidemark.plans import behaviour, cohorts, exclusive, fees, flow, layers, population, prices, quality, returns  # noqa: F401
