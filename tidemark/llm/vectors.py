@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import by_group, dealt
-from tidemark.llm.common import map_arrow, written
+from tidemark.llm.common import delete, integer_id, map_arrow, small_or_shuffled, written
 from tidemark.llm.components import components
 
 #: Tables, projections of a table, and the width of a projection's steps. At cosine 0.93 (distance 0.374) a pair meets
@@ -37,34 +37,37 @@ def codes(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, width: f
     return (folded ^ (folded >> np.uint64(29))).astype(np.int64)
 
 
-def _unit(values) -> np.ndarray | None:
-    """The vector over its length in double precision; None if it can't be compared."""
-    if values is None or not len(values) or any(v is None for v in values):
-        return None
-    x = np.asarray(values, np.float64)
-    with np.errstate(over="ignore", invalid="ignore"):
-        top = np.abs(x).max()
-        if not np.isfinite(top) or top == 0:
-            return None
-        x = x / top
-        return x / np.sqrt((x * x).sum())
+def _units(vectors: pa.ListArray) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Which rows can be compared, and by length the places of the rows and their vectors over their lengths."""
+    n = len(vectors)
+    flat, places = vectors.flatten(), np.zeros(n + 1, np.int64)
+    sizes = np.nan_to_num(vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    np.cumsum(sizes, out=places[1:])
+    values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+    usable, found = np.zeros(n, bool), {}
+    for dim in set(sizes.tolist()) - {0}:
+        at = np.flatnonzero(sizes == dim)
+        x = values[places[at][:, None] + np.arange(dim)]
+        top = np.abs(x).max(axis=1)
+        fine = np.isfinite(x).all(axis=1) & (top > 0)
+        x = x[fine] / top[fine, None]  # first by the largest component, so that squares neither vanish nor overflow
+        usable[at[fine]] = True
+        found[dim] = at[fine], x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return usable, found
 
 
 def _prepare(df: DataFrame, tables: int, hashes: int, width: float) -> DataFrame:
+    """vec_id, label, unit (doubles), codes; the last two are null where the vector links with nothing."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        units = [_unit(v) for v in batch.column(1).to_pylist()]
-        units = [None if label is None else u for u, label in zip(units, batch.column(2).to_pylist(), strict=True)]
-        found: list = [None] * len(units)
-        by_dim: dict[int, list[int]] = {}
-        for k, u in enumerate(units):
-            if u is not None:
-                by_dim.setdefault(len(u), []).append(k)
-        for at in by_dim.values():
-            for k, row in zip(at, codes(np.stack([units[k] for k in at]), tables, hashes, width), strict=True):
-                found[k] = row.tolist()
+        units, found = [None] * batch.num_rows, [None] * batch.num_rows
+        labelled = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        for at, x in _units(batch.column(1))[1].values():
+            for k, unit, row in zip(at.tolist(), x, codes(x, tables, hashes, width) if len(x) else (), strict=True):
+                if labelled[k]:
+                    units[k], found[k] = unit.tobytes(), row
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([None if u is None else u.tobytes() for u in units], pa.binary()), pa.array(found, pa.list_(pa.int64()))],
-            ["vec_id", "label", "unit", "codes"],
+            [batch.column(0), batch.column(2), pa.array(units, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["vec_id", "label", "unit", "codes"]
         )
 
     label = df.schema["label"].dataType.simpleString()
@@ -77,16 +80,16 @@ def _block_links(threshold: float):
     def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         units = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        own, t = group.column("own").to_numpy(), group.column("t")[0].as_py()
+        own = group.column("own").to_numpy()
         near = units @ units.T >= threshold
         np.fill_diagonal(near, False)
         if group.column("bi")[0].as_py() != group.column("bj")[0].as_py():
             near &= own[:, None] != own[None, :]
         if not near.any():
             return
-        known = np.array(group.column("codes").to_pylist(), np.int64)
-        for k in range(t):
-            near &= known[:, k][:, None] != known[:, k][None, :]
+        earlier = group.column("earlier").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        for code in earlier.T:  # codes in the tables before this one
+            near &= code[:, None] != code[None, :]
         some = np.flatnonzero(near.any(axis=1))
         near = near[np.ix_(some, some)]
         root = np.arange(len(some))
@@ -119,13 +122,14 @@ def near_vectors(
     copies are never paired. Classes whose codes agree in a table meet in its bucket; products confirm each pair, in
     the first table where it meets. Buckets of any size are dealt into blocks (blocks.py).
 
-    Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing
+    Only narrow rows (class, table, bucket) are grouped to find shared buckets; vectors go to those alone. Ids must be
+    integers. Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing
     (n_links 0, component_id = own id). Vectors of unlike length never link. A null id counts as unlinked too: null
     component_id, kept. Rows that share an id share a component. An empty table gives no rows.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"), F.col(label_column).alias("label"))
+    rows = df.select(integer_id(df, id_column).alias("vec_id"), F.col(vector_column).alias("v"), F.col(label_column).alias("label"))
     prepared, _ = written(_prepare(rows, tables, hashes, width), "vectors")
     key = F.when(F.col("unit").isNotNull() & F.col("vec_id").isNotNull(), F.sha2(F.concat(F.col("label").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("unit")), 256))
     keyed = prepared.withColumn("key", key)
@@ -135,10 +139,12 @@ def near_vectors(
     classes, _ = written(grouped, "vector-classes")
     met = classes.select("rep", F.length("unit").alias("dim"), "label", F.posexplode("codes").alias("t", "code"))
     met = met.select("rep", "t", F.xxhash64(F.col("label").cast("string"), "dim", "t", "code").alias("h"))
-    shared = met.groupBy("h", "t").agg(F.count("*").alias("m")).where("m > 1")
-    members = met.join(shared, ["h", "t"]).join(classes.select("rep", "copies", "unit", "codes"), "rep")
-    blocks = dealt(members, "h", "rep", F.ceil(F.col("m") / BLOCK_ROWS)).select("h", "bi", "bj", "own", "t", "rep", "copies", "unit", "codes")
+    shared, shared_path = written(met.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    members = met.join(small_or_shuffled(shared), "h").join(classes.select("rep", "copies", "unit", "codes"), "rep")
+    members = members.withColumn("earlier", F.slice("codes", 1, F.col("t")))
+    blocks = dealt(members, "h", "rep", F.ceil(F.col("m") / BLOCK_ROWS)).select("h", "bi", "bj", "own", "rep", "copies", "unit", "earlier")
     links, _ = written(by_group(blocks, ["h", "bi", "bj"], _block_links(threshold), "a bigint, b bigint, n bigint", n), "vector-links")
+    delete(spark, shared_path)
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     resolved = classes.select("key", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
