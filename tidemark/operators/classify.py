@@ -19,6 +19,31 @@ def rule_class(text: Column, rules: Sequence[tuple[str, str]], default: str = "o
     return out
 
 
+def keyword_class(text: Column, rules: Sequence[tuple[str, Sequence[str]]], fallback: Column, whole: int = 4) -> tuple[Column, Column]:
+    """(class, whether a keyword gave it): the first rule with a word found at a word's start; words up to `whole` letters match whole."""
+    found, out = F.lit(False), fallback
+    for name, words in reversed(rules):
+        pattern = "|".join(rf"\b({w})\b" if len(w) <= whole else rf"\b{w}" for w in words)
+        found, out = found | text.rlike(pattern), F.when(text.rlike(pattern), name).otherwise(out)
+    return out, found
+
+
+def with_recapture(broad: str, slug: str, tags: str, gate: str, recapture: Sequence[tuple[str, str | None, str]], split: Sequence[tuple[str, str, str, str | None]]) -> Column:
+    """A broad class refined by precedence.
+
+    recapture: (class, pattern of the slug or None, tag), the first that fits wins, but never for rows of the gate's class.
+    split: (class, finer class, pattern of the slug, tag or None) within a class. What is left keeps its class.
+    """
+    has = lambda tag: F.array_contains(F.col(tags), tag) if tag else F.lit(False)
+    seen = lambda pattern: F.col(slug).rlike(pattern) if pattern else F.lit(False)
+    out = F.col(broad)
+    for of, finer, pattern, tag in reversed(split):
+        out = F.when((F.col(broad) == of) & (seen(pattern) | has(tag)), finer).otherwise(out)
+    for name, pattern, tag in reversed(recapture):
+        out = F.when((F.col(broad) != gate) & (seen(pattern) | has(tag)), name).otherwise(out)
+    return out
+
+
 def mode_of_tags(df: DataFrame, key: str, tags: str, mapping: DataFrame) -> DataFrame:
     """The class that most of a key's tags map to; among equals the one seen first."""
     each = df.select(key, F.posexplode(tags).alias("pos", "tag")).join(F.broadcast(mapping), F.lower(F.trim("tag")) == mapping["name"])

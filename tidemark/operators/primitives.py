@@ -24,6 +24,45 @@ def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def dedup_narrow(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """dedup_first with narrow state: the least order of each key is aggregated, and only rows that have it are kept.
+
+    `order` must be total over all columns that differ within a key, so that what ties is alike; alike rows count once. Null
+    keys and order values are compared as values.
+    """
+    least = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_least"))
+    same = reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.struct(*[F.col(f"l.{c}") for c in order]).eqNullSafe(F.col("r._least"))])
+    return df.alias("l").join(least.alias("r"), same, "left_semi").dropDuplicates(list(keys))
+
+
+def merged_last(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], amount: str = "cents") -> DataFrame:
+    """What must be kept of a part so that parts merge: the last value with its order, a count, a sum."""
+    return df.groupBy(*keys).agg(F.max(F.struct(*order, value)).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(amount).alias(amount))
+
+
+def cleaned_map(bins: DataFrame, key: str, value: str, most: float, rounds: int = 3, wide: int = 15, smooth: int = 2) -> DataFrame:
+    """A value by consecutive bin: `rounds` times what is further than `most` from the rolling median is dropped, gaps are filled
+    by straight lines (ends by the nearest), then a rolling median smooths and a running maximum makes it monotone.
+
+    bins holds one row a bin and is small by nature: its windows run in one task.
+    """
+    ends = bins.agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a is not null")
+    out = ends.select(F.explode(F.sequence("a", "b")).alias(key)).join(bins, key, "left")
+    order = Window.orderBy(key)
+    near = order.rowsBetween(-wide, wide)
+    for _ in range(rounds):
+        middle = F.when(F.count(value).over(near) >= 3, F.percentile(value, F.lit(0.5)).over(near))
+        out = out.withColumn("_m", middle).withColumn(value, F.when(~F.coalesce(F.abs(F.col(value) - F.col("_m")) > most, F.lit(False)), F.col(value))).drop("_m")
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(key).alias("k"), F.col(value).alias("v")))
+    lo, hi = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    out = out.withColumns({"_lo": lo, "_hi": hi})
+    line = F.col("_lo.v") + (F.col("_hi.v") - F.col("_lo.v")) * ratio(F.col(key) - F.col("_lo.k"), F.col("_hi.k") - F.col("_lo.k"))
+    filled = F.coalesce(F.col(value), F.when(F.col("_lo").isNull(), F.col("_hi.v")).when(F.col("_hi").isNull(), F.col("_lo.v")).otherwise(line))
+    out = out.withColumn(value, filled).drop("_lo", "_hi")
+    out = out.withColumn(value, F.percentile(value, F.lit(0.5)).over(order.rowsBetween(-smooth, smooth)))
+    return out.withColumn(value, F.max(value).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key, with their rank. Spark prunes each task to k rows a key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
