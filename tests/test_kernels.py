@@ -57,3 +57,22 @@ def test_wild_bootstrap_enumerates_few_clusters():
     x, y, c = np.arange(12.0), np.arange(12.0) * 0 + np.tile([1, -1], 6), np.repeat(np.arange(4), 3)
     p = I.wild_cluster_p(np.column_stack([np.ones(12), x]), y, c, 1)
     assert p * 16 == round(p * 16)
+
+
+def test_sign_flip_sums_large_keys_instead_of_drawing(spark):
+    df = spark.createDataFrame([(1, float(i % 5 - 1.5)) for i in range(60)] + [(2, 1.0)] * 3, "k long, v double")
+    drawn, summed = ({r.k: r for r in I.sign_flip(df, "k", "v", n=4000, cap=c).collect()} for c in (100, 20))
+    assert drawn[1].p_up == pytest.approx(summed[1].p_up, abs=0.03) and drawn[1].z == summed[1].z and drawn[2].p_up is None is summed[2].p_up
+    assert drawn[1].p_up + drawn[1].p_down == pytest.approx(1, abs=0.06)
+
+
+def test_population_draws_do_not_depend_on_partitions(spark):
+    from tidemark.operators import population as N
+
+    rows = [(w, 1, int((w * 7 + i * 13) % 100 < 40 + w % 20), 30 + (w * i) % 40) for w in range(40) for i in range(15)]
+    bet = spark.createDataFrame(rows, "wallet long, one long, won long, implied long")
+    groups = spark.createDataFrame([(w, w % 2 + 1) for w in range(40)], "wallet long, g long")
+    a, b = (N.simulated_discoveries(bet.repartition(k), sims=50).first() for k in (1, 6))
+    assert a == b and 0 <= a.by_chance <= a.by_chance_95 <= 40
+    x, y = (N.bootstrap_difference(bet.repartition(k), groups, "g", 1, 2, 200).first() for k in (1, 6))
+    assert x == pytest.approx(y) and x.low < x.middle < x.high

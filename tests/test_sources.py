@@ -3,10 +3,12 @@
 import glob
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import families
 from tidemark.sources import chain, readers, sinks
 from tidemark.streaming import tapes
 
@@ -113,3 +115,24 @@ def test_sprt_alerts(spark, tmp_path):
     out = _run(tapes.sprt_alerts(_stream(spark, df, f"{tmp_path}/in")), "sprt", tmp_path)
     assert {r.verdict for r in out.where("condition_id = 1").collect()} == {"pressure"}
     assert "pressure" not in {r.verdict for r in out.where("condition_id = 2").collect()}
+
+
+def test_interval_pairs_of_two_streams(spark, tape, tmp_path):
+    buys = tape.where("side = 'BUY'").select("wallet", "asset_id", F.col("event_id").alias("buy_id"), F.col("ts").alias("buy_ts"))
+    sells = tape.where("side = 'SELL'").select("wallet", "asset_id", F.col("event_id").alias("sell_id"), F.col("ts").alias("sell_ts"))
+    out = tapes.interval_pairs(_stream(spark, buys, f"{tmp_path}/b"), _stream(spark, sells, f"{tmp_path}/s"), "3 minutes", "1 hour")
+    got = {(r.buy_id, r.sell_id) for r in _run(out, "pairs", tmp_path).collect()}
+    b, s = buys.collect(), sells.collect()
+    assert got == {(x.buy_id, y.sell_id) for x in b for y in s if x.wallet == y.wallet and x.asset_id == y.asset_id and abs((x.buy_ts - y.sell_ts).total_seconds()) <= 180} != set()
+
+
+def test_episodes_as_a_stream_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k % 3, k % 12, k * 40 + rng.randrange(30), k, 0, rng.choice([18, 20, 22, 25, 25, 25, 30, 32]), rng.randrange(6)) for k in range(1500)]
+    rows += [(3, 100, 5, 9000, 0, 50, 1), (3, 101, 6, 9001, 0, 80, 1)]
+    tape = spark.createDataFrame(rows, "family long, condition_id long, sec long, tx_hash long, evt_index long, pc long, wallet long")
+    want = sorted(map(tuple, families.episodes(families.price_sums(tape, 600, chunk=5000), chunk=7000).collect()))
+    size = tape.groupBy("family").agg(F.countDistinct("condition_id").alias("members"))
+    ordered = tape.join(size, "family").where("members >= 3").withColumn("seq", F.col("sec") * 100_000 + F.col("tx_hash"))
+    got = sorted(map(tuple, _run(tapes.episodes(_stream(spark, ordered, f"{tmp_path}/in"), 600), "episodes", tmp_path).collect()))
+    assert got == want and len(want) > 5

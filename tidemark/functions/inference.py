@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.functions.tails import normal_cdf, student_cdf
+from tidemark.functions.tails import normal_cdf, normal_sf_column, student_cdf
 
 
 def seeded(*parts: object) -> np.random.Generator:
@@ -62,18 +63,27 @@ def sign_flip_p(x: Sequence[float], n: int = 2000, key: object = 0) -> float:
     return (hits + 1) / (n + 1)
 
 
-def sign_flip(df: DataFrame, key: str, value: str, least: int = 10, n: int = 2000) -> DataFrame:
-    """Per key: n, total, z under random signs and the Monte Carlo p, for keys with at least `least` values."""
+def sign_flip(df: DataFrame, key: str, value: str, least: int = 10, n: int = 2000, cap: int = 5000) -> DataFrame:
+    """Per key: n, total, z under random signs, and the Monte Carlo p that as much (p_up) or as little (p_down) comes by chance.
+
+    p is null below `least` values and normal above `cap`, so a key of any size is only summed: no task holds more than cap
+    values of a key. Values are sorted, so the order of rows does not matter.
+    """
+    x = F.col(value).cast("double")
+    sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.sqrt(F.sum(x * x)).alias("_sd"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy(float))  # the order of rows must not matter
-        k = pdf[key].iloc[0]
-        sd = np.sqrt((x * x).sum())
-        row = (k, len(x), x.sum(), x.sum() / sd if sd else 0.0, sign_flip_p(x, n, k) if len(x) >= least else None)
-        return pd.DataFrame([row], columns=[key, "n", "total", "z", "p"])
+        x, k = np.sort(pdf[value].to_numpy(float)), pdf[key].iloc[0]
+        return pd.DataFrame([(k, sign_flip_p(x, n, k), sign_flip_p(-x, n, k))], columns=[key, "_up", "_down"])
 
+    tried = df.select(key, value).join(sums.where(F.col("n").between(least, cap)).select(key), key, "left_semi")
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, value).groupBy(key).applyInPandas(run, f"{key} {kind}, n bigint, total double, z double, p double")
+    found = tried.groupBy(key).applyInPandas(run, f"`{key}` {kind}, _up double, _down double")
+    z = F.coalesce(F.col("total") / F.nullif("_sd", F.lit(0.0)), F.lit(0.0))
+    out = sums.withColumn("z", z).join(found, key, "left")
+    tail = normal_sf_column(F.col("z"))
+    p = lambda c, t: F.when(F.col("n") > cap, t).otherwise(F.col(c))
+    return out.select(key, "n", "total", "z", p("_up", tail).alias("p_up"), p("_down", 1 - tail).alias("p_down"))
 
 
 def within_group_shuffle(group: Sequence, x: Sequence[float], y: Sequence[float], n: int = 1000, key: object = 0) -> float:
@@ -169,8 +179,8 @@ def wald(beta: np.ndarray, X: np.ndarray, residual: np.ndarray, cluster: Sequenc
     return float(beta @ np.linalg.pinv(bread @ sums.T @ sums @ bread) @ beta)
 
 
-def group_time_att(y: Sequence[float], unit: Sequence, period: Sequence, start: Sequence[float], draws: int = 200, key: object = 0) -> dict:
-    """Average effects by (start, period) against the not yet treated, from the period before the start.
+def group_time_att(y: Sequence[float], unit: Sequence, period: Sequence, start: Sequence[float], draws: int = 200, key: object = 0, controls: str = "never") -> dict:
+    """Average effects by (start, period) against units never treated (or, controls="later", not yet), from the period before the start.
 
     Returns the table, the mean over treated cells (weighted by units) and a unit-cluster bootstrap error.
     """
@@ -183,7 +193,7 @@ def group_time_att(y: Sequence[float], unit: Sequence, period: Sequence, start:
             for t in wide.columns:
                 if t < g or base not in wide.columns:
                     continue
-                others = first[(first.isna()) | (first > t)].index
+                others = first[first.isna() | ((first > t) & (controls == "later"))].index
                 a = (wide.loc[mine, t] - wide.loc[mine, base]).dropna()
                 b = (wide.loc[others, t] - wide.loc[others, base]).dropna()
                 if len(a) and len(b):

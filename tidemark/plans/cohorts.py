@@ -10,13 +10,14 @@ from tidemark.functions.inference import sign_flip
 from tidemark.functions.tails import beta_posterior_columns
 from tidemark.operators import concentration as C
 from tidemark.operators import skill as K
-from tidemark.operators.primitives import ratio
+from tidemark.operators.primitives import bh_qvalues, ratio
 from tidemark.plans.base_sql import fills_sql, trades_sql
 from tidemark.plans.flow import _BETS, _conc
 from tidemark.plans.prices import _AT, _CONV, _MK, _convergence
 from tidemark.plans.registry import query
-from tidemark.plans.returns import _mirrored
+from tidemark.plans.returns import _EV, _LE, _MR, _MV, _mirrored
 from tidemark.sources.adapters import fills, table, trades
+from tidemark.sources.store import cut
 
 
 @query(_conc("select condition_id, case when taker < 1000 then taker % 50 else taker end as wallet, cast(sum(cents) as bigint) as w from f group by 1, 2", "condition_id"))
@@ -48,9 +49,10 @@ def position_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def skill_signflip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-flip test of each wallet's profits by market."""
+    """Sign-flip test of each wallet's profits by market, with q-values over the wallets that were tried."""
     legs = K.covered_pnl(fills(spark, sf_dir), "taker", "q").groupBy("wallet", "condition_id").agg(F.sum("gross").cast("double").alias("pnl"))
-    return sign_flip(legs, "wallet", "pnl", 10, 500)
+    tried = cut(sign_flip(legs, "wallet", "pnl", 10, 500))
+    return bh_qvalues(tried.where("p_up is not null"), "p_up", ["wallet"]).unionByName(tried.where("p_up is null"), allowMissingColumns=True)
 
 
 @query(trades_sql("select case when implied % 10 < 5 or (implied % 10 = 5 and (implied // 10) % 2 = 0) then implied // 10 else implied // 10 + 1 end as bucket, count(*) as n, round(avg(won), 8) as empirical from b group by 1", _BETS))
@@ -156,7 +158,7 @@ def outcome_sum_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("off", F.col("p0") + F.col("p1") - 100)
 
 
-@query()
+@query(trades_sql("select wallet % 2 as leader_set, half, horizon, count(*) as n, round(avg(gross - 0.004), 8) as mean_net from mr join (select condition_id, case when c <= (select median(c) from (select max(sec) as c from t group by condition_id)) then 'early' else 'late' end as half from (select condition_id, max(sec) as c from t group by 1)) using (condition_id) group by 1, 2, 3", _EV, _LE, _MV, _MR))
 def leader_set_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mirrored returns before and after the median close, by leader set."""
     tape = trades(spark, sf_dir)
@@ -164,7 +166,7 @@ def leader_set_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = close.agg(F.median("close_sec").alias("mid"))
     split = close.crossJoin(F.broadcast(half)).select("condition_id", F.when(F.col("close_sec") <= F.col("mid"), "early").otherwise("late").alias("half"))
     out = _mirrored(spark, sf_dir).join(split, "condition_id").withColumn("leader_set", F.col("wallet") % 2)
-    return out.groupBy("leader_set", "half", "horizon").agg(F.count("*").alias("n"), F.avg("net").alias("mean_net"))
+    return out.groupBy("leader_set", "half", "horizon").agg(F.count("*").alias("n"), F.round(F.avg("net"), 8).alias("mean_net"))
 
 
 @query(fills_sql("select category, cast(sum(case when fee_paying and is_leg then cents else 0 end) as bigint) as leg_cents, cast(sum(case when fee_paying then cents else 0 end) as bigint) as cents from (select f.*, exists (select 1 from f g where g.taker = f.taker and g.token_id = f.token_id and g.side <> f.side and abs(g.sec - f.sec) <= 8640000) as is_leg from f) group by 1"))

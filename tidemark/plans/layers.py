@@ -234,3 +234,11 @@ def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of blocks merged where they touch."""
     chunks = raw_fills(spark, sf_dir).selectExpr("tx_hash div 50 * 50 as lo", "tx_hash div 50 * 50 + 20 as hi").distinct()
     return merged_intervals(chunks.withColumn("one", F.lit(1)), ["one"], "lo", "hi").select("lo", "hi")
+
+
+@query("select 'big' as name, count(*) as n_rows, cast(2 as bigint) as n_columns from part where p_size > 25 union all select 'small', count(*), 3 from part where p_size <= 25")
+def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of two groups with its manifest (K06), as the manifest says."""
+    part = table(spark, sf_dir, "part")
+    groups = {"big": part.where("p_size > 25").select("p_partkey", "p_name"), "small": part.where("p_size <= 25").select("p_partkey", "p_name", "p_size")}
+    return sinks.write_bundle(groups, new_path(spark, "bundle"), "Parts by size").select("name", "n_rows", "n_columns")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, TimestampNTZType, TimestampType
 
 from tidemark.operators.primitives import dedup_first
+from tidemark.sources.store import write_text
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -43,9 +43,23 @@ def write_report(sections: dict[str, DataFrame], path: str, notes: Sequence[str]
         if len(found) > rows:
             raise ValueError(f"{name} has more than {rows} rows; write it as a table")
         out[name] = [r.asDict(recursive=True) for r in found]
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        json.dump(out, f, indent=1, default=str)
-    os.replace(f"{path}.tmp", path)
+    write_text(next(iter(sections.values())).sparkSession, path, json.dumps(out, indent=1, default=str))
+
+
+def write_bundle(groups: dict[str, DataFrame], root: str, title: str) -> DataFrame:
+    """A folder for each group of rows, a manifest of them (a table, one row a group) and a README; gives the manifest.
+
+    A group is read back to be counted, so the manifest says what is there.
+    """
+    spark, rows = next(iter(groups.values())).sparkSession, []
+    for name, df in groups.items():
+        write_parquet(df, f"{root}/{name}")
+        found = spark.read.schema(df.schema).parquet(f"{root}/{name}")
+        rows.append((name, found.count(), len(found.columns), df._jdf.schema().treeString()))
+    manifest = spark.createDataFrame(rows, "name string, n_rows bigint, n_columns bigint, layout string")
+    write_parquet(manifest.coalesce(1), f"{root}/manifest")
+    write_text(spark, f"{root}/README.txt", "\n".join([title, "", *(f"{n}: {r} rows\n{layout}" for n, r, _, layout in rows)]))
+    return spark.read.schema(manifest.schema).parquet(f"{root}/manifest")
 
 
 def write_chunk(df: DataFrame, path: str) -> bool:

@@ -67,3 +67,15 @@ def written(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFra
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a table written to the shared folder: the plan behind them is gone, and no executor holds them."""
     return written(df, "cut")[0]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file anywhere Spark can write, put in place at once."""
+    store, at = _file_system(spark, path)
+    draft = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    out = store.create(draft, True)
+    out.write(text.encode())
+    out.close()
+    store.delete(at, False)
+    if not store.rename(draft, at):
+        raise OSError(f"cannot put {path} in place")

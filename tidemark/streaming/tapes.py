@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -59,3 +60,70 @@ def sprt_alerts(stream: DataFrame, p0: float = 0.5, p1: float = 0.65, alpha: flo
 
     grouped = stream.select("condition_id", "seq", "toward").groupBy("condition_id")
     return grouped.applyInPandasWithState(step, "condition_id bigint, seq bigint, verdict string, n bigint", "llr double, n bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def interval_pairs(buys: DataFrame, sells: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Buys and sells of one wallet in one asset at most `within` apart, as a join of two streams.
+
+    buys: wallet, asset_id, buy_id, buy_ts; sells: wallet, asset_id, sell_id, sell_ts. Both are forgotten after the watermark.
+    """
+    b, s = buys.withWatermark("buy_ts", late).alias("b"), sells.withWatermark("sell_ts", late).alias("s")
+    near = F.expr(f"b.wallet = s.wallet and b.asset_id = s.asset_id and s.sell_ts between b.buy_ts - interval {within} and b.buy_ts + interval {within}")
+    return b.join(s, near).select("b.wallet", "b.asset_id", "buy_id", "sell_id")
+
+
+class _PriceSum:
+    """A family's last prices and its open episode, as operators.families.episodes defines them; kept as JSON between batches."""
+
+    def __init__(self, text: str | None, stale_s: int, opens: int, closes: int) -> None:
+        self.stale_s, self.opens, self.closes = stale_s, opens, closes
+        held = json.loads(text) if text else {"last": {}, "episode": None}
+        self.last, self.episode = held["last"], held["episode"]
+
+    def text(self) -> str:
+        return json.dumps({"last": self.last, "episode": self.episode})
+
+    def _off(self, members: int, sec: int) -> int | None:
+        if len(self.last) < members or any(sec - at > self.stale_s for _, at in self.last.values()):
+            return None
+        return abs(sum(p for p, _ in self.last.values()) - 100)
+
+    def trade(self, members: int, condition: int, sec: int, pc: int, wallet: int) -> tuple | None:
+        """Take a trade in; (start, peak, correctors, closer, corrective) of the episode that it ends, if any."""
+        before = self._off(members, sec)
+        self.last[str(condition)] = (pc, sec)
+        after = self._off(members, sec)
+        if after is None:
+            return None
+        if self.episode is None and after > self.opens:
+            self.episode = {"start": sec, "peak": after, "gains": {}}
+        if before is None or self.episode is None:
+            return None
+        now = self.episode
+        now["peak"] = max(now["peak"], before, after)
+        if before > after:
+            now["gains"][str(wallet)] = now["gains"].get(str(wallet), 0) + before - after
+        if after >= self.closes:
+            return None
+        self.episode = None
+        closer = max(now["gains"], key=now["gains"].get, default=None)
+        return now["start"], now["peak"], len(now["gains"]), closer and int(closer), now["gains"].get(closer, 0)
+
+
+def episodes(stream: DataFrame, stale_s: int = 172_800, opens: int = 5, closes: int = 2) -> DataFrame:
+    """Price-sum episodes of families as a stream; state is a family's last prices and its open episode.
+
+    Needs family, members (how many candidates the family has), condition_id, seq (a total order), sec, pc, wallet.
+    """
+    names = ["family", "start", "peak", "correctors", "closer", "corrective"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = _PriceSum(state.get[0] if state.exists else None, stale_s, opens, closes)
+        rows = pd.concat(list(batches)).sort_values("seq")[["members", "condition_id", "sec", "pc", "wallet"]]
+        done = [(key[0], *out) for row in rows.itertuples(index=False) if (out := held.trade(*map(int, row)))]
+        state.update((held.text(),))
+        yield pd.DataFrame(done, columns=names).astype({"closer": "Int64"})
+
+    columns = ["family", "members", "condition_id", "seq", "sec", "pc", "wallet"]
+    schema = ", ".join(f"{n} bigint" for n in names)
+    return stream.select(*columns).groupBy("family").applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.NoTimeout)
