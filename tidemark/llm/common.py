@@ -16,8 +16,8 @@ __all__ = ["delete", "new_path", "paths_made", "shared_dir", "written"]
 
 #: Arrow batches stay small because a single text can be long.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
-#: Ids that are sent to every executor, at most: some 64 MB there. More are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Narrow rows that are sent to every executor, at most: some 4 MB there. More are joined by a shuffle.
+BROADCAST_IDS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import by_group, dealt, spanning_links
-from tidemark.llm.common import map_arrow, written
+from tidemark.llm.common import delete, integer_id, map_arrow, small_or_shuffled, with_ids, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_set
 
@@ -123,20 +123,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
 
     Rows with equal sets become one class, represented by its least id. Classes that share a band and enough of
     their signatures form candidate groups; within a group, full sets confirm the links; components follow. Blocks
-    bound every task, whatever the size of a group (blocks.py). Null text is empty text. A null id is linked with
+    bound every task, whatever the size of a group (blocks.py). Texts are fetched for the members of candidate groups
+    only. Ids must be integers. Null text is empty text; texts of any length are read whole. A null id is linked with
     nothing: its component_id is null and it is kept. Rows that share an id count as one document: one component.
     An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(integer_id(docs, id_column).alias("doc_id"), F.col(text_column).alias("text"))
     features, _ = written(_features(rows, size), "features")
     usable = features.where("doc_id is not null and key is not null")
     classes, _ = written(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
 
     banded = classes.select(F.explode("bands").alias("h"), "rep")
-    shared = banded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    members = banded.join(shared, "h").join(classes.select("rep", "sig"), "rep")
+    shared, shared_path = written(banded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "bands")
+    members = banded.join(small_or_shuffled(shared), "h").join(classes.select("rep", "sig"), "rep")
     blocks = dealt(members, "h", "rep", F.ceil(F.col("m") / BLOCK_ROWS)).select("h", "bi", "bj", "own", "rep", "sig")
     candidates = components(by_group(blocks, ["h", "bi", "bj"], _by_signature, "a bigint, b bigint", n))
 
@@ -153,13 +154,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SET_TYPES, strict=True)], ["component", "rep", "n", "shingles", "sig"])
 
-    wanted = candidates.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "key", "sig"), "rep")
-    texts = rows.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("component", F.col("doc_id").alias("rep"), "text", "key", "sig")
-    found, _ = written(texts.mapInArrow(sets, "component bigint, rep bigint, n bigint, shingles binary, sig binary"), "sets")
+    wanted = candidates.select(F.col("node").alias("doc_id"), "component").join(classes.select(F.col("rep").alias("doc_id"), "key", "sig"), "doc_id")
+    wanted, wanted_path = written(wanted, "candidates")
+    texts = with_ids(rows, "doc_id", wanted.select("doc_id"), "left_semi").join(wanted, "doc_id")
+    texts = texts.select("component", F.col("doc_id").alias("rep"), "text", "key", "sig")
+    found, found_path = written(texts.mapInArrow(sets, "component bigint, rep bigint, n bigint, shingles binary, sig binary"), "sets")
     weight = found.groupBy("component").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
     g = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_ROWS))
     blocks = dealt(found.join(weight, "component"), "component", "rep", g).select("component", "bi", "bj", "own", "rep", "shingles", "sig")
     linked = components(by_group(blocks, ["component", "bi", "bj"], _by_sets(percent), "a bigint, b bigint", n))
+    for path in (shared_path, wanted_path, found_path):
+        delete(spark, path)
 
     resolved = classes.select("key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     resolved = resolved.select("key", F.coalesce("component", "rep").alias("component"))
