@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.codec import encode_decode
-from tidemark.llm.common import table, tune, written
+from tidemark.llm.common import delete, free_name, paths_made, table, tune, with_ids, written
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.pii import redact_personal_data
@@ -25,25 +25,34 @@ TOKENIZER = "byte_bpe_50k.json"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least KEEP_SCORE. Null and empty texts are scored like any other."""
     tune(spark)
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where(F.col("score") >= KEEP_SCORE).select(docs.columns)
+    score = free_name(docs, "score")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), score)
+    return scored.where(F.col(score) >= KEEP_SCORE).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: that of the least id, null ids last, then by a hash of the text.
+    """One row of each near-duplicate group: the first by id (nulls last), then by a hash of all columns.
 
-    Texts without words are in no group: such rows stay, but for repeats of both id and text."""
+    Every row is a document of its own, also those that share an id or have none; rows that are equal in all columns
+    are interchangeable. Texts without words are in no group: such rows stay. Where ids are null or repeated, rows are
+    numbered in that order first, and the numbers stand for ids.
+    """
     tune(spark)
     if not _ambiguous(docs):
-        kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
-        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    rows, _ = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    order = rows.select(F.col("doc_id").isNull().alias("_null"), "doc_id", F.xxhash64("text").alias("_hash"), "_row")
-    places = global_row_number(order, ["_null", "doc_id", "_hash", "_row"], "_place").select("_row", "_place")
-    rows, _ = written(rows.join(places, "_row"), "placed")
-    kept = near_duplicates(rows, size=5, percent=80, id_column="_place").where("kept").select(F.col("doc_id").alias("_place"))
-    chosen = rows.join(kept, "_place", "left_semi").select(docs.columns)
-    return chosen.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(chosen.where("doc_id is null"))
+        return with_ids(docs, "doc_id", _dropped(docs, "doc_id"), "left_anti").select(docs.columns)
+    row, place, null, digest = (free_name(docs, c) for c in ("row", "place", "null", "digest"))
+    rows, _ = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    whole = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"}), 256)
+    order = rows.select(F.col("doc_id").isNull().alias(null), "doc_id", whole.alias(digest), row)
+    places = global_row_number(order, [null, "doc_id", digest, row], place).select(row, place)
+    rows, _ = written(rows.join(places, row), "placed")
+    return with_ids(rows, place, _dropped(rows, place), "left_anti").select(docs.columns)
+
+
+def _dropped(docs: DataFrame, id_column: str) -> DataFrame:
+    """The ids of the rows that are not the first of their group, as a table."""
+    found = near_duplicates(docs, size=5, percent=80, id_column=id_column).where("not kept")
+    return written(found.select(F.col("doc_id").alias(id_column)), "dropped")[0]
 
 
 def _ambiguous(docs: DataFrame) -> bool:
@@ -88,7 +97,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn. Each stage's table, and all that it wrote on the way, is deleted once the next one stands."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with paths_made() as made:
+            docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            for old in [p for p in made if p != path]:
+                delete(spark, old)
+        if last:
+            delete(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

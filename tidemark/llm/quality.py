@@ -7,11 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_column, map_arrow
+from tidemark.llm.common import columns_schema, delete, fold_column, map_arrow, written
 from tidemark.llm.shingles import mix
 
 #: Slots that features are hashed to.
@@ -96,38 +95,53 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def train(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> Model:
+class Learner:
     """FTRL-proximal: per slot a sum of adjusted gradients z and of squares n; the weight follows from them."""
-    z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
 
-    def weights(at) -> np.ndarray:
-        zs = z[at]
-        return np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
+    def __init__(self, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> None:
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
 
-    ready = []
-    for slots, values, label in examples:  # slots of two families can coincide
-        at, back = np.unique(np.append(slots, SLOTS), return_inverse=True)
-        ready.append((at.astype(np.int32), np.bincount(back, np.append(values, 1.0)).astype(np.float32), label))
-    rng = np.random.Generator(np.random.PCG64(3))
+    def weights(self, at) -> np.ndarray:
+        zs = self.z[at]
+        return np.where(np.abs(zs) <= self.l1, 0.0, -(zs - np.sign(zs) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
+
+    def see(self, at: np.ndarray, x: np.ndarray, label: int) -> None:
+        """One example: distinct slots and their values."""
+        w = self.weights(at)
+        g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - label) * x
+        old = self.n[at]
+        self.z[at] += g - (np.sqrt(old + g * g) - np.sqrt(old)) / self.alpha * w
+        self.n[at] = old + g * g
+
+    def model(self) -> Model:
+        w = self.weights(np.arange(SLOTS + 1))
+        return Model(w[:-1].astype(np.float32), float(w[-1]))
+
+
+def with_bias(slots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots, the values of those that coincide added up, and the bias as a slot of its own."""
+    at, back = np.unique(np.append(slots, SLOTS), return_inverse=True)
+    return at.astype(np.int32), np.bincount(back, np.append(values, 1.0)).astype(np.float32)
+
+
+def train(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], epochs: int = 2) -> Model:
+    """Fit to examples (slots, values, label) in a fixed shuffled order."""
+    ready = [(*with_bias(slots, values), label) for slots, values, label in examples]
+    learner, rng = Learner(), np.random.Generator(np.random.PCG64(3))
     for _ in range(epochs if ready else 0):
         for k in rng.permutation(len(ready)):
-            at, x, label = ready[k]
-            w = weights(at)
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-            g = (p - label) * x
-            old = n[at]
-            step = (np.sqrt(old + g * g) - np.sqrt(old)) / alpha
-            z[at] += g - step * w
-            n[at] = old + g * g
-    w = weights(np.arange(SLOTS + 1))
-    return Model(w[:-1].astype(np.float32), float(w[-1]))
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality", rows_per_class: int = TRAIN_ROWS_PER_CLASS) -> Model:
+            learner.see(*ready[k])
+    return learner.model()
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality", rows_per_class: int = TRAIN_ROWS_PER_CLASS, epochs: int = 2) -> Model:
     """Fit on labelled documents whose id's crc32 modulo 5 is not 0, at most rows_per_class of each class.
 
-    The sample is bounded by that parameter, so its ids are broadcast, and its features come to the driver. Labels of
-    a document that disagree count as 0; null labels and ids are left out. Without labels every score is 0.5.
+    The sample is bounded by that parameter, so its ids are broadcast. Its features are written and streamed to the driver
+    once an epoch, in an order of their own, a partition at a time: the driver holds the model and one partition. Labels
+    of a document that disagree count as 0; null labels and ids are left out; every row of a repeated id is an example.
+    Without labels every score is 0.5.
     """
     known = labels.where(F.col(label_column).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min(label_column).alias("y")).where(fold_column("doc_id") != 0)
@@ -135,22 +149,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality
     sample = docs.select("doc_id", "text").join(F.broadcast(picks[0].union(picks[1])), "doc_id").select("doc_id", "y", "text")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(t.as_py() or "") for t in batch.column(2)]
+        found = [with_bias(*features(t.as_py() or "")) for t in batch.column(2)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1).cast(pa.int32()), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())],
             ["doc_id", "y", "slots", "v"],
         )
 
-    got = map_arrow(sample, extract, "doc_id bigint, y int, slots binary, v binary").toArrow()
-    order = pa.compute.sort_indices(got, [("doc_id", "ascending"), ("slots", "ascending")]).to_pylist() if got.num_rows else []
-    ids, slots, values = got.column(1), got.column(2), got.column(3)
-    return train((np.frombuffer(slots[k].as_py(), "<i4"), np.frombuffer(values[k].as_py(), "<f4"), ids[k].as_py()) for k in order)
+    rows, path = written(map_arrow(sample, extract, "doc_id bigint, y int, slots binary, v binary"), "quality-features")
+    learner = Learner()
+    for epoch in range(epochs):
+        for r in rows.orderBy(F.xxhash64("doc_id", F.lit(epoch)), "doc_id", "slots").toLocalIterator():
+            learner.see(np.frombuffer(r.slots, "<i4"), np.frombuffer(r.v, "<f4"), r.y)
+    delete(docs.sparkSession, path)
+    return learner.model()
 
 
-def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with `score` (0 to 1) of the whole text. Null text is empty text, scored by the bias.
+def score_quality(docs: DataFrame, model: Model, score_column: str = "score") -> DataFrame:
+    """All columns of docs with a score (0 to 1) of the whole text. Null text is empty text, scored by the bias.
 
-    The model is an array of SLOTS numbers, whatever the data, and is broadcast. A column named score is replaced.
+    The model is an array of SLOTS numbers, whatever the data, and is broadcast. A column of the score's name is
+    replaced; repeated rows and null ids are scored as any; texts of any length are read whole; an empty table gives
+    no rows. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
@@ -158,8 +177,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
         here = Model(*shared.value)
         at = batch.schema.get_field_index("text")
         scores = pa.array([here.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
-        return pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, score_column])
 
-    docs = docs.drop("score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs, run, f"{schema}, score double")
+    docs = docs.drop(score_column)
+    return map_arrow(docs, run, f"{columns_schema(docs)}, `{score_column}` double")
