@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fold_column, written
-from tidemark.llm.shingles import mix
 
-#: Longest context, slots of the hashed form (Ratio), and the weight of the next shorter context.
-ORDER, SLOTS, WEIGHT = 5, 1 << 20, 2.0
+#: Longest context, and the weight of the next shorter one.
+ORDER, WEIGHT = 5, 2.0
 #: Characters that a task scores at once, and the counts of a gram by accepted, held out.
 CHUNK, _N = 1 << 18, ("n00", "n01", "n10", "n11")
 #: Bins of the calibration histogram over scores from -RANGE to RANGE.
@@ -54,55 +53,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def _slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each order from 0, slots of (context, character) and of the context, and the row of each character.
-
-    A character is a byte; each text starts after ORDER zero bytes and ends with byte 1.
-    """
-    coded = [t.encode("utf-8", "surrogatepass") + b"\x01" for t in texts]
-    sizes = np.array([len(c) for c in coded], np.int64)
-    data = np.frombuffer(b"".join(b"\0" * ORDER + c for c in coded), np.uint8).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    first = np.cumsum(sizes + ORDER) - sizes
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
-    context, grams, contexts = np.full(len(at), 0x51ED27, np.uint64), [], []
-    for k in range(ORDER + 1):
-        if k:
-            context = mix(context * np.uint64(0x9E3779B97F4A7C15) + data[at - k] + np.uint64(k))
-        contexts.append((context % np.uint64(SLOTS)).astype(np.int64))
-        grams.append((mix(context + (data[at] + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)) % np.uint64(SLOTS)).astype(np.int64))
-    return np.array(grams), np.array(contexts), row
-
-
-@dataclass(frozen=True)
-class Ratio:
-    """Two models. A context's estimate mixes its own counts with the next shorter context's, down to equal chances.
-
-    The form for few URLs, with counts in slots; judge_urls has the same recursion over tables of exact counts.
-    """
-
-    accepted: np.ndarray
-    rejected: np.ndarray
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Mean over a text's characters of the log-likelihood difference; 0 for an empty text."""
-        if not texts:
-            return np.zeros(0)
-        grams, contexts, row = _slots(texts)
-        logs = []
-        for table in (self.accepted, self.rejected):
-            p = np.full(len(row), 1 / 256)
-            for gram, context in zip(grams, contexts, strict=True):
-                p = (np.minimum(table[gram], table[context + SLOTS]) + WEIGHT * p) / (table[context + SLOTS] + WEIGHT)
-            logs.append(np.log(p))
-        sums = np.bincount(row, logs[0] - logs[1], len(texts))
-        return sums / np.bincount(row, minlength=len(texts)) * (np.array([len(t) for t in texts]) > 0)
-
-
 def _tails(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For each character as in _slots, it and the ORDER before it as one number (exact, six bytes), and its row.
+    """For each character (a byte), it and the ORDER before it as one number (exact, six bytes), and its row.
 
-    The low k + 1 bytes are the gram of order k; they without the last byte are its context.
+    Each text starts after ORDER zero bytes and ends with byte 1. The low k + 1 bytes are the gram of order k; they
+    without the last byte are its context.
     """
     coded = [t.encode("utf-8", "surrogatepass") + b"\x01" for t in texts]
     sizes = np.array([len(c) for c in coded], np.int64)
@@ -236,8 +191,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_i
     All URLs that rules decide train the two models; a fifth of them, by hash of the URL, first calibrates the
     threshold against models of the others. The rest get the method's verdict: allow if the score reaches it.
 
-    Null URLs and URLs without :// have empty host and path, score 0, and are blocked. Null ids and repeated rows
-    pass through. With no ruled URL on a side the threshold is 0. An empty table gives no rows.
+    Null URLs and URLs without :// have empty host and path and score 0, and are judged by it like any other. Null ids
+    and repeated rows pass through; URLs of any length are scored whole; other columns are not read. With no ruled URL
+    on a side the threshold is 0. An empty table gives no rows.
     """
     host, path = host_of(F.col(url_column)), path_of(F.col(url_column))
     rows = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
@@ -249,5 +205,5 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_i
     differences = _differences(written(counts.groupBy("tail").agg(*[F.sum(c).alias(c) for c in _N]), "url-counts")[0])
     out, _ = written(_scored(rows, counts.select("chunk", "tail").join(differences, "tail")), "url-scores")
     threshold = _threshold(out.where("verdict is not null and held = 1").select("verdict", F.col("first").alias("score")))
-    own = F.when((F.col("final") >= threshold) & (F.col("shown") != ""), "allow").otherwise("block")
+    own = F.when(F.col("final") >= threshold, "allow").otherwise("block")
     return out.select(id_column, "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), F.col("final").alias("score"))
