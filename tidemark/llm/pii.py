@@ -316,7 +316,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
             entity, kind, cue = made()
             if rng.random() < 0.2:  # numbers side by side, which the base patterns run together
                 text = f"{text} ".lstrip()
-                for number, y in ((f"+{rng.randrange(1, 100)} ({digits(3)}) {digits(3)}-{digits(4)}", 3), rng.choice([(card([16], ""), 2), (bad_number(16), -1), (bad_number(15), -1)])):
+                for number, y in ((f"+{rng.randrange(1, 100)} ({digits(3)}) {digits(3)}-{digits(4)}", 3), rng.choice([(card([16], ""), 2), (card([4, 4, 4, 4], rng.choice(" -")), 2), (bad_number(16), -1), (bad_number(15), -1)])):
                     if y >= 0:
                         gold.append((len(text), y, len(text) + len(number)))
                     text += f"{number} "
