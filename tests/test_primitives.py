@@ -143,7 +143,7 @@ def test_no_window_over_raw_rows_in_one_task(spark, sf_dir):
     from tidemark.plans.registry import QUERIES, load
 
     load()
-    for name in ("platform_concentration", "topshare_profile", "lorenz_deciles", "universe_union_topn", "quartile_band_crosstab", "maker_decile_economics", "account_type_decile", "bh_qvalues", "cotrade_significance", "rank_deciles", "markout_by_decile", "top_fee_payers", "correction_concentration", "coded_trades"):
+    for name in ("platform_concentration", "topshare_profile", "universe_union_topn", "quartile_band_crosstab", "maker_decile_economics", "account_type_decile", "bh_qvalues", "cotrade_significance", "rank_deciles", "markout_by_decile", "top_fee_payers", "correction_concentration", "coded_trades"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         for window in re.findall(r"Window \[.*", plan):
             first = window.split("windowspecdefinition(", 1)[1].split(",", 1)[0]
