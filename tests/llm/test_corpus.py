@@ -145,13 +145,18 @@ def test_collision_probability_gives_the_stated_recall():
     assert (vectors.codes(a) == vectors.codes(b)).any(axis=1).mean() > 0.94
 
 
-def test_op8_oracle_agrees(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracles_agree(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
-    want = sorted(con.sql(ORACLES["op8_embedding_groups"]).fetchall())
-    assert sorted(map(tuple, QUERIES["op8_embedding_groups"](spark, sf_dir).collect())) == want
+    for t in ("embeddings", "documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    out = QUERIES[name](spark, sf_dir)
+    names, rel = sorted(out.columns), con.sql(ORACLES[name])
+    assert sorted(rel.columns) == names
+    want = con.sql(f"select {', '.join(names)} from rel").fetchall()
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in out.collect()))) == sorted(map(repr, want))
 
 
 def test_items_are_found_through_edits_and_clean_texts_are_not(spark):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chat import format_conversations, read_back
+from tidemark.llm.chat import CONTROL, MARKS, format_conversations, read_back
 from tidemark.llm.codec import encode_decode
 from tidemark.llm.common import fold_column, table, tune
 from tidemark.llm.decontaminate import find_items
@@ -142,3 +143,44 @@ with recursive v as (
 select e.vec_id, (select count(*) from p where p.a = e.vec_id) as n_links, m.c as component_id, e.vec_id = m.c as kept
 from embeddings e join (select id, min(c) as c from r group by id) m on m.id = e.vec_id
 """
+
+
+_CONTROLS = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in CONTROL)
+_SHOWN = " + ".join(f"len({c}) + len(regexp_extract_all({c}, '{_CONTROLS}'))" for c in ("role", "text"))
+#: Read back, a conversation is what went in; an escape adds a character to each control string.
+ORACLES["op1_chat_format"] = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{CONTROL_TEXT}' union all select -7, 1, 'assistant', '{CONTROL_TEXT}'
+), x as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as turns,
+   coalesce(string_agg(text, '' order by turn nulls first, text) filter (where role = 'assistant'), '') as loss, cast(sum({_SHOWN} + {sum(map(len, MARKS))}) as bigint) as formatted_chars
+  from c group by conv_id
+)
+select conv_id, n_turns, sha256(turns) as turns_sha256, len(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from x
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Documents of one set are one class; classes that share a shingle are compared by counting what they share.
+ORACLES["op10_minhash_groups"] = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+   else list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')))) end as sh from w
+), k as (
+  select min(doc_id) as rep, sh, len(sh) as n, md5(array_to_string(sh, chr(10))) as h from s group by sh
+), d as (
+  select rep, n, unnest(sh) as x from k
+), p as (
+  select a.rep as a, b.rep as b from d a join d b using (x) where a.rep < b.rep group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l as (
+  select a, b from p union all select b, a from p
+), r(id, c) as (
+  select rep, rep from k where n > 0 union select l.b, r.c from r join l on l.a = r.id where r.c < l.b
+), m as (
+  select id, min(c) as c from r group by id
+)
+select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, case when len(s.sh) = 0 then s.doc_id else m.c end as component_id, case when len(s.sh) = 0 then true else s.doc_id = m.c end as kept
+from s join k on k.h = md5(array_to_string(s.sh, chr(10))) and k.n = len(s.sh) left join m on m.id = k.rep
+"""
