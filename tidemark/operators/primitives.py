@@ -18,6 +18,17 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where either side does not vary (corr() itself divides by zero there)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def slope(y: str, x: str) -> Column:
+    """The least-squares slope of y on x over rows that have both; null where x does not vary."""
+    both = F.when(F.col(y).isNotNull(), F.col(x))
+    return F.covar_pop(y, x) / F.nullif(F.var_pop(both), F.lit(0.0))
+
+
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """One row for each key: the first in `order`, which must be total for the survivor to be defined."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -236,14 +247,14 @@ def average_ranks(df: DataFrame, columns: Sequence[str], ties: str = "average")
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), ties: str = "average") -> DataFrame:
     """Rank correlation by keys, with average ranks for ties: rank + (ties - 1) / 2; or with the first place of ties ("min")."""
     if not keys:
-        return average_ranks(df, [x, y], ties).agg(F.corr(f"rank_{x}", f"rank_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
+        return average_ranks(df, [x, y], ties).agg(correlation(f"rank_{x}", f"rank_{y}").alias("rho"), F.count(F.lit(1)).alias("n"))
 
     def rank(c: str) -> Column:
         w = Window.partitionBy(*keys)
         return F.rank().over(w.orderBy(c)) + ((F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0 if ties == "average" else 0)
 
     ranked = df.withColumns({"_x": rank(x), "_y": rank(y)})
-    return ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*keys).agg(correlation("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def ordered_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import families
-from tidemark.operators.primitives import average_ranks, global_row_number, ratio
+from tidemark.operators.primitives import average_ranks, correlation, global_row_number, ratio
 from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills
@@ -119,7 +119,7 @@ def correction_distinctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether closers are merely the large, the profitable, the paying or the busy: rank correlation, and shared first hundreds."""
     wallets, _ = _closers(spark, sf_dir)
     measures = ["vol", "pnl", "fees", "trades"]
-    ranks = average_ranks(wallets, ["wins", *measures]).agg(*[F.corr("rank_wins", f"rank_{m}").alias(m) for m in measures])
+    ranks = average_ranks(wallets, ["wins", *measures]).agg(*[correlation("rank_wins", f"rank_{m}").alias(m) for m in measures])
     first = lambda c: wallets.orderBy(F.col(c).desc(), "wallet").limit(100).select("wallet")
     shared = [first("wins").intersect(first(m)).agg(F.count(F.lit(1)).alias("shared_top100")).withColumn("measure", F.lit(m)) for m in measures]
     pairs = ", ".join(f"'{m}', {m}" for m in measures)
@@ -153,7 +153,7 @@ def correction_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = F.col("start") < F.col("mid")
     halves = found.crossJoin(F.broadcast(mid)).groupBy("closer").agg(F.count_if(early).alias("h1"), F.count_if(~early).alias("h2"), F.countDistinct("family").alias("families"))
     halves = cut(halves)
-    rho = average_ranks(halves.where("h1 > 0 and h2 > 0"), ["h1", "h2"]).agg(F.count(F.lit(1)).alias("both_halves"), F.round(F.corr("rank_h1", "rank_h2"), 6).alias("rho"))
+    rho = average_ranks(halves.where("h1 > 0 and h2 > 0"), ["h1", "h2"]).agg(F.count(F.lit(1)).alias("both_halves"), F.round(correlation("rank_h1", "rank_h2"), 6).alias("rho"))
     wide = halves.agg(F.count_if(F.col("families") >= 5).alias("in_five_families"))
     large = wallets.orderBy(F.col("vol").desc(), "wallet").limit(100).select(F.col("wallet").alias("closer"), F.lit(1).alias("large"))
     share = found.join(F.broadcast(large), "closer", "left").agg(F.round(ratio(F.count("large"), F.count(F.lit(1))), 8).alias("by_top100_volume"))

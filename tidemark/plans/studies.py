@@ -10,7 +10,7 @@ from tidemark.operators import classify, fees
 from tidemark.operators import concentration as C
 from tidemark.operators import paths as P
 from tidemark.operators import skill as K
-from tidemark.operators.primitives import cleaned_map, dedup_narrow, global_ntile, merged_last, ratio
+from tidemark.operators.primitives import cleaned_map, correlation, dedup_narrow, global_ntile, merged_last, ratio, slope
 from tidemark.plans.base_sql import fills_sql, raw_sql
 from tidemark.plans.exclusive import _COVERED
 from tidemark.plans.flow import _pnl_cte
@@ -227,7 +227,7 @@ def _class_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fee_pre_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slope of log volume in the year before a class's fee start."""
     before = _class_months(spark, sf_dir).where("since between -12 and -1")
-    return before.groupBy("category").agg(F.count(F.lit(1)).alias("months"), F.round(F.regr_slope("y", "since"), 8).alias("slope"))
+    return before.groupBy("category").agg(F.count(F.lit(1)).alias("months"), F.round(slope("y", "since"), 8).alias("slope"))
 
 
 _MIN = "mn as (select category, condition_id, week, token_id, minute, sum(q) filter (where side = 'BUY') as qb, sum(q) filter (where side = 'SELL') as qs, sum(cents) filter (where side = 'BUY') as cb, sum(cents) filter (where side = 'SELL') as cs from f group by 1, 2, 3, 4, 5)"
@@ -286,7 +286,7 @@ def cohort_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["fee_share", "geometric_order", "small", "maker_hhi"]
     pairs = ", ".join(f"'{n}', {n}" for n in names)
     long = _cohorts(spark, sf_dir).selectExpr("cohort", f"stack({len(names)}, {pairs}) as (measure, y)")
-    return long.groupBy("measure").agg(F.count(F.lit(1)).alias("cohorts"), F.round(F.regr_slope("y", "cohort"), 6).alias("slope"), F.round(F.corr("y", "cohort"), 6).alias("r"))
+    return long.groupBy("measure").agg(F.count(F.lit(1)).alias("cohorts"), F.round(slope("y", "cohort"), 6).alias("slope"), F.round(correlation("y", "cohort"), 6).alias("r"))
 
 
 @query("""select p_partkey, case when broad <> 'sports' and (regexp_matches(slug, '\\b(old|new)\\b') or list_contains(tags, 'brass')) then 'world' when broad <> 'sports' and list_contains(tags, 'steel') then 'macro'
