@@ -76,3 +76,36 @@ def test_population_draws_do_not_depend_on_partitions(spark):
     assert a == b and 0 <= a.by_chance <= a.by_chance_95 <= 40
     x, y = (N.bootstrap_difference(bet.repartition(k), groups, "g", 1, 2, 200).first() for k in (1, 6))
     assert x == pytest.approx(y) and x.low < x.middle < x.high
+
+
+def test_shuffles_within_groups_keep_what_groups_explain():
+    rng = np.random.default_rng(3)
+    group = np.repeat(np.arange(5), 40)
+    x, y = group + rng.normal(size=200), group + rng.normal(size=200)  # related through the group alone
+    assert np.corrcoef(x, y)[0, 1] > 0.4 and I.within_group_shuffle(group, x, y, 200) > 0.02
+    assert I.within_group_shuffle(group, x, x + rng.normal(size=200), 200) < 0.02
+
+
+def test_bootstrap_of_a_ratio():
+    rng = np.random.default_rng(4)
+    table = np.column_stack([rng.normal(3, 1, 400), rng.normal(2, 0.3, 400)])
+    low, high = I.bootstrap_ci(table, lambda t: t[:, 0].sum() / t[:, 1].sum(), 400)
+    assert low < 1.5 < high and high - low < 0.3
+
+
+def test_never_treated_controls():
+    u, t = np.repeat(np.arange(9), 6), np.tile(np.arange(6), 9)
+    g = np.where(u < 3, 2, np.where(u < 6, 4, np.nan))
+    y = np.where(t >= g, 1.0, 0.0) + 5.0 * ((g == 4) & (t == 3))  # a jump before treatment, which only later controls see
+    assert I.group_time_att(y, u, t, g, 5)["cells"][0][:3] == (2.0, 2, 1.0)
+    never, later = ({c[:2]: c[2] for c in I.group_time_att(y, u, t, g, 5, controls=k)["cells"]} for k in ("never", "later"))
+    assert never[2.0, 3] == 1.0 and later[2.0, 3] != 1.0
+
+
+def test_gates_are_hard(spark):
+    from tidemark.operators.classify import enforce_gates
+
+    fine = spark.createDataFrame([(0.9, 0.1, True, 0.5)], "coverage double, unmapped double, has_control boolean, largest double")
+    assert enforce_gates(fine) is fine
+    with pytest.raises(ValueError, match="has_control"):
+        enforce_gates(fine.withColumn("has_control", ~fine.has_control))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.primitives import ratio
+from tidemark.operators.primitives import ratio, small_side
 
 
 def rule_class(text: Column, rules: Sequence[tuple[str, str]], default: str = "other") -> Column:
@@ -46,7 +46,7 @@ def with_recapture(broad: str, slug: str, tags: str, gate: str, recapture: Seque
 
 def mode_of_tags(df: DataFrame, key: str, tags: str, mapping: DataFrame) -> DataFrame:
     """The class that most of a key's tags map to; among equals the one seen first."""
-    each = df.select(key, F.posexplode(tags).alias("pos", "tag")).join(F.broadcast(mapping), F.lower(F.trim("tag")) == mapping["name"])
+    each = df.select(key, F.posexplode(tags).alias("pos", "tag")).join(small_side(mapping), F.lower(F.trim("tag")) == F.col("name"))
     n = each.groupBy(key, "class").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     w = Window.partitionBy(key).orderBy(F.col("n").desc(), "first", "class")
     return n.withColumn("r", F.row_number().over(w)).where("r = 1").select(key, "class", "n")
@@ -67,3 +67,12 @@ def taxonomy(tape: DataFrame, maker_share: float = 0.7, per_day: float = 40, reg
     busy = (F.col("n") / F.col("days") >= per_day) & (F.col("entropy") >= regular * F.log(F.lit(24.0)))
     kind = F.when(F.col("share") >= maker_share, "market_maker").when(busy, "high_frequency").when(F.col("n") == 1, "one_shot").otherwise("active")
     return f.withColumn("kind", kind)
+
+
+def enforce_gates(figures: DataFrame, coverage: float = 0.85, unmapped: float = 0.15, largest: float = 0.60) -> DataFrame:
+    """The figures of a class panel (one row: coverage, unmapped, has_control, largest), or an error that says what is off."""
+    row = figures.first()
+    rules = {"coverage": row.coverage >= coverage, "unmapped": row.unmapped < unmapped, "has_control": row.has_control, "largest": row.largest <= largest}
+    if off := [name for name, fine in rules.items() if not fine]:
+        raise ValueError(f"the panel fails its gates: {', '.join(f'{n} = {row[n]}' for n in off)}")
+    return figures

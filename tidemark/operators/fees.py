@@ -30,5 +30,5 @@ def incidence_v2(rate: Column, pc: Column) -> Column:
 def event_study(panel: DataFrame, unit: str, since: str, y: str, reach: int) -> DataFrame:
     """Mean of y by time since treatment, less each unit's mean over the `reach` periods before it; units without any drop out."""
     before = panel.where(F.col(since).between(-reach, -1)).groupBy(unit).agg(F.avg(y).alias("base"))
-    near = panel.where(F.col(since).between(-reach, reach)).join(F.broadcast(before), unit)
+    near = panel.where(F.col(since).between(-reach, reach)).join(before, unit)
     return near.groupBy(since).agg(F.count(F.lit(1)).alias("classes"), F.round(F.avg(F.col(y) - F.col("base")), 8).alias("effect"))

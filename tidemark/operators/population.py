@@ -69,7 +69,7 @@ def clustered_gap(bet: DataFrame, groups: DataFrame, group: str, wallet: str = "
     named = cut(per.join(groups.select("wallet", group), "wallet"))
     means = named.groupBy(group).agg(F.sum("n").alias("bets"), F.count(F.lit(1)).alias("wallets"), ratio(F.sum("edge"), F.sum("n") * 100).alias("gap"))
     off = F.col("edge") / 100.0 - F.col("n") * F.col("gap")
-    error = named.join(F.broadcast(means.select(group, "gap")), group).groupBy(group).agg(F.sqrt(F.sum(off * off)).alias("root"))
+    error = named.join(means.select(group, "gap"), group).groupBy(group).agg(F.sqrt(F.sum(off * off)).alias("root"))
     return means.join(error, group).select(group, "bets", "wallets", F.round("gap", 8).alias("gap"), F.round(F.col("root") / F.col("bets"), 8).alias("se"))
 
 

@@ -18,6 +18,15 @@ def ratio(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
+#: Rows of a table that is sent to every executor, at most.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A table marked for broadcast if it is counted to be small; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson's correlation; null where either side does not vary (corr() itself divides by zero there)."""
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

@@ -188,6 +188,16 @@ def entity_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cross_checked(member, member.select("node", (F.col("node") % 50).alias("community")))
 
 
+@query(fills_sql("""select condition_id, count(*) as n, cast(sum(w) as bigint) as total, round(case when count(*) > 1 then 2 * sum(i * w)::double / (count(*) * sum(w)::double) - (count(*) + 1) / count(*)::double end, 8) as gini, round(sum(case when i > m - 10 then w else 0 end)::double / sum(w), 8) as top10 from (
+ select *, row_number() over (partition by condition_id order by w, entity) as i, count(*) over (partition by condition_id) as m from (select condition_id, coalesce(cc.component, taker) as entity, cast(sum(cents) as bigint) as w from f left join cc on cc.node = taker group by 1, 2 having sum(cents) > 0)) group by 1""", _FUND, *_COMP).replace("with ", "with recursive ", 1))
+def entity_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concentration when the wallets of a funded cluster count as one, the others by themselves (C09, by the clusters of G13)."""
+    tape = fills(spark, sf_dir)
+    member = graph.connected_components(_funding(spark, sf_dir).where("shared >= 2"))
+    named = tape.join(member, tape["taker"] == member["node"], "left").withColumn("entity", F.coalesce("component", "taker"))
+    return C.concentration(C.wallet_weights(named, ["condition_id"], "entity", "cents"), ["condition_id"], (10,)).select("condition_id", "n", "total", "gini", "top10")
+
+
 @query(trades_sql("""select p.a, p.b, p.events, round(e.m, 6) as expected, round(p, 7) as p, round(least(min(p * n / r) over (order by r desc rows unbounded preceding), 1.0), 7) as q_value from (
  select *, row_number() over (order by p, a, b) as r, count(*) over () as n from (select p.a, p.b, p.events, e.m, greatest(0.0, 1 - list_sum(list_transform(range(0, p.events), lambda j: exp(-e.m + j * ln(e.m) - case when j = 0 then 0 else lgamma(j + 1) end)))) as p from pairs p join ex e on p.a = e.a and p.b = e.b)) p join ex e on p.a = e.a and p.b = e.b""", _PRES, _PAIRS,
     "k as (select asset_id, side, wallet, count(*) as k, any_value(n) as n from pr join (select asset_id, side, count(distinct bucket) as n from pr group by 1, 2) using (asset_id, side) group by 1, 2, 3)",
