@@ -49,12 +49,15 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def paths_made() -> Iterator[list[str]]:
-    """A list that fills with the paths made inside the with statement and not yet deleted."""
-    token = _MADE.set([])
+    """A list that fills with the paths made inside the with statement and not yet deleted; what is left goes to an outer one."""
+    made: list[str] = []
+    token = _MADE.set(made)
     try:
-        yield _MADE.get()
+        yield made
     finally:
         _MADE.reset(token)
+        if (outer := _MADE.get()) is not None:
+            outer += made
 
 
 def written(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
