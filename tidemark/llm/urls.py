@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_column, written
+from tidemark.llm.common import delete, fold_column, paths_made, written
 
 #: Longest context, and the weight of the next shorter one.
 ORDER, WEIGHT = 5, 2.0
@@ -200,10 +200,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_i
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("shown"))
     rows = rows.withColumn("held", (fold_column("shown") == 0).cast("int"))
-    rows, _ = written(_chunked(rows), "urls")
-    counts, _ = written(_tail_counts(rows), "url-tails")
-    differences = _differences(written(counts.groupBy("tail").agg(*[F.sum(c).alias(c) for c in _N]), "url-counts")[0])
-    out, _ = written(_scored(rows, counts.select("chunk", "tail").join(differences, "tail")), "url-scores")
+    with paths_made() as made:
+        rows, _ = written(_chunked(rows), "urls")
+        counts, _ = written(_tail_counts(rows), "url-tails")
+        differences = _differences(written(counts.groupBy("tail").agg(*[F.sum(c).alias(c) for c in _N]), "url-counts")[0])
+        out, path = written(_scored(rows, counts.select("chunk", "tail").join(differences, "tail")), "url-scores")
+        for old in [p for p in made if p != path]:
+            delete(pages.sparkSession, old)
     threshold = _threshold(out.where("verdict is not null and held = 1").select("verdict", F.col("first").alias("score")))
     own = F.when(F.col("final") >= threshold, "allow").otherwise("block")
     return out.select(id_column, "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), F.col("final").alias("score"))
