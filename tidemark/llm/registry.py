@@ -13,10 +13,13 @@ from tidemark.llm.chat import CONTROL, MARKS, format_conversations, read_back
 from tidemark.llm.codec import encode_decode
 from tidemark.llm.common import fold_column, table, tune
 from tidemark.llm.decontaminate import find_items
+from tidemark.llm.fim import fill_in_middle, restore
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.negatives import hard_negatives
 from tidemark.llm.packed_ids import read_ids, write_ids
 from tidemark.llm.pii import KINDS, find_personal_data, joined
 from tidemark.llm.quality import fit_quality, score_quality
+from tidemark.llm.sharding import shard_documents
 from tidemark.llm.token_count import token_counts
 from tidemark.llm.urls import Rule, judge_urls
 from tidemark.llm.vectors import near_vectors
@@ -126,6 +129,27 @@ def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256.0)
+
+
+@query
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restore(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
 #: Every pair of equal label, in double precision; components by the least reachable id.
 ORACLES["op8_embedding_groups"] = """
 with recursive v as (
@@ -184,3 +208,74 @@ with recursive w as (
 select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, case when len(s.sh) = 0 then s.doc_id else m.c end as component_id, case when len(s.sh) = 0 then true else s.doc_id = m.c end as kept
 from s join k on k.h = md5(array_to_string(s.sh, chr(10))) and k.n = len(s.sh) left join m on m.id = k.rep
 """
+
+_HEX = [f"cast('0x' || substr(h, {8 * k + 1}, 8) as bigint)" for k in range(4)]
+#: Lines as a list; two places in it cut prefix and middle off.
+ORACLES["op13_fill_in_middle"] = rf"""
+with t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as ls, sha256('7:' || doc_id) as h from documents
+), c as (
+  select *, len(ls) as n, {_HEX[0]} % (len(ls) + 1) as a, {_HEX[1]} % (len(ls) + 1) as b, {_HEX[2]} % 100 as u, {_HEX[3]} % 100 as v from t
+), p as (
+  select doc_id, text, n, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or u >= 100 then 'plain' when v < 50 then 'spm' else 'psm' end as form,
+   array_to_string(ls[1 : least(a, b)], '') as pre, array_to_string(ls[least(a, b) + 1 : greatest(a, b)], '') as mid, array_to_string(ls[greatest(a, b) + 1 :], '') as suf from c
+)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then len(pre) end as prefix_chars, case when form <> 'plain' then len(mid) end as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256
+from p
+"""
+
+#: Cells by shares of lesser values; the curve by Skilling's steps over the cells that occur; runs of equal counts.
+ORACLES["op12_hilbert_shards"] = """
+with recursive crc_table as (
+  select list(v order by i) as crcs from (
+   select i, list_reduce(range(0, 8), lambda v, b: case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, i) as v from range(0, 256) t(i))
+), d as (
+  select doc_id, cast(strlen(coalesce(text, '')) + 16 as bigint) as size, text, lang, source from documents
+), v as (
+  select doc_id, size, text, cast((rank() over (order by lang nulls first) - 1) * 32 // count(*) over () as bigint) as c0,
+   cast((rank() over (order by source nulls first) - 1) * 32 // count(*) over () as bigint) as c1, cast((rank() over (order by size) - 1) * 32 // count(*) over () as bigint) as c2 from d
+), s as (
+  select k, cast(2 ** (4 - k // 3) as bigint) as q, k % 3 as i from range(0, 12) r(k)
+), w(k, c0, c1, c2, x, y, z) as (
+  select distinct cast(0 as bigint), c0, c1, c2, c0, c1, c2 from v
+  union all
+  select w.k + 1, c0, c1, c2,
+   case when (case s.i when 0 then x when 1 then y else z end) & q <> 0 then xor(x, q - 1) else xor(x, xor(x, case s.i when 0 then x when 1 then y else z end) & (q - 1)) end,
+   case when s.i = 1 and y & q = 0 then xor(y, xor(x, y) & (q - 1)) else y end, case when s.i = 2 and z & q = 0 then xor(z, xor(x, z) & (q - 1)) else z end
+  from w join s on s.k = w.k
+), g as (
+  select c0, c1, c2, x, xor(x, y) as y, xor(xor(x, y), z) as z from w where k = 12
+), f as (
+  select c0, c1, c2, xor(x, t) as x, xor(y, t) as y, xor(z, t) as z from (
+   select *, xor(xor(case when z & 16 > 0 then 15 else 0 end, case when z & 8 > 0 then 7 else 0 end), xor(case when z & 4 > 0 then 3 else 0 end, case when z & 2 > 0 then 1 else 0 end)) as t from g)
+), h as (
+  select c0, c1, c2, cast(list_sum(list_transform(range(0, 5), lambda b: ((x >> b) % 2 * 4 + (y >> b) % 2 * 2 + (z >> b) % 2) * 8 ** b)) as bigint) as curve from f
+), p as (
+  select doc_id, size, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: cast('0x' || b as bigint)),
+   lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) as text_crc32, curve
+  from v join h using (c0, c1, c2), crc_table
+), r as (
+  select *, row_number() over (order by curve, text_crc32, size, doc_id) - 1 as r, count(*) over () as n from p
+)
+select doc_id, size, text_crc32, 'rows' as law, cast(r * 40 // n as int) as shard, cast(r - (r * 40 // n * n + 39) // 40 as bigint) as slot, cast(null as int) as grown_shard from r
+"""
+
+#: Each anchor with every row: exact scores, first positives, first rows of its bands.
+ORACLES["op11_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding,
+   list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, c.vec_id as other_id, a.label = c.label as same, cast(list_dot_product(cast(a.q as double[]), cast(c.q as double[])) as bigint) as score
+  from v a join v c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id
+), p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+), n as (
+  select p.*, s.other_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.other_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
