@@ -89,3 +89,15 @@ def test_bounds_lose_no_row_and_prune_clusters():
 def test_products_beyond_doubles_are_exact():
     a = np.array([[2**26 + 1, 3], [-(2**26), 5]], np.int64)
     assert negatives.products(a, a).tolist() == [[int(sum(int(x) * int(y) for x, y in zip(u, v))) for v in a] for u in a]
+
+
+def test_groups_hold_whole_cells_up_to_the_bound():
+    rng = np.random.default_rng(9)
+    cells = negatives.Cells({4: rng.normal(size=(30, 4))}, 9.0)
+    counts = {(4 << 11) + 1 + k: int(rng.integers(1, 60)) for k in range(30)} | {5 << 11: 7}
+    groups = cells.grouped(counts, 100)
+    assert set(groups) == set(counts)
+    held = {g: sum(counts[c] for c, h in groups.items() if h == g) for g in set(groups.values())}
+    assert max(held.values()) <= 100 and len(held) < 20
+    assert len({c >> 11 for c, g in groups.items() if g == groups[5 << 11]}) == 1  # lengths never share a group
+    assert len(set(cells.grouped(counts, 1).values())) == 31

@@ -19,7 +19,7 @@ from tidemark.llm.common import integer_id, map_arrow, small_or_shuffled, writte
 #: decide how much is compared, never what is found.
 SAMPLE_ROWS, MOST_PIVOTS = 2048, 1024
 #: Anchors of a block, candidates of a chunk (a task compares one with the other), and candidates that are scored at once.
-BLOCK, CHUNK, TILE = 2048, 32_768, 1024
+BLOCK, CHUNK, TILE = 4096, 32_768, 1024
 #: Squared lengths stay below 2**55, so that a score times 100 fits into 64 bits.
 MOST_NORM = float(1 << 55)
 NONE = np.iinfo(np.int64).min
@@ -85,6 +85,29 @@ class Cells:
         own = np.full(len(x), self.most) if candidates else (x * x).sum(axis=1)
         return np.sqrt(np.maximum(own[:, None] + (p * p).sum(axis=1) - 2 * (x @ p.T), 0))
 
+    def grouped(self, counts: dict[int, int], most: int) -> dict[int, int]:
+        """Cell -> group: neighbouring cells share one while they hold `most` anchors at most; a larger cell is alone.
+
+        Cells of one length are walked from pivot to nearest pivot. A candidate goes to a group once, however many of its
+        cells it may serve.
+        """
+        out: dict[int, int] = {}
+        group = -1
+        for dim in sorted({c >> 11 for c in counts}):
+            left = {c for c in counts if c >> 11 == dim}
+            held, at = 0, min(left)
+            group += 1
+            while left:
+                left.discard(at)
+                if held and held + counts[at] > most:
+                    group, held = group + 1, 0
+                out[at], held = group, held + counts[at]
+                if left:
+                    p, rest = self.pivots[dim], sorted(left)
+                    gap = ((p[np.array(rest) - (dim << 11) - 1] - p[at - (dim << 11) - 1]) ** 2).sum(axis=1)
+                    at = rest[int(gap.argmin())]
+        return out
+
     def served(self, x: np.ndarray, stats: dict[int, tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
         """(place of a candidate, cell) wherever the candidate could be among what an anchor of the cell asks for.
 
@@ -184,27 +207,32 @@ def _join(rows: DataFrame, anchors: DataFrame, cells: Cells, k: int, positives:
     """(aid, turn, found, score): for each query of the anchors the first k rows. anchors: aid, vec_id, label, q, cell, radius,
     norm, queries; written. With `positives`, only rows of the anchor's label are compared, and groups are by label."""
     spark = rows.sparkSession
-    keys = ["label", "cell"] if positives else ["cell"]
+    keys = ["label", "group"] if positives else ["group"]
     summary = anchors.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"),
         F.max("radius").alias("radius"), F.max("norm").alias("long"), F.min(F.array_min(F.transform("queries", lambda q: q["low"]))).cast("double").alias("least")
     )
-    stats = {r.cell: (r.radius, r.long, r.least) for r in summary.collect()}  # one row a pivot or length
+    found = summary.collect()  # one row a pivot or length
+    stats, group_of = {r.cell: (r.radius, r.long, r.least) for r in found}, cells.grouped({r.cell: r.n for r in found}, BLOCK)
+    numbers = spark.createDataFrame(list(group_of.items()), "cell bigint, group bigint")
+    anchors = anchors.join(F.broadcast(numbers), "cell")
 
     def served(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for at, x in _by_length(batch.column(2)):
             which, cell = cells.served(x, stats)
-            parts.append((at[which], cell))
+            pairs = np.unique(np.stack([at[which], np.array([group_of[c] for c in cell.tolist()], np.int64)]), axis=1)
+            parts.append((pairs[0], pairs[1]))
         if not parts:
             return None
-        which, cell = (np.concatenate(v) for v in zip(*parts))
+        which, group = (np.concatenate(v) for v in zip(*parts))
         taken = batch.take(pa.array(which))
-        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell.astype(np.int64))], [*taken.schema.names, "cell"])
+        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(group)], [*taken.schema.names, "group"])
 
     most = rows.groupBy("label").count().agg(F.max("count")) if positives else rows.agg(F.count(F.lit(1)))
     chunks = max(1, -(-int(most.first()[0] or 0) // CHUNK))
     groups, _ = written(anchors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("g")), "anchor-groups")
-    sent = map_arrow(rows.select("vec_id", "label", "q"), served, "vec_id bigint, label bigint, q binary, cell bigint")
+    sent = map_arrow(rows.select("vec_id", "label", "q"), served, "vec_id bigint, label bigint, q binary, group bigint")
     sent = sent.join(small_or_shuffled(groups), keys).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     sent = sent.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)))
     asking = anchors.join(small_or_shuffled(groups), keys).withColumn("block", F.pmod(F.xxhash64("aid"), F.col("g")))
@@ -248,8 +276,8 @@ def hard_negatives(
 
     Anchors are dealt to the nearest of some pivots (as many as the root of their number, MOST_PIVOTS at most). A row is sent to
     a cell's anchors only if its bound there reaches the least score that could count for one of them; scores with a bounded
-    sample give that floor first. Cells are cut into blocks of anchors and chunks of rows, so a task compares at
-    most some BLOCK anchors with some CHUNK rows, and each keeps its first k. Results are exact whatever pivots and sample are.
+    sample give that floor first. Small cells share a group and large ones are cut into blocks, and rows into chunks, so a
+    task compares at most some BLOCK anchors with some CHUNK rows, and each keeps its first k. Results are exact whatever pivots and sample are.
 
     Rows with a null id or label, or with a vector that is null, empty, holds null or non-finite components, or whose squared
     length in whole numbers reaches 2**55, take no part. Vectors of unlike length never meet. Ids and labels must be
