@@ -136,3 +136,16 @@ def test_episodes_as_a_stream_are_those_of_the_batch(spark, tmp_path):
     ordered = tape.join(size, "family").where("members >= 3").withColumn("seq", F.col("sec") * 100_000 + F.col("tx_hash"))
     got = sorted(map(tuple, _run(tapes.episodes(_stream(spark, ordered, f"{tmp_path}/in"), 600), "episodes", tmp_path).collect()))
     assert got == want and len(want) > 5
+
+
+def test_paths_are_qualified_by_the_default_file_system(spark, tmp_path):
+    from tidemark.sources.store import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and qualified(spark, f"file://{tmp_path}/a") == f"file:{tmp_path}/a"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://localhost:9")
+    try:
+        assert qualified(spark, "/shared/x") == "hdfs://localhost:9/shared/x"
+    finally:
+        conf.set("fs.defaultFS", before)

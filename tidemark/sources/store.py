@@ -29,6 +29,12 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI with its scheme: a path without one is of the default file system, as it is for Spark."""
+    store, at = _file_system(spark, path)
+    return store.makeQualified(at).toString()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder, deleted when the driver's JVM ends, even if the session ends earlier."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
