@@ -260,3 +260,52 @@ def test_redaction_covers_what_is_found():
     text = "a +1 (504) 555-2652 4111 1111 1111 1111 b"
     out = pii.redact(text, pii.find_spans(field, text))
     assert not re.search(r"\d{4}", out) and out.startswith("a [") and out.endswith(" b")
+
+
+# Ids of other types, ties and repeated rows in the classifier; scores as plain dot products.
+
+
+def _graded(spark, kind):
+    texts = ["good plain words of a story told well"] * 6 + ["@@@ buy buy !!! 777 <<>>"] * 6 + ["good words", "buy !!!", None, ""]
+    docs = spark.createDataFrame([(kind(k), f"{t} {k % 5}" if t else t, "y", 0.5) for k, t in enumerate(texts)] + [(kind(0), texts[0], "y", 0.5)] * 2, f"doc_id {'string' if kind is str else 'int' if kind is int else 'bigint'}, text string, y string, slots double")
+    return docs, spark.createDataFrame([(k, int(k < 6)) for k in range(12)] + [(3, 1)], "doc_id bigint, quality int")
+
+
+def test_quality_takes_ids_of_any_type(spark):
+    tune(spark)
+    scores = []
+    for kind in (str, int, lambda k: k):
+        docs, labels = _graded(spark, kind)
+        model = quality.fit_quality(docs, labels)
+        rows = quality.score_quality(docs, model).collect()
+        assert len(rows) == 18 and all(0 <= r.score <= 1 for r in rows)
+        for r in rows:
+            slots, values = quality.features(r.text or "")
+            plain = 1 / (1 + math.exp(-(sum(float(model.weights[s]) * v for s, v in zip(slots.tolist(), values.tolist())) + model.bias)))
+            assert r.score == pytest.approx(plain, abs=1e-5)
+        by = {str(r.doc_id): r.score for r in rows}
+        assert by["12"] > by["13"] and by["14"] == by["15"]
+        scores.append(len(by))
+    assert scores == [16] * 3
+    empty = quality.score_quality(docs.limit(0), quality.fit_quality(docs.limit(0), labels))
+    assert empty.collect() == []
+
+
+def test_the_quality_stage_takes_ids_of_any_type(spark, tmp_path):
+    for kind in (str, int):
+        docs, labels = _graded(spark, kind)
+        folder = tmp_path / kind.__name__
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.quality(spark, docs, str(folder))
+        assert out.columns == docs.columns and 0 < out.count() < 18
+
+
+def test_token_files_are_named_by_uri(spark, tmp_path):
+    docs = spark.createDataFrame([(k % 7, f"text {k}", 1) for k in range(40)] + [(3, "same", 1)] * 3, "doc_id long, text string, start int")
+    for folder in (f"{tmp_path}/bare", f"file:{tmp_path}/short", f"file://{tmp_path}/whole"):
+        made = packed_ids.write_ids(docs, WORD, 2, folder)
+        names = [r.file for r in packed_ids.manifest(spark, made).collect()]
+        assert names and all(n.startswith("file:") for n in names)
+        back = packed_ids.read_ids(spark, made).orderBy("start").collect()
+        assert len(back) == 43 and [r.doc_id for r in back] == sorted(r.doc_id for r in back)
+        assert [r.start for r in back] == list(np.cumsum([0] + [r.n_tokens for r in back])[:-1])

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
-from tidemark.sources.store import delete, new_path, paths_made, shared_dir, written
+from tidemark.sources.store import delete, new_path, paths_made, qualified, shared_dir, written
 
-__all__ = ["delete", "new_path", "paths_made", "shared_dir", "written"]
+__all__ = ["delete", "new_path", "paths_made", "qualified", "shared_dir", "written"]
 
 #: Arrow batches stay small because a single text can be long.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.bpe import byte_alphabet
-from tidemark.llm.common import delete, integer_id, new_path, written
+from tidemark.llm.common import delete, integer_id, new_path, qualified, written
 from tidemark.llm.pieces import FAR, PieceTable, WordSplit, segments
 
 MAGIC = b"TMIDS1"
@@ -66,6 +66,7 @@ def unpack(packed: bytes, bits: int, count: int) -> np.ndarray:
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI; a bare path is of this machine, so paths that tasks share are qualified first."""
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
@@ -227,7 +228,7 @@ def write_ids(
     and ids), an empty table gives an empty manifest, a text of any length goes to one file, other columns are not read.
     """
     spark = df.sparkSession
-    folder = folder or new_path(spark, "token-ids")
+    folder = qualified(spark, folder or new_path(spark, "token-ids"))  # workers write where Spark does, whatever the default is
     rows = df.select(integer_id(df, id_column).alias("doc_id"), F.col(text_column).alias("text")).withColumn("h", F.xxhash64("text"))
     keys, path = written(rows.select("doc_id", "h", F.octet_length("text").alias("size")), "keys")
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(keys.agg(F.sum("size")).first()[0] or 0) // FILE_BYTES))

@@ -141,7 +141,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality
     The sample is bounded by that parameter, so its ids are broadcast. Its features are written and streamed to the driver
     once an epoch, in an order of their own, a partition at a time: the driver holds the model and one partition. Labels
     of a document that disagree count as 0; null labels and ids are left out; every row of a repeated id is an example.
-    Without labels every score is 0.5.
+    Ids may be of any type that compares with the labels' ids. Rows that tie in id and features are interchangeable. Without
+    labels every score is 0.5.
     """
     known = labels.where(F.col(label_column).isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min(label_column).alias("y")).where(fold_column("doc_id") != 0)
@@ -155,7 +156,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality
             ["doc_id", "y", "slots", "v"],
         )
 
-    rows, path = written(map_arrow(sample, extract, "doc_id bigint, y int, slots binary, v binary"), "quality-features")
+    kind = columns_schema(sample.select("doc_id"))
+    rows, path = written(map_arrow(sample, extract, f"{kind}, y int, slots binary, v binary"), "quality-features")
     learner = Learner()
     for epoch in range(epochs):
         for r in rows.orderBy(F.xxhash64("doc_id", F.lit(epoch)), "doc_id", "slots").toLocalIterator():
