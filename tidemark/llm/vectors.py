@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ BLOCK_ROWS = 2048
 UNIT_BITS, DIRECTION_BITS = 20, 12
 
 
+@lru_cache(maxsize=8)
 def projections(dim: int, tables: int, hashes: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gaussian directions (2-stable) and uniform offsets, as whole numbers, and odd multipliers that fold a table's steps into one."""
     rng = np.random.Generator(np.random.PCG64([SEED, dim]))
