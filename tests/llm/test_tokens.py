@@ -187,5 +187,15 @@ def test_a_conversation_spread_over_tasks_and_written_is_read_back(spark):
 def test_mask_covers_only_assistant_texts(spark):
     df = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "general reply")], "conv_id long, turn long, role string, text string")
     parts = chat.format_conversations(df, BYTE).orderBy("part").collect()
-    ids, mask = np.frombuffer(b"".join(r.ids for r in parts), "<u4"), np.frombuffer(b"".join(r.mask for r in parts), np.int8)
+    ids = [np.frombuffer(r.ids, chat.id_type(BYTE)).astype("<u4") for r in parts]
+    mask, ids = np.concatenate([chat.mask_of(r.mask, len(x)) for r, x in zip(parts, ids)]), np.concatenate(ids)
     assert codec.transducer(BYTE).decode(ids[mask > 0].tobytes()) == "general reply" and len(ids) == len(mask)
+
+
+def test_masks_are_sums_of_runs():
+    for runs in ([], [(0, 3)], [(2, 1), (3, 2), (9, 1)]):
+        want = np.zeros(10, np.int8)
+        for at, n in runs:
+            want[at : at + n] = 1
+        assert (chat.mask_of(np.array(runs, "<u4").reshape(-1, 2).tobytes(), 10) == want).all()
+    assert len(chat.mask_of(b"", 0)) == 0

@@ -40,13 +40,27 @@ def first_reserved(tokenizer: str) -> int:
     return len(transducer(tokenizer).table)
 
 
+def id_type(tokenizer: str) -> np.dtype:
+    """Two bytes an id where the vocabulary and the reserved ids allow, else four."""
+    return np.dtype("<u2" if first_reserved(tokenizer) + len(MARKS) <= 1 << 16 else "<u4")
+
+
+def mask_of(runs: bytes, n: int) -> np.ndarray:
+    """The mask of n tokens: 1 in each of the runs (pairs of start and length, 32 bits each)."""
+    step, pairs = np.zeros(n + 1, np.int8), np.frombuffer(runs, "<u4").reshape(-1, 2)
+    np.add.at(step, pairs[:, 0], 1)
+    np.add.at(step, pairs.sum(axis=1), -1)
+    return np.cumsum(step[:-1], dtype=np.int8)
+
+
 def encode_segments(tokenizer: str, texts: list[str]) -> list[bytes]:
     """Ids (u32) of escaped contents; special strings do not occur in them."""
     return transducer(tokenizer).encode_all([escape(t) for t in texts], plain=True)
 
 
 def format_conversations(df: DataFrame, tokenizer: str, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """Rows (conv_id, part, n_turns, ids, mask): a conversation's tokens, and 1 for each token of an assistant's text.
+    """Rows (conv_id, part, n_turns, ids, mask): a conversation's tokens (id_type), and which are an assistant's text, as runs
+    whose prefix sums mask_of() gives back.
 
     A turn is START role SEP text END with reserved ids for the marks; role and text are escaped and encoded apart,
     so no content can make a mark. Turns are ordered by turn (nulls first), role, a hash of the text, and the text.
@@ -73,15 +87,12 @@ def format_conversations(df: DataFrame, tokenizer: str, part_tokens: int = PART_
         size, conv = 0, None
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(h[0] for h in held), "<u4")
-            step, at = np.zeros(len(ids) + 1, np.int8), 0
-            for raw, before, inside in held:  # +1 where a loss span begins, -1 where it ends; the sum is the mask
-                step[at + before] += inside > 0
-                step[at + before + inside] -= inside > 0
-                at += len(raw) // 4
-            mask = np.cumsum(step[:-1], dtype=np.int8)
+            ids = np.frombuffer(b"".join(h[0] for h in held), "<u4").astype(id_type(tokenizer))
+            sizes, before, inside = np.array([(len(raw) // 4, *span) for raw, *span in held], np.int64).T
+            starts = np.cumsum(sizes) - sizes + before  # a turn begins after all turns before it
+            runs = np.stack([starts, inside], axis=1)[inside > 0].astype("<u4")
             columns = [pa.array([conv], pa.int64()), pa.array([part], pa.int64()), pa.array([len(held)], pa.int64())]
-            columns += [pa.array([ids.tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())]
+            columns += [pa.array([ids.tobytes()], pa.binary()), pa.array([runs.tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "n_turns", "ids", "mask"])
 
         for batch in batches:
@@ -113,7 +124,8 @@ class _Digest:
 
     def add(self, tokenizer: str, ids: bytes, mask: bytes) -> None:
         base, tool = first_reserved(tokenizer), transducer(tokenizer)
-        numbers, under = np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.int8)
+        numbers = np.frombuffer(ids, id_type(tokenizer)).astype("<u4")
+        under = mask_of(mask, len(numbers))
         marks = np.flatnonzero(numbers >= base)
         for a, b, c in zip(marks[0::3], marks[1::3], marks[2::3], strict=True):
             if tuple(numbers[[a, b, c]] - base) != (0, 1, 2):
