@@ -56,6 +56,41 @@ def by_group(
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def by_groups(
+    df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, partitions: int, rows: int = 4096
+) -> DataFrame:
+    """by_group for many small groups: fn gets the rows of several whole groups, some `rows` of them, and where each group begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n
+            table = pa.Table.from_batches(held).combine_chunks()
+            change = np.zeros(max(n - 1, 0), bool)
+            for k in keys:
+                c = table.column(k).to_numpy()
+                change |= c[1:] != c[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            whole = n if last else int(starts[-1])
+            if whole:
+                yield from fn(table.slice(0, whole), starts[starts < whole])
+            held = table.slice(whole).to_batches()
+            n -= whole
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= rows:
+                    yield from cut(False)
+        if n:
+            yield from cut(True)
+
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def spanning_links(
     n: int, order: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray], block: np.ndarray | None = None
 ) -> list[tuple[int, int]]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tidemark.llm.blocks import by_group, dealt
+from tidemark.llm.blocks import by_groups, dealt
 from tidemark.llm.common import delete, integer_id, map_arrow, small_or_shuffled, written
 from tidemark.llm.components import components
 
@@ -21,6 +21,8 @@ from tidemark.llm.components import components
 TABLES, HASHES, WIDTH, SEED = 32, 14, 2.0, 11
 #: Members of a block: two blocks give a matrix of products of 32 MB.
 BLOCK_ROWS = 2048
+#: Buckets of up to so many members are compared together, pair by pair.
+SMALL = 32
 
 
 #: Fractional bits of a unit vector's components and of the directions, as whole numbers: sums of their products are exact in
@@ -107,10 +109,22 @@ def _buckets(classes: DataFrame, tables: int, hashes: int, width: float, single:
     return met.select("rep", "t", F.xxhash64("label", "dim", "t", "code").alias("h"))
 
 
+def _pairs(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows (i < j) of the same group, for groups of a few rows."""
+    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
+    at, i, j = np.arange(n), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = 1
+    while len(at := at[at + step < ends[at]]):
+        i.append(at)
+        j.append(at + step)
+        step += 1
+    return np.concatenate(i), np.concatenate(j)
+
+
 def _block_links(threshold: float, tables: int, hashes: int, width: float, single: bool):
-    """Counts and connections among the members of a bucket, each pair in the first table where it meets."""
+    """Counts and connections among the members of buckets, each pair in the first table where it meets."""
 
-    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    def large(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ids, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
         units = _unpack(group.column("v"), single)
         own = group.column("own").to_numpy()
@@ -133,9 +147,42 @@ def _block_links(threshold: float, tables: int, hashes: int, width: float, singl
             if (least == root).all():
                 break
             root = least
-        counts = near @ copies[some]
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[some][root]), pa.array(counts.astype(np.int64))], ["a", "b", "n"])
+            yield ids[some], ids[some][root], near @ copies[some]
+
+    def small(rows: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Many buckets of one vector length at once: a product for each pair."""
+        i, j = _pairs(starts, len(rows))
+        units = _unpack(rows.column("v"), single)
+        near = np.concatenate([np.zeros(0, bool), *[np.einsum("ij,ij->i", units[i[k : k + 8192]], units[j[k : k + 8192]]) >= threshold for k in range(0, len(i), 8192)]])
+        own, split = rows.column("own").to_numpy(), rows.column("bi").to_numpy() != rows.column("bj").to_numpy()
+        near &= ~split[i] | (own[i] != own[j])
+        i, j = i[near], j[near]
+        if not len(i):
+            return
+        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        found = codes(units[some], tables, hashes, width)
+        same = found[at[: len(i)]] == found[at[len(i) :]]
+        first = np.where(same.any(axis=1), same.argmax(axis=1), tables) >= rows.column("t").to_numpy()[i]
+        i, j = i[first], j[first]
+        ids, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
+        yield np.concatenate([ids[i], ids[j]]), np.concatenate([ids[j], ids[i]]), np.concatenate([copies[j], copies[i]])
+
+    def run(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(np.r_[starts, len(rows)])
+        parts = [part for k in np.flatnonzero(sizes > SMALL) for part in large(rows.slice(starts[k], sizes[k]))]
+        few = np.repeat(sizes <= SMALL, sizes)
+        if few.any():
+            rest, kept = rows.filter(pa.array(few)), sizes[sizes <= SMALL]
+            begin = np.cumsum(kept) - kept
+            lengths = np.array([len(v) for v in rest.column("v").to_pylist()])
+            for length in set(lengths.tolist()):  # a bucket's vectors are of one length
+                mine = lengths == length
+                of = kept[mine[begin]]
+                parts += small(rest.filter(pa.array(mine)), np.cumsum(of) - of)
+        for a, b, n in parts:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
     return run
 
@@ -181,7 +228,7 @@ def near_vectors(
     firsts, firsts_path = written(sets.groupBy("m", "x", "y").agg(F.min(F.struct("t", "h")).alias("f")).select("f.h"), "first-buckets")
     members = narrow.join(small_or_shuffled(firsts), "h").join(classes.select("rep", "copies", "v"), "rep")
     blocks = dealt(members, "h", "rep", F.ceil(F.col("m") / BLOCK_ROWS)).select("h", "bi", "bj", "own", "t", "rep", "copies", "v")
-    links, _ = written(by_group(blocks, ["h", "bi", "bj"], _block_links(threshold, tables, hashes, width, single), "a bigint, b bigint, n bigint", n), "vector-links")
+    links, _ = written(by_groups(blocks, ["h", "bi", "bj"], _block_links(threshold, tables, hashes, width, single), "a bigint, b bigint, n bigint", n), "vector-links")
     for path in (shared_path, narrow_path, firsts_path):
         delete(spark, path)
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
