@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.effects import unit_draws
 from tidemark.operators.primitives import running
+from tidemark.sources.store import cut
 
 _ORDER = ["sec", "tx_hash", "evt_index"]
 
@@ -94,3 +99,33 @@ def covered_sums(hourly: DataFrame, members: DataFrame, carry_h: int = 24, least
     grid = hourly_sums(hourly, carry_h, 1)
     alive = members.select("family", F.explode(F.sequence("first_hour", "last_hour")).alias("hour")).groupBy("family", "hour").agg(F.count(F.lit(1)).alias("candidates"))
     return grid.join(alive, ["family", "hour"]).where((F.col("candidates") >= least) & (F.col("alive") >= coverage * F.col("candidates")))
+
+
+def standardised_gap(rows: DataFrame, keys: Sequence[str], cells: Sequence[str], flag: str, value: str, weight: str) -> DataFrame:
+    """keys and gap: the mean of value where the flag holds less the mean where it does not, by cell, cells weighted by their rows.
+
+    Cells that lack one side are left out, so only like is compared with like. `weight` counts a row several times, or not at all.
+    """
+    w = F.col(weight).cast("double")
+    part = lambda t, c: F.sum(F.when(F.col(flag) == t, c))
+    by = rows.groupBy(*keys, *cells).agg(part(True, w * F.col(value)).alias("x1"), part(True, w).alias("w1"), part(False, w * F.col(value)).alias("x0"), part(False, w).alias("w0"))
+    full = by.where("w1 > 0 and w0 > 0").withColumns({"d": F.col("x1") / F.col("w1") - F.col("x0") / F.col("w0"), "w": F.col("w1") + F.col("w0")})
+    return full.groupBy(*keys).agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("gap"))
+
+
+def gap_intervals(rows: DataFrame, scope: str, cells: Sequence[str], flag: str, value: str, row: str, draws: int, seed: str = "42") -> DataFrame:
+    """scope, n, gap, low, high: the standardised gap of each scope with a 95 % interval from drawing its rows again.
+
+    Rows are reweighted by multinomial counts (effects.unit_draws) rather than copied, scope by scope; `row` names a row, as a
+    whole number. Scopes are few: each is a pass of its own.
+    """
+    parts = []
+    for (name,) in rows.select(scope).distinct().orderBy(scope).collect():
+        mine = cut(rows.where(F.col(scope) == name).withColumn("one", F.lit(1)))
+        point = standardised_gap(mine, [scope], cells, flag, value, "one")
+        weights = unit_draws(mine.select(F.col(row).alias("unit")), draws, seed).withColumnRenamed("unit", row)
+        drawn = standardised_gap(mine.drop("one").join(weights, row), ["draw"], cells, flag, value, "weight")
+        span = drawn.agg(F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"))  # a row a draw
+        counts = mine.agg(F.count(F.lit(1)).alias("n"))
+        parts.append(point.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(counts)))
+    return reduce(DataFrame.union, parts)

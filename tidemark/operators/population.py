@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.inference import seeded
 from tidemark.functions.tails import binomial_sf_column
+from tidemark.operators import skill as K
 from tidemark.operators.primitives import bh_qvalues, global_ntile, ratio, spearman
 from tidemark.sources.store import cut
 
@@ -92,3 +95,16 @@ def bootstrap_difference(bet: DataFrame, groups: DataFrame, group: str, low: int
     sums = named.mapInPandas(draw, "g bigint, draw int, edge double, n double").groupBy("draw").agg(*[F.sum(F.when(F.col("g") == g, F.col(c))).alias(f"{c}{g}") for g in (low, high) for c in ("edge", "n")])
     gap = lambda g: F.col(f"edge{g}") / F.nullif(F.col(f"n{g}") * 100, F.lit(0.0))
     return sums.select((gap(high) - gap(low)).alias("d")).agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.5)).alias("middle"), F.percentile("d", F.lit(0.975)).alias("high"))
+
+
+def leader_sets(tape: DataFrame, k: int = 20, least: int = 20, seed: str = "42") -> DataFrame:
+    """(wallet, name): six ways to choose the first k wallets: by notional, profit, calibration (with `least` bets), trades, breadth,
+    and a seeded sample. Six times k rows, from one aggregation each; ties go to the smaller wallet."""
+    pnl = K.covered_pnl(tape).groupBy("wallet").agg(F.sum("gross").alias("s"))
+    by = tape.groupBy("wallet").agg(F.sum("notional").alias("s"), F.count(F.lit(1)).alias("n"), F.countDistinct("condition_id").alias("m"))
+    skilled = K.bets(tape).groupBy("wallet").agg(F.count(F.lit(1)).alias("n"), (F.avg("won") - F.avg("implied") / 100).alias("s")).where(F.col("n") >= least)
+    hashed = F.md5(F.concat(F.col("wallet").cast("string"), F.lit(seed)).cast("binary"))
+    down = lambda c: F.col(c).desc()
+    ways = [("top notional", by, [down("s")]), ("top profit", pnl, [down("s")]), ("calibrated", skilled, [down("s")]), ("active", by, [down("n")]), ("broad", by, [down("m"), down("s")]), ("sample", by, [hashed])]
+    first = [df.orderBy(*order, "wallet").limit(k).select("wallet", F.lit(name).alias("name")) for name, df, order in ways]
+    return reduce(DataFrame.union, first)

@@ -9,24 +9,24 @@ from pyspark.sql.window import Window
 from tidemark.functions.inference import sign_flip
 from tidemark.functions.tails import beta_posterior_columns
 from tidemark.operators import concentration as C
+from tidemark.operators import population as N
 from tidemark.operators import skill as K
-from tidemark.operators.primitives import bh_qvalues, ratio
+from tidemark.operators.primitives import bh_qvalues, ratio, top_k
 from tidemark.plans.base_sql import fills_sql, trades_sql
 from tidemark.plans.flow import _BETS, _conc
 from tidemark.plans.prices import _AT, _CONV, _MK, _convergence
 from tidemark.plans.registry import query
-from tidemark.plans.returns import _EV, _LE, _MR, _MV, _mirrored
-from tidemark.sources.adapters import fills, table, trades
+from tidemark.plans.returns import _LEAD, _MR, _MV, _mirrored
+from tidemark.sources.adapters import fills, table, trades, written_fills
 from tidemark.sources.store import cut
 
 
-@query(_conc("select condition_id, case when taker < 1000 then taker % 50 else taker end as wallet, cast(sum(cents) as bigint) as w from f group by 1, 2", "condition_id"))
+@query(_conc("select condition_id, community as wallet, cast(sum(cents) as bigint) as w from f join (select taker, maker as community from (select taker, maker, row_number() over (partition by taker order by sum(cents) desc, maker) as r from f group by taker, maker) where r = 1) using (taker) group by 1, 2", "condition_id"))
 def collapsed_entity_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concentration over entities: wallets of one community count as one, the others by themselves."""
-    tape = fills(spark, sf_dir)
-    community = tape.where("taker < 1000").select("taker", (F.col("taker") % 50).alias("community")).distinct()
-    entity = tape.join(community, "taker", "left").withColumn("entity", F.coalesce("community", "taker"))
-    return C.concentration(C.wallet_weights(entity, ["condition_id"], "entity", "cents"), ["condition_id"])
+    """Concentration over communities of wallets: takers that deal most with the same maker count as one."""
+    tape = written_fills(spark, sf_dir, "condition_id", "taker", "maker", "cents")
+    most = top_k(tape.groupBy("taker", "maker").agg(F.sum("cents").alias("w")), ["taker"], [F.col("w").desc(), "maker"], 1).select("taker", F.col("maker").alias("entity"))
+    return C.concentration(C.wallet_weights(tape.join(most, "taker"), ["condition_id"], "entity", "cents"), ["condition_id"])
 
 
 @query(_conc("select condition_id, taker as wallet, cast(sum(case when side = 'BUY' then q else -q end) as bigint) as w from f group by 1, 2 having sum(case when side = 'BUY' then q else -q end) > 0", "condition_id"))
@@ -158,14 +158,15 @@ def outcome_sum_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("off", F.col("p0") + F.col("p1") - 100)
 
 
-@query(trades_sql("select wallet % 2 as leader_set, half, horizon, count(*) as n, round(avg(gross - 0.004), 8) as mean_net from mr join (select condition_id, case when c <= (select median(c) from (select max(sec) as c from t group by condition_id)) then 'early' else 'late' end as half from (select condition_id, max(sec) as c from t group by 1)) using (condition_id) group by 1, 2, 3", _EV, _LE, _MV, _MR))
+@query(trades_sql("select name as leader_set, half, horizon, count(*) as n, round(avg(gross - 0.004), 8) as mean_net from mr join ls using (wallet) join (select condition_id, case when c <= (select median(c) from (select max(sec) as c from t group by condition_id)) then 'early' else 'late' end as half from (select condition_id, max(sec) as c from t group by 1)) using (condition_id) group by 1, 2, 3", *_LEAD, _MV, _MR))
 def leader_set_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mirrored returns before and after the median close, by leader set."""
-    tape = trades(spark, sf_dir)
+    """Mirrored returns of each of the six leader sets in markets before and after the median close."""
+    tape = cut(trades(spark, sf_dir))
     close = tape.groupBy("condition_id").agg(F.max("sec").alias("close_sec"))
     half = close.agg(F.median("close_sec").alias("mid"))
     split = close.crossJoin(F.broadcast(half)).select("condition_id", F.when(F.col("close_sec") <= F.col("mid"), "early").otherwise("late").alias("half"))
-    out = _mirrored(spark, sf_dir).join(split, "condition_id").withColumn("leader_set", F.col("wallet") % 2)
+    sets = N.leader_sets(tape).withColumnRenamed("name", "leader_set")
+    out = _mirrored(spark, sf_dir).join(F.broadcast(sets), "wallet").join(split, "condition_id")
     return out.groupBy("leader_set", "half", "horizon").agg(F.count("*").alias("n"), F.round(F.avg("net"), 8).alias("mean_net"))
 
 

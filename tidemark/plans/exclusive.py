@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import families
+from tidemark.operators.effects import exact_quantile
 from tidemark.operators.primitives import average_ranks, correlation, global_row_number, ratio
 from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import fills
+from tidemark.sources.adapters import fills, written_fills
 from tidemark.sources.store import cut
 
 #: On the synthetic tape a candidate trades about daily, so a price stays good for a month.
@@ -182,15 +183,38 @@ def covered_family_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(fills_sql("""select size_bin, vol_bin, n, round(hi - lo, 8) as gap, round(n::double / sum(n) over (), 8) as weight from (
- select size_bin, vol_bin, count(*) as n, avg(case when pc >= 50 then win end) - avg(case when pc >= 50 then pc end) / 100.0 as hi, avg(case when pc < 50 then win end) - avg(case when pc < 50 then pc end) / 100.0 as lo from (
-  select pc, (outcome_index = winner)::int as win, least(q // 10, 4) as size_bin, least(v // 500000, 3) as vol_bin from f join (select condition_id, cast(sum(cents) as bigint) as v from f group by 1) using (condition_id)) group by 1, 2) where hi is not null and lo is not null"""))
+_AUDIT = """ad as (
+ select cs.family, cs.hour, abs(total - 100) / 100.0 as adev, case when alive <= 3 then 0 when alive <= 4 then 1 else 2 end as n_bin, vol, fee, case when cls in (1, 2, 4) then 'treated' else 'placebo' end as scope
+ from cs join (select family, day as hour, sum(cents) as vol, 2 * sum(case when fee_paying then cents else 0 end) > sum(cents) as fee, (family * 5) % 7 as cls from f group by 1, 2, 5) using (family, hour)
+), au as (
+ select 'all' as scope, * exclude (scope) from ad union all select scope, * exclude (scope) from ad
+), ae as (
+ select scope, quantile_cont(vol, [0.2, 0.4, 0.6, 0.8]) as e from au where scope = 'all' group by 1
+), ar as (
+ select au.*, len(list_filter(e, lambda x: x < vol)) as vol_bin, row_number() over (partition by au.scope order by family * 100000 + hour) as i, count(*) over (partition by au.scope) as n from au, ae
+), aw as (
+ select scope, draw, pick, count(*) as w from (select scope, r.draw, cast('0x' || substr(md5('42:' || r.draw || ':' || (i - 1)), 1, 12) as bigint) % n + 1 as pick from ar, range(0, 40) r(draw)) group by 1, 2, 3
+), ag as (
+ select scope, draw, sum((x1 / w1 - x0 / w0) * (w1 + w0)) / sum(w1 + w0) as gap from (
+  select scope, draw, n_bin, vol_bin, sum(w * adev) filter (where fee) as x1, sum(w) filter (where fee)::double as w1, sum(w * adev) filter (where not fee) as x0, sum(w) filter (where not fee)::double as w0 from (
+   select ar.*, -1 as draw, 1 as w from ar union all select ar.*, aw.draw, aw.w from ar join aw on ar.scope = aw.scope and ar.i = aw.pick) group by all) where w1 > 0 and w0 > 0 group by 1, 2)"""
+
+
+@query(fills_sql("select g.scope, n, round(g.gap, 8) as gap, round(low, 8) as low, round(high, 8) as high from (select * from ag where draw = -1) g join (select scope, quantile_cont(gap, 0.025) as low, quantile_cont(gap, 0.975) as high from ag where draw >= 0 group by 1) using (scope) join (select scope, count(*) as n from ar group by 1) using (scope)", *_COVERED, _AUDIT))
 def band_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration of high against low prices within bins of order size and market volume, with the bins' weights."""
-    tape = fills(spark, sf_dir)
-    volume = tape.groupBy("condition_id").agg(F.sum("cents").alias("v"))
-    win, high = (F.col("outcome_index") == F.col("winner")).cast("int"), F.col("pc") >= 50
-    edge = lambda c: F.avg(F.when(c, win)) - F.avg(F.when(c, F.col("pc"))) / 100.0
-    cell = tape.join(volume, "condition_id").groupBy(F.least(F.expr("q div 10"), F.lit(4)).alias("size_bin"), F.least(F.expr("v div 500000"), F.lit(3)).alias("vol_bin"))
-    out = cell.agg(F.count(F.lit(1)).alias("n"), edge(high).alias("hi"), edge(~high).alias("lo")).where("hi is not null and lo is not null")
-    return out.select("size_bin", "vol_bin", "n", F.round(F.col("hi") - F.col("lo"), 8).alias("gap"), F.round(ratio(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))), 8).alias("weight"))
+    """How much further family sums stand from one where fees are paid, within bins of candidates and volume, for all families, for
+    treated classes and for the placebo ones, with intervals from drawing family days again (N07)."""
+    tape = written_fills(spark, sf_dir, "family", "condition_id", "outcome_index", "day", "sec", "tx_hash", "evt_index", "pc", "cents", "fee_paying")
+    per = tape.where("outcome_index = 0").groupBy("family", "condition_id", F.col("day").alias("hour")).agg(F.max_by("pc", F.struct("sec", "tx_hash", "evt_index")).alias("p"))
+    members = per.groupBy("family", "condition_id").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
+    paid = F.sum(F.when(F.col("fee_paying"), F.col("cents")).otherwise(0))
+    volume = tape.groupBy("family", F.col("day").alias("hour")).agg(F.sum("cents").alias("vol"), (2 * paid > F.sum("cents")).alias("fee"))
+    sums = cut(families.covered_sums(per, members, 24, 3).join(volume, ["family", "hour"]))
+    edges = [exact_quantile(sums.withColumn("one", F.lit(1)).select("one", F.col("vol").cast("double").alias("vol")), ["one"], "vol", q, "e").first()["e"] for q in (0.2, 0.4, 0.6, 0.8)]
+    n_bin = F.when(F.col("alive") <= 3, 0).when(F.col("alive") <= 4, 1).otherwise(2)
+    rows = sums.select(
+        (F.abs(F.col("total") - 100) / 100.0).alias("adev"), n_bin.alias("n_bin"), sum(((F.col("vol") > e).cast("int") for e in edges), F.lit(0)).alias("vol_bin"), "fee", (F.col("family") * 100_000 + F.col("hour")).alias("row"),
+        F.explode(F.array(F.lit("all"), F.when((F.col("family") * 5 % 7).isin(1, 2, 4), "treated").otherwise("placebo"))).alias("scope"),
+    )
+    out = families.gap_intervals(rows, "scope", ["n_bin", "vol_bin"], "fee", "adev", "row", draws=40)
+    return out.select("scope", "n", *[F.round(c, 8).alias(c) for c in ("gap", "low", "high")])

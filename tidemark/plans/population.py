@@ -16,6 +16,7 @@ from tidemark.plans.base_sql import fills_sql, trades_sql
 from tidemark.plans.behaviour import _FUND, _PAIRS, _PRES, COTRADE_S, _funding
 from tidemark.plans.flow import _BETS, _FBETS, _pnl_cte
 from tidemark.plans.registry import query
+from tidemark.plans.returns import _SETS
 from tidemark.sources.adapters import fills, trades
 from tidemark.sources.store import cut
 
@@ -180,12 +181,27 @@ def cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member.join(vol, "node").join(pnl, "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("vol").alias("volume"), F.sum("pnl").alias("pnl"))
 
 
-@query(fills_sql("""select component, members, cohorts, twin, overlap from (select component, count(*) as members, count(distinct node % 50) as cohorts from cc group by 1) join (
- select component, twin, overlap from (select component, node % 50 as twin, count(*) as overlap, row_number() over (partition by component order by count(*) desc, node % 50) as r from cc group by 1, 2) where r = 1) using (component)""", _FUND, *_COMP).replace("with ", "with recursive ", 1))
+_TIGHT = ["kt as (select a, b from fe where shared >= 3 union all select b, a from fe where shared >= 3)", "rt(id, c) as (select node, node from cc union select kt.b, rt.c from rt join kt on kt.a = rt.id where rt.c < kt.b)", "tc as (select cc.component, cc.node, min(rt.c) as community from cc join rt on rt.id = cc.node group by 1, 2)"]
+
+
+@query(fills_sql("""select component, members, cohorts, twin, overlap from (select component, count(*) as members, count(distinct community) as cohorts from tc group by 1) join (
+ select component, twin, overlap from (select component, community as twin, count(*) as overlap, row_number() over (partition by component order by count(*) desc, community) as r from tc group by 1, 2) where r = 1) using (component)""", _FUND, *_COMP, *_TIGHT).replace("with ", "with recursive ", 1))
 def entity_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Into how many groups of another partition each funded cluster falls, and its twin: the group of largest overlap."""
-    member = graph.connected_components(_funding(spark, sf_dir).where("shared >= 2"))
-    return graph.cross_checked(member, member.select("node", (F.col("node") % 50).alias("community")))
+    """Into how many tighter clusters (three funders shared, or alone) each funded cluster falls, and its twin: the largest."""
+    edges = cut(_funding(spark, sf_dir).where("shared >= 2").select("a", "b", "shared"))
+    member = graph.connected_components(edges.select("a", "b"))
+    tight = graph.connected_components(edges.where("shared >= 3").select("a", "b")).withColumnRenamed("component", "community")
+    partition = member.select("node").join(tight, "node", "left").withColumn("community", F.coalesce("community", "node"))
+    return graph.cross_checked(member, partition)
+
+
+@query()
+def community_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funded clusters against communities over the same weighted edges: sizes, spread and twins."""
+    edges = cut(_funding(spark, sf_dir).where("shared >= 2"))
+    member = graph.connected_components(edges.select("a", "b"))
+    found = graph.communities(member.select("node"), edges.select("a", "b", F.col("weight").cast("double").alias("w")))
+    return graph.cross_checked(member, found)
 
 
 @query(fills_sql("""select condition_id, count(*) as n, cast(sum(w) as bigint) as total, round(case when count(*) > 1 then 2 * sum(i * w)::double / (count(*) * sum(w)::double) - (count(*) + 1) / count(*)::double end, 8) as gini, round(sum(case when i > m - 10 then w else 0 end)::double / sum(w), 8) as top10 from (
@@ -208,29 +224,13 @@ def cotrade_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "events", F.round("expected", 6).alias("expected"), F.round("p", 7).alias("p"), F.round("q_value", 7).alias("q_value"))
 
 
-_SETS = """ls as (select wallet, name from (
- select wallet, 'top notional' as name, row_number() over (order by sum(notional) desc, wallet) as r from t group by wallet union all
- select wallet, 'top profit', row_number() over (order by sum(gross) desc, wallet) from pl group by wallet union all
- select wallet, 'calibrated', row_number() over (order by avg(won) - avg(implied) / 100 desc, wallet) from b group by wallet having count(*) >= 20 union all
- select wallet, 'active', row_number() over (order by count(*) desc, wallet) from t group by wallet union all
- select wallet, 'broad', row_number() over (order by count(distinct condition_id) desc, sum(notional) desc, wallet) from t group by wallet union all
- select wallet, 'sample', row_number() over (order by md5(wallet || '42'), wallet) from (select distinct wallet from t)) where r <= 20)"""
-
-
 @query(trades_sql("""select name, half, count(*) as n, cast(sum(notional) as bigint) as notional, round(avg(won), 8) as win_rate, round(avg(won) - avg(implied) / 100, 8) as gap from ls join b using (wallet)
  join (select condition_id, case when c <= (select median(c) from (select max(sec) as c from t group by condition_id)) then 'early' else 'late' end as half from (select condition_id, max(sec) as c from t group by 1)) using (condition_id) where notional >= 300000 and pc between 2 and 98 group by 1, 2""", _BETS, _pnl_cte("t", "wallet", "size"), _SETS))
 def leader_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six ways to choose twenty leaders, and how their large trades do before and after the median close."""
     tape = trades(spark, sf_dir)
     bet = K.bets(tape)
-    pnl = K.covered_pnl(tape).groupBy("wallet").agg(F.sum("gross").alias("s"))
-    by = tape.groupBy("wallet").agg(F.sum("notional").alias("s"), F.count(F.lit(1)).alias("n"), F.countDistinct("condition_id").alias("m"))
-    skilled = bet.groupBy("wallet").agg(F.count(F.lit(1)).alias("n"), (F.avg("won") - F.avg("implied") / 100).alias("s")).where("n >= 20")
-    first = lambda df, name, *order: df.orderBy(*order, "wallet").limit(20).select("wallet", F.lit(name).alias("name"))
-    hashed = F.md5(F.concat(F.col("wallet").cast("string"), F.lit("42")).cast("binary"))
-    down = lambda c: F.col(c).desc()
-    sets = [first(by, "top notional", down("s")), first(pnl, "top profit", down("s")), first(skilled, "calibrated", down("s")), first(by, "active", down("n")), first(by, "broad", down("m"), down("s")), first(by, "sample", hashed)]
-    chosen = sets[0].union(sets[1]).union(sets[2]).union(sets[3]).union(sets[4]).union(sets[5])
+    chosen = N.leader_sets(tape)
     close = tape.groupBy("condition_id").agg(F.max("sec").alias("close_sec"))
     mid = close.agg(F.median("close_sec").alias("mid"))
     split = close.crossJoin(F.broadcast(mid)).select("condition_id", F.when(F.col("close_sec") <= F.col("mid"), "early").otherwise("late").alias("half"))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import paths as P
+from tidemark.operators import population as N
 from tidemark.operators.primitives import asof_forward, global_ntile, ratio, spearman
 from tidemark.plans.base_sql import fills_sql, trades_sql
+from tidemark.plans.flow import _BETS, _pnl_cte
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills, trades, written_fills
 from tidemark.sources.store import cut
@@ -66,23 +68,32 @@ def markout_by_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EV = "ev as (select condition_id, coalesce(max(sec) filter (where (outcome_index = winner and pc < 95) or (outcome_index <> winner and pc > 5)), min(sec)) as event_sec from t group by 1)"
-_LE = "le as (select t.* from t join ev using (condition_id) where notional >= 300000 and pc between 2 and 98 and sec <= event_sec and wallet % 5 = 0)"
-
-
-@query(trades_sql("select event_id, wallet, asset_id, condition_id, sec, notional from le", _EV, _LE))
+_SETS = """ls as (select wallet, name from (
+ select wallet, 'top notional' as name, row_number() over (order by sum(notional) desc, wallet) as r from t group by wallet union all
+ select wallet, 'top profit', row_number() over (order by sum(gross) desc, wallet) from pl group by wallet union all
+ select wallet, 'calibrated', row_number() over (order by avg(won) - avg(implied) / 100 desc, wallet) from b group by wallet having count(*) >= 20 union all
+ select wallet, 'active', row_number() over (order by count(*) desc, wallet) from t group by wallet union all
+ select wallet, 'broad', row_number() over (order by count(distinct condition_id) desc, sum(notional) desc, wallet) from t group by wallet union all
+ select wallet, 'sample', row_number() over (order by md5(wallet || '42'), wallet) from (select distinct wallet from t)) where r <= 20)"""
+_LE = "le as (select t.* from t join ev using (condition_id) where notional >= 300000 and pc between 2 and 98 and sec <= event_sec and wallet in (select wallet from ls))"
+_LEAD = [_BETS, _pnl_cte("t", "wallet", "size"), _SETS, _EV, _LE]
+
+
+@query(trades_sql("select event_id, wallet, asset_id, condition_id, sec, notional from le", *_LEAD))
 def leader_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaders(trades(spark, sf_dir)).select("event_id", "wallet", "asset_id", "condition_id", "sec", "notional")
 
 
 def _leaders(tape: DataFrame) -> DataFrame:
-    """Large trades of the leader set at middling prices, up to the market's event time."""
-    found = tape.where("notional >= 300000 and pc between 2 and 98 and wallet % 5 = 0")
+    """Large trades of the six leader sets at middling prices, up to the market's event time."""
+    chosen = N.leader_sets(tape).select("wallet").distinct()  # 120 rows at most
+    found = tape.where("notional >= 300000 and pc between 2 and 98").join(F.broadcast(chosen), "wallet", "left_semi")
     return found.join(P.event_times(tape), "condition_id").where("sec <= event_sec")
 
 
-@query(trades_sql("select leader_id, event_id, r as rank from (select e.event_id as leader_id, x.event_id, row_number() over (partition by e.event_id order by md5(cast(x.event_id as varchar) || '42'), x.event_id) as r from le e join t x on e.asset_id = x.asset_id and e.side = x.side and abs(e.sec - x.sec) <= 43200 and abs(e.pc - x.pc) <= 5 and e.wallet <> x.wallet) where r <= 3", _EV, _LE))
+@query(trades_sql("select leader_id, event_id, r as rank from (select e.event_id as leader_id, x.event_id, row_number() over (partition by e.event_id order by md5(cast(x.event_id as varchar) || '42'), x.event_id) as r from le e join t x on e.asset_id = x.asset_id and e.side = x.side and abs(e.sec - x.sec) <= 43200 and abs(e.pc - x.pc) <= 5 and e.wallet <> x.wallet) where r <= 3", *_LEAD))
 def matched_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = trades(spark, sf_dir)
+    tape = cut(trades(spark, sf_dir))
     return P.matched_controls(_leaders(tape), tape, 43_200, 5, 3, "42").select("leader_id", "event_id", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -102,22 +113,23 @@ _MR = "mr as (" + " union all ".join(_mirror_duck(h) for h in (86_400, 604_800))
 
 
 def _mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tape = trades(spark, sf_dir)
-    minute = P.vwap(tape.withColumn("sec", F.col("minute") * 60), ["asset_id", "sec"], "size")
+    """Leaders' trades entered a minute later and left at each horizon. The tape, minute prices and events are written once."""
+    tape = cut(trades(spark, sf_dir))
+    minute = cut(P.vwap(tape.withColumn("sec", F.col("minute") * 60), ["asset_id", "sec"], "size"))
     known = tape.groupBy("condition_id").agg(F.max("winner").alias("winner"), F.max("sec").alias("close_sec"))
-    events = _leaders(tape).select("event_id", "wallet", "asset_id", "condition_id", "outcome_index", "side", "sec")
+    events = cut(_leaders(tape).select("event_id", "wallet", "asset_id", "condition_id", "outcome_index", "side", "sec"))
     parts = [P.mirror(events, minute, known, 60, 86_400, h, 20.0).withColumn("horizon", F.lit(h).cast("bigint")) for h in (86_400, 604_800)]
     return parts[0].union(parts[1])
 
 
-@query(trades_sql("select event_id, wallet, horizon, round(entry, 6) as entry, round(x, 6) as exit, round(gross, 8) as gross, round(gross - 0.004, 8) as net from mr", _EV, _LE, _MV, _MR))
+@query(trades_sql("select event_id, wallet, horizon, round(entry, 6) as entry, round(x, 6) as exit, round(gross, 8) as gross, round(gross - 0.004, 8) as net from mr", *_LEAD, _MV, _MR))
 def mirror_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = [F.round(c, k).alias(c) for c, k in (("entry", 6), ("exit", 6), ("gross", 8), ("net", 8))]
     return _mirrored(spark, sf_dir).select("event_id", "wallet", "horizon", *rounded)
 
 
 @query(trades_sql("""select horizon, cast(sum(n) as bigint) as n, round(sum(hits)::double / sum(n), 8) as hit_rate, round(sum(g) / sum(n), 6) as mean_gross, round(avg(g / n), 6) as market_mean, round(stddev_samp(g / n) / sqrt(count(*)), 6) as market_se
- from (select horizon, condition_id, count(*) as n, count(*) filter (where gross > 0) as hits, sum(gross) as g from mr group by 1, 2) group by 1""", _EV, _LE, _MV, _MR))
+ from (select horizon, condition_id, count(*) as n, count(*) filter (where gross > 0) as hits, sum(gross) as g from mr group by 1, 2) group by 1""", *_LEAD, _MV, _MR))
 def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _mirrored(spark, sf_dir).groupBy("horizon", "condition_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gross") > 0).alias("hits"), F.sum("gross").alias("g"))
     mean = F.col("g") / F.col("n")
