@@ -149,3 +149,24 @@ def test_paths_are_qualified_by_the_default_file_system(spark, tmp_path):
         assert qualified(spark, "/shared/x") == "hdfs://localhost:9/shared/x"
     finally:
         conf.set("fs.defaultFS", before)
+
+
+def test_typed_episodes_survive_a_restart_and_shrink(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k % 2, k % 6, k * 40 + rng.randrange(30), k, rng.choice([28, 30, 33, 35, 36, 40]), rng.randrange(4)) for k in range(400)]
+    rows += [(9, 90, rows[-1][2] + 50_000, 5000, 50, 1)]  # far later: the watermark passes all other prices
+    tape = spark.createDataFrame(rows, "family long, condition_id long, sec long, tx_hash long, pc long, wallet long")
+    want = sorted(map(tuple, families.episodes(families.price_sums(tape.withColumn("evt_index", F.lit(0)), 900, chunk=5000), chunk=7000).collect()))
+    ordered = tape.withColumns({"members": F.lit(3), "seq": F.col("sec") * 100_000 + F.col("tx_hash")})
+    schema = ordered.schema
+    folder, at, out = f"{tmp_path}/in", f"{tmp_path}/at", f"{tmp_path}/out"
+    for low, high in ((-1, 3999), (3999, 9999), (9999, 10**9), (10**9, 10**9 + 1)):  # each part is a query of its own that goes on from the checkpoint
+        part = ordered.where(f"sec > {low} and sec <= {high}")
+        if high > 10**9:
+            part = ordered.limit(1).withColumns({"family": F.lit(9).cast("long"), "sec": F.lit(rows[-1][2] + 60).cast("long")})
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = tapes.episodes(spark.readStream.schema(schema).parquet(folder), 900, late="10 seconds")
+        stream.writeStream.format("parquet").option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).select("family", "start", "peak", "correctors", "closer", "corrective").collect())) == want and len(want) > 5
+    left = spark.read.format("statestore").option("stateVarName", "last").load(at)
+    assert {r.key.family for r in left.select("key").collect()} == {9}

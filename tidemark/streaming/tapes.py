@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -73,57 +73,131 @@ def interval_pairs(buys: DataFrame, sells: DataFrame, within: str = "10 minutes"
 
 
 class _PriceSum:
-    """A family's last prices and its open episode, as operators.families.episodes defines them; kept as JSON between batches."""
+    """A family's last prices and its open episode, as operators.families.episodes defines them.
 
-    def __init__(self, text: str | None, stale_s: int, opens: int, closes: int) -> None:
+    The sum of the prices and the oldest of them are kept up to date, so a trade costs a step; all prices are only looked at when the
+    oldest one is renewed.
+    """
+
+    def __init__(self, last: dict[int, tuple[int, int]], episode: tuple[int, int] | None, gains: dict[int, int], stale_s: int, opens: int, closes: int) -> None:
+        self.last, self.episode, self.gains = last, episode, gains
         self.stale_s, self.opens, self.closes = stale_s, opens, closes
-        held = json.loads(text) if text else {"last": {}, "episode": None}
-        self.last, self.episode = held["last"], held["episode"]
+        self.total, self.changed = sum(p for p, _ in last.values()), set()
+        self._find_oldest()
 
-    def text(self) -> str:
-        return json.dumps({"last": self.last, "episode": self.episode})
+    def _find_oldest(self) -> None:
+        self.oldest = min(((at, c) for c, (_, at) in self.last.items()), default=None)
 
     def _off(self, members: int, sec: int) -> int | None:
-        if len(self.last) < members or any(sec - at > self.stale_s for _, at in self.last.values()):
+        if len(self.last) < members or sec - self.oldest[0] > self.stale_s:
             return None
-        return abs(sum(p for p, _ in self.last.values()) - 100)
+        return abs(self.total - 100)
+
+    def _price(self, condition: int, sec: int, pc: int) -> None:
+        self.total += pc - self.last.get(condition, (0, 0))[0]
+        self.last[condition] = (pc, sec)
+        self.changed.add(condition)
+        if self.oldest is None or self.oldest[1] == condition:
+            self._find_oldest()
 
     def trade(self, members: int, condition: int, sec: int, pc: int, wallet: int) -> tuple | None:
         """Take a trade in; (start, peak, correctors, closer, corrective) of the episode that it ends, if any."""
         before = self._off(members, sec)
-        self.last[str(condition)] = (pc, sec)
+        self._price(condition, sec, pc)
         after = self._off(members, sec)
         if after is None:
             return None
         if self.episode is None and after > self.opens:
-            self.episode = {"start": sec, "peak": after, "gains": {}}
+            self.episode, self.gains = (sec, after), {}
         if before is None or self.episode is None:
             return None
-        now = self.episode
-        now["peak"] = max(now["peak"], before, after)
+        start, peak = self.episode
+        self.episode = start, max(peak, before, after)
         if before > after:
-            now["gains"][str(wallet)] = now["gains"].get(str(wallet), 0) + before - after
+            self.gains[wallet] = self.gains.get(wallet, 0) + before - after
         if after >= self.closes:
             return None
-        self.episode = None
-        closer = max(now["gains"], key=now["gains"].get, default=None)
-        return now["start"], now["peak"], len(now["gains"]), closer and int(closer), now["gains"].get(closer, 0)
+        closer = max(self.gains, key=self.gains.get, default=None)
+        done = (*self.episode, len(self.gains), closer, self.gains.get(closer, 0))
+        self.episode, self.gains = None, {}
+        return done
+
 
+_EPISODE = ["family", "start", "peak", "correctors", "closer", "corrective"]
 
-def episodes(stream: DataFrame, stale_s: int = 172_800, opens: int = 5, closes: int = 2) -> DataFrame:
-    """Price-sum episodes of families as a stream; state is a family's last prices and its open episode.
 
-    Needs family, members (how many candidates the family has), condition_id, seq (a total order), sec, pc, wallet.
+class _Episodes(StatefulProcessor):
+    """Typed state of a family: a map of last prices, a map of the open episode's gains, the episode, and one timer.
+
+    The timer stands where the oldest price goes stale. Once the watermark has passed it, stale prices are removed: a missing
+    price and a stale one leave the sum undefined alike, so nothing changes but the state's size.
     """
-    names = ["family", "start", "peak", "correctors", "closer", "corrective"]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = _PriceSum(state.get[0] if state.exists else None, stale_s, opens, closes)
-        rows = pd.concat(list(batches)).sort_values("seq")[["members", "condition_id", "sec", "pc", "wallet"]]
-        done = [(key[0], *out) for row in rows.itertuples(index=False) if (out := held.trade(*map(int, row)))]
-        state.update((held.text(),))
-        yield pd.DataFrame(done, columns=names).astype({"closer": "Int64"})
-
-    columns = ["family", "members", "condition_id", "seq", "sec", "pc", "wallet"]
-    schema = ", ".join(f"{n} bigint" for n in names)
-    return stream.select(*columns).groupBy("family").applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, stale_s: int, opens: int, closes: int) -> None:
+        self.rules = stale_s, opens, closes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getMapState("last", "condition bigint", "pc bigint, sec bigint")
+        self.gains = handle.getMapState("gains", "wallet bigint", "gain bigint, place bigint")
+        self.episode = handle.getValueState("episode", "start bigint, peak bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _held(self) -> _PriceSum:
+        last = {k[0]: (v[0], v[1]) for k, v in self.last.iterator()} if self.last.exists() else {}
+        gains = sorted(((v[1], k[0], v[0]) for k, v in self.gains.iterator()) if self.gains.exists() else ())  # in order of first gains
+        found = self.episode.get() if self.episode.exists() else None
+        return _PriceSum(last, (found[0], found[1]) if found else None, {w: g for _, w, g in gains}, *self.rules)
+
+    def _wake(self, held: _PriceSum) -> None:
+        """One timer: where the oldest price goes stale."""
+        at = (held.oldest[0] + self.rules[0] + 1) * 1000 if held.oldest else None
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if at != before:
+            if before is not None and before in set(self.handle.listTimers()):
+                self.handle.deleteTimer(before)
+            if at is None:
+                self.timer.clear()
+            else:
+                self.handle.registerTimer(at)
+                self.timer.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self._held()
+        given = pd.concat(list(rows)).sort_values("seq")[["members", "condition_id", "sec", "pc", "wallet"]]
+        done = [(key[0], *out) for row in given.itertuples(index=False) if (out := held.trade(*map(int, row)))]
+        for c in held.changed:
+            self.last.updateValue((c,), held.last[c])
+        self.gains.clear()
+        for place, (w, g) in enumerate(held.gains.items()):
+            self.gains.updateValue((w,), (g, place))
+        if held.episode:
+            self.episode.update(held.episode)
+        else:
+            self.episode.clear()
+        self._wake(held)
+        if done:
+            yield pd.DataFrame(done, columns=_EPISODE).astype({"closer": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        held = self._held()
+        for c in [c for c, (_, at) in held.last.items() if at + self.rules[0] < now]:
+            self.last.removeKey((c,))
+            del held.last[c]
+        self.timer.clear()
+        held._find_oldest()
+        self._wake(held)
+        yield from ()
+
+
+def episodes(stream: DataFrame, stale_s: int = 172_800, opens: int = 5, closes: int = 2, late: str = "1 hour") -> DataFrame:
+    """Price-sum episodes of families as a stream; state is a family's last prices and its open episode (_Episodes).
+
+    Needs family, members (how many candidates the family has), condition_id, seq (a total order), sec, pc, wallet. Rows more than
+    `late` behind the watermark of sec may find their prices gone. Sets the RocksDB state store, which typed state needs.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.select("family", "members", "condition_id", "seq", "sec", "pc", "wallet", F.timestamp_seconds("sec").alias("at")).withWatermark("at", late)
+    schema = ", ".join(f"{n} bigint" for n in _EPISODE)
+    return rows.groupBy("family").transformWithStateInPandas(_Episodes(stale_s, opens, closes), schema, "Append", "EventTime")
