@@ -215,20 +215,31 @@ def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return lhs.join(rhs, [*keys, "_b"]).where(near).drop("_b")
 
 
+def _islands(df: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
+    """keys, low, high, _k: merged intervals, numbered in their order over all keys.
+
+    A sweep: each interval adds one at its low end and takes one off after its high end; where the running sum leaves 0 an
+    island begins, where it comes back one ends. The sum runs by ranges of (keys, place), so a key of any size is spread.
+    """
+    ends = F.array(F.struct(F.col(low).cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col(high) + 1).cast("long").alias("at"), F.lit(-1).alias("d")))
+    events = df.where(F.col(low).isNotNull() & F.col(high).isNotNull()).select(*keys, F.explode(ends).alias("_e"))
+    events = events.groupBy(*keys, F.col("_e.at").alias("_at")).agg(F.sum("_e.d").alias("_d")).where("_d <> 0")
+    swept = global_running(events, [*keys, "_at"], {"_open": (F.col("_d"), "sum")}).where("_open = 0 or _open = _d")
+    numbered = global_running(swept, [*keys, "_at"], {"_k": ((F.col("_open") > 0).cast("long"), "sum")})
+    return numbered.groupBy(*keys, "_k").agg(F.min("_at").alias(low), (F.max("_at") - 1).alias(high))
+
+
 def merged_intervals(df: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
-    """Closed integer intervals of a key, merged where they overlap or touch."""
-    w = Window.partitionBy(*keys).orderBy(low, high)
-    before = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = df.withColumn("_new", (before.isNull() | (F.col(low) > before + 1)).cast("int"))
-    islands = starts.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "_k").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("_k")
+    """Closed integer intervals of a key, merged where they overlap or touch. Intervals with a null end are left out."""
+    return _islands(df, keys, low, high).drop("_k")
 
 
 def interval_gaps(df: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFrame:
     """What merged intervals of a key leave open between them."""
-    w = Window.partitionBy(*keys).orderBy(low)
-    following = merged_intervals(df, keys, low, high).withColumn("_n", F.lead(low).over(w))
-    return following.where("_n is not null").select(*keys, (F.col(high) + 1).alias("gap_low"), (F.col("_n") - 1).alias("gap_high"))
+    found = cut(_islands(df, keys, low, high))
+    later = found.select((F.col("_k") - 1).alias("_k"), *[F.col(k).alias(f"_next_{k}") for k in keys], F.col(low).alias("_n"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_next_{k}")) for k in keys], F.lit(True))
+    return found.join(later, "_k").where(same).select(*keys, (F.col(high) + 1).alias("gap_low"), (F.col("_n") - 1).alias("gap_high"))
 
 
 def bh_qvalues(df: DataFrame, p: str, tie: Sequence[str]) -> DataFrame:

@@ -233,7 +233,7 @@ def either_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of blocks merged where they touch."""
     chunks = raw_fills(spark, sf_dir).selectExpr("tx_hash div 50 * 50 as lo", "tx_hash div 50 * 50 + 20 as hi").distinct()
-    return merged_intervals(chunks.withColumn("one", F.lit(1)), ["one"], "lo", "hi").select("lo", "hi")
+    return merged_intervals(chunks, [], "lo", "hi").select("lo", "hi")
 
 
 @query("select 'big' as name, count(*) as n_rows, cast(2 as bigint) as n_columns from part where p_size > 25 union all select 'small', count(*), 3 from part where p_size <= 25")

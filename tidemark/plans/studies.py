@@ -10,7 +10,7 @@ from tidemark.operators import classify, fees
 from tidemark.operators import concentration as C
 from tidemark.operators import paths as P
 from tidemark.operators import skill as K
-from tidemark.operators.primitives import cleaned_map, correlation, dedup_narrow, global_ntile, merged_last, ratio, slope
+from tidemark.operators.primitives import cleaned_map, correlation, dedup_narrow, global_ntile, merged_last, ratio, running, slope
 from tidemark.plans.base_sql import fills_sql, raw_sql
 from tidemark.plans.exclusive import _COVERED
 from tidemark.plans.flow import _pnl_cte
@@ -79,9 +79,9 @@ def merged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fills_sql("select token_id, count(*) as fills, count(*) filter (where side is distinct from prev) as turns from (select *, lag(side) over (partition by token_id order by sec, tx_hash, evt_index) as prev from f) group by 1"))
 def side_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a token's flow turns; the first fill differs from nothing, by null-safe inequality."""
-    w = Window.partitionBy("token_id").orderBy("sec", *TIE)
-    turned = ~F.col("side").eqNullSafe(F.lag("side").over(w))
-    return fills(spark, sf_dir).select("token_id", turned.alias("turned")).groupBy("token_id").agg(F.count(F.lit(1)).alias("fills"), F.count_if("turned").alias("turns"))
+    held = running(fills(spark, sf_dir).select("token_id", "sec", *TIE, "side"), ["token_id"], ["sec", *TIE], 2_592_000, before={"prior": F.col("side")})
+    turned = ~F.col("side").eqNullSafe(F.col("prior"))
+    return held.select("token_id", turned.alias("turned")).groupBy("token_id").agg(F.count(F.lit(1)).alias("fills"), F.count_if("turned").alias("turns"))
 
 
 @query(fills_sql("select f.category, round(avg((outcome_index = winner)::int - d.rate), 8) as excess from f join (select floor(pc / 10.0) as k, avg((outcome_index = winner)::int) as rate from f group by 1) d on floor(f.pc / 10.0) = d.k group by 1"))
