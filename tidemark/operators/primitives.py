@@ -223,8 +223,8 @@ def _islands(df: DataFrame, keys: Sequence[str], low: str, high: str) -> DataFra
     """
     ends = F.array(F.struct(F.col(low).cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col(high) + 1).cast("long").alias("at"), F.lit(-1).alias("d")))
     events = df.where(F.col(low).isNotNull() & F.col(high).isNotNull()).select(*keys, F.explode(ends).alias("_e"))
-    events = events.groupBy(*keys, F.col("_e.at").alias("_at")).agg(F.sum("_e.d").alias("_d")).where("_d <> 0")
-    swept = global_running(events, [*keys, "_at"], {"_open": (F.col("_d"), "sum")}).where("_open = 0 or _open = _d")
+    events = cut(events.groupBy(*keys, F.col("_e.at").alias("_at")).agg(F.sum("_e.d").alias("_d")).where("_d <> 0"))  # ranges are sampled: read, not made, twice
+    swept = cut(global_running(events, [*keys, "_at"], {"_open": (F.col("_d"), "sum")}).where("_open = 0 or _open = _d"))
     numbered = global_running(swept, [*keys, "_at"], {"_k": ((F.col("_open") > 0).cast("long"), "sum")})
     return numbered.groupBy(*keys, "_k").agg(F.min("_at").alias(low), (F.max("_at") - 1).alias(high))
 
