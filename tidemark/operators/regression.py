@@ -16,9 +16,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.tails import gamma_p
-from tidemark.operators.primitives import small_side
-from tidemark.sources.store import delete, written
+from tidemark.functions.tails import gamma_p, normal_sf_column
+from tidemark.operators.primitives import global_row_number, global_running, small_side
+from tidemark.sources.store import cut, delete, written
 
 #: Sign vectors are enumerated up to so many clusters.
 ENUMERATED = 12
@@ -178,3 +178,41 @@ def coefficients(fit: Fit) -> DataFrame:
     """term, beta, se, t as a table."""
     rows = [(t, float(b), float(s), float(b / s) if s else None) for t, b, s in zip(fit.terms, fit.beta, fit.se())]
     return fit.sums.sparkSession.createDataFrame(rows, "term string, beta double, se double, t double")
+
+
+def clustered_mean(df: DataFrame, keys: Sequence[str], cluster: str, value: str) -> DataFrame:
+    """keys, n, clusters, mean, se: the mean of `value` with its error by cluster, sqrt(G / (G - 1)) and all; null with one cluster.
+
+    Rows are summed by cluster, then clusters by keys, from three sums of products: neither a hot cluster nor a hot key is ever
+    brought together. Rows with a null value or cluster are left out.
+    """
+    v = F.col(value)
+    by = df.where(v.isNotNull() & F.col(cluster).isNotNull()).groupBy(*keys, cluster).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.sum(v.cast("double")).alias("_s"))
+    pair = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = by.groupBy(*keys).agg(F.sum("_n").alias("_N"), F.count(F.lit(1)).alias("clusters"), F.sum("_s").alias("_S"), pair("_s", "_s").alias("_ss"), pair("_s", "_n").alias("_sn"), pair("_n", "_n").alias("_nn"))
+    mean, g = F.col("_S") / F.col("_N"), F.col("clusters")
+    meat = F.greatest(F.col("_ss") - 2 * mean * F.col("_sn") + mean * mean * F.col("_nn"), F.lit(0.0))
+    return sums.select(*keys, F.col("_N").cast("bigint").alias("n"), "clusters", mean.alias("mean"), F.when(g > 1, F.sqrt(meat) / F.col("_N") * F.sqrt(g / (g - 1))).alias("se"))
+
+
+def trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """keys, n, mean, slope, se, t, p, range: the least-squares trend of y on x, by keys, with a two-sided normal p.
+
+    slope is null where x does not vary; se, t and p also with fewer than three rows or a perfect fit. Rows with a null are left out.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sums = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), F.covar_pop("_x", "_y").alias("_xy"), F.var_pop("_x").alias("_xx"), F.var_pop("_y").alias("_yy"), (F.max("_y") - F.min("_y")).alias("range"))
+    xx = F.nullif(F.col("_xx"), F.lit(0.0))
+    left = F.col("n") * (F.col("_yy") - F.col("_xy") * F.col("_xy") / xx)
+    se = F.when((F.col("n") > 2) & (left > 1e-12 * F.col("n") * F.col("_yy")), F.sqrt(left / (F.col("n") - 2) / (F.col("n") * xx)))
+    found = sums.withColumns({"slope": F.col("_xy") / xx, "se": se}).withColumn("t", F.col("slope") / F.col("se"))
+    return found.select(*keys, "n", "mean", "slope", "se", "t", F.when(F.col("t").isNotNull(), 2 * normal_sf_column(F.abs("t"))).alias("p"), "range")
+
+
+def holm(df: DataFrame, p: str, tie: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """A column rejected: Holm's step-down over all rows, false where p is null. By ranges, so tests may be many."""
+    tests = cut(global_row_number(df.where(F.col(p).isNotNull()), [p, *tie], "_i"))
+    m = tests.agg(F.count(F.lit(1)).alias("_m"))
+    fits = (F.col(p) <= alpha / (F.col("_m") - F.col("_i") + 1)).cast("int")
+    down = global_running(tests.crossJoin(F.broadcast(m)), ["_i"], {"_all": (fits, "min")})  # one row: the number of tests
+    return down.withColumn("rejected", F.col("_all") == 1).drop("_i", "_m", "_all").unionByName(df.where(F.col(p).isNull()).withColumn("rejected", F.lit(False)))

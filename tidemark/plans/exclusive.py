@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.operators import families
 from tidemark.operators.effects import exact_quantile
 from tidemark.operators.primitives import average_ranks, correlation, global_row_number, ratio
+from tidemark.operators.regression import clustered_mean
 from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills, written_fills
@@ -218,3 +219,56 @@ def band_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = families.gap_intervals(rows, "scope", ["n_bin", "vol_bin"], "fee", "adev", "row", draws=40)
     return out.select("scope", "n", *[F.round(c, 8).alias(c) for c in ("gap", "low", "high")])
+
+
+@query(fills_sql("""select (select cast(median(families) as double) from (select families from cl order by n desc, closer limit 50)) as top50_median_families, round(corr(a, b), 6) as rho_recurring, count(a) as both_halves_recurring, any_value(distinct_closers) as distinct_closers, round(any_value(distinct_closers)::double / any_value(wallets), 8) as closers_share,
+ any_value(span_days) as span_days, round(any_value(drag), 6) as fee_drag_bps, round(any_value(net), 6) as net_margin_bps, any_value(all_net) as all_net from (
+ select rank() over (order by h1) + (count(*) over (partition by h1) - 1) / 2.0 as a, rank() over (order by h2) + (count(*) over (partition by h2) - 1) / 2.0 as b from (
+  select closer, count(*) filter (where start < mid) as h1, count(*) filter (where start >= mid) as h2 from ec where family in (select family from ec group by 1 having min(start) < any_value(mid) and max(start) >= any_value(mid)) group by 1) where h1 > 0 and h2 > 0) right join (
+ select (select count(*) from cl) as distinct_closers, count(*) as wallets, (select (max(start) - min(start)) // 86400 from eps) as span_days, cast(sum(pnl) * 10000 - sum(fees) as bigint) as all_net, sum(fees) filter (where wins > 0)::double / sum(vol) filter (where wins > 0) as drag,
+  (sum(pnl) filter (where wins > 0) * 10000 - sum(fees) filter (where wins > 0))::double / sum(vol) filter (where wins > 0) as net from ww) on true""", *_WALLETS, "ec as (select e.*, mid from eps e, (select median(start) as mid from eps where closer is not null) where closer is not null)", "cl as (select closer, count(*) as n, count(distinct family) as families from ec group by 1)"))
+def correction_generalism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first fifty closers work in many families, closers persist within families that recur, how many there are, and
+    their margin after fees (N05). Fees and net amounts are in millionths of a dollar."""
+    wallets, found = _closers(spark, sf_dir)
+    span = found.agg(F.expr("(max(start) - min(start)) div 86400").alias("span_days"))
+    found = found.where("closer is not null")
+    found = cut(found.crossJoin(F.broadcast(found.agg(F.median("start").alias("mid")))).withColumn("early", F.col("start") < F.col("mid")))
+    closers = cut(found.groupBy("closer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("family").alias("families")))
+    first = closers.orderBy(F.col("n").desc(), "closer").limit(50).agg(F.median("families").alias("top50_median_families"))
+    recurring = found.groupBy("family").agg(F.bool_or("early").alias("a"), F.bool_or(~F.col("early")).alias("b")).where("a and b")
+    halves = found.join(recurring, "family", "left_semi").groupBy("closer").agg(F.count_if("early").alias("h1"), F.count_if(~F.col("early")).alias("h2")).where("h1 > 0 and h2 > 0")
+    rho = average_ranks(cut(halves), ["h1", "h2"]).agg(F.round(correlation("rank_h1", "rank_h2"), 6).alias("rho_recurring"), F.count(F.lit(1)).alias("both_halves_recurring"))
+    mine = lambda c: F.sum(F.when(F.col("wins") > 0, F.col(c)))
+    money = wallets.agg(
+        F.count_if(F.col("wins") > 0).alias("distinct_closers"), F.round(ratio(F.count_if(F.col("wins") > 0), F.count(F.lit(1))), 8).alias("closers_share"),
+        F.round(ratio(mine("fees"), mine("vol")), 6).alias("fee_drag_bps"), F.round(ratio(mine("pnl") * 10_000 - mine("fees"), mine("vol")), 6).alias("net_margin_bps"), (F.sum("pnl") * 10_000 - F.sum("fees")).alias("all_net"),
+    )
+    return money.crossJoin(F.broadcast(rho)).crossJoin(F.broadcast(first)).crossJoin(F.broadcast(span))
+
+
+#: Hours that a price is carried: candidates of the synthetic tape trade every few days.
+CARRY_H = 720
+
+_BY_HOUR = [
+    "hp as (select family, condition_id, hour, arg_max(pc, (sec, tx_hash, evt_index)) as p from f where outcome_index = 0 group by 1, 2, 3)",
+    "hl as (select *, lead(hour) over (partition by family, condition_id order by hour) as nxt from hp)",
+    "hg as (select family, hour, any_value(month) as month, sum(cents) as vol, 2 * sum(case when fee_paying then cents else 0 end) > sum(cents) as fee from f where outcome_index = 0 group by 1, 2)",
+    "hb as (select family, condition_id, min(hour) as lo, max(hour) as hi from hp group by 1, 2)",
+    "hs as (select g.family, g.hour, count(*) as alive, cast(sum(p) as bigint) as total from hg g join hl s on g.family = s.family and g.hour >= s.hour and g.hour <= s.hour + 720 and (s.nxt is null or g.hour < s.nxt) group by 1, 2)",
+    "hc as (select hs.family, hs.hour, total, month, fee from hs join hg using (family, hour) join (select g.family, g.hour, count(*) as candidates from hg g join hb on g.family = hb.family and g.hour between lo and hi group by 1, 2) a using (family, hour) where candidates >= 3 and alive >= 0.8 * candidates)",
+]
+
+
+@query(fills_sql("""select month, fee, cast(sum(n) as bigint) as hours, count(*) as families, round(any_value(mean), 8) as mean_dev, round(case when count(*) > 1 then sqrt(sum(power(s - mean * n, 2))) / sum(n) * sqrt(count(*) / (count(*) - 1.0)) end, 7) as se
+ from (select *, sum(s) over w / sum(n) over w as mean from (select month, fee, family, count(*) as n, sum((total - 100) / 100.0) as s from hc group by 1, 2, 3) window w as (partition by month, fee)) group by 1, 2""", *_BY_HOUR))
+def family_sum_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance of family sums from one by month and by whether fees are paid, hour by hour, with errors by family."""
+    tape = written_fills(spark, sf_dir, "family", "condition_id", "outcome_index", "hour", "month", "sec", "tx_hash", "evt_index", "pc", "cents", "fee_paying").where("outcome_index = 0")
+    per = tape.groupBy("family", "condition_id", "hour").agg(F.max_by("pc", F.struct("sec", "tx_hash", "evt_index")).alias("p"))
+    members = per.groupBy("family", "condition_id").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
+    paid = F.sum(F.when(F.col("fee_paying"), F.col("cents")).otherwise(0))
+    hours = tape.groupBy("family", "hour").agg(F.max("month").alias("month"), (2 * paid > F.sum("cents")).alias("fee"))
+    rows = families.covered_sums(per, members, CARRY_H, 3).join(hours, ["family", "hour"]).withColumn("dev", (F.col("total") - 100) / 100.0)
+    out = clustered_mean(rows, ["month", "fee"], "family", "dev")
+    return out.select("month", "fee", F.col("n").alias("hours"), F.col("clusters").alias("families"), F.round("mean", 8).alias("mean_dev"), F.round("se", 7).alias("se"))

@@ -24,4 +24,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tidemark.plans import behaviour, clustering, cohorts, designs, exclusive, fees, flow, layers, population, prices, quality, returns, studies  # noqa: F401
+    from tidemark.plans import behaviour, clustering, cohorts, designs, exclusive, fees, flow, layers, population, prices, quality, reports, returns, studies  # noqa: F401
