@@ -1,14 +1,16 @@
-"""Clustering of trade times and changes of price level by market."""
+"""Clustering of trade times, changes of price level, odd wallets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import forest as I
 from tidemark.operators import points as P
 from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import fills
+from tidemark.sources.adapters import fills, trades
+from tidemark.sources.store import cut
 
 _STEPS = 3
 
@@ -42,3 +44,15 @@ def level_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each market and day, how long its mean price is believed to have kept its level, and whether it has just changed."""
     daily = fills(spark, sf_dir).where("outcome_index = 0").groupBy("condition_id", "day").agg((F.sum("cents").cast("double") / (F.sum("q") * 100)).alias("price"))
     return P.change_points(daily, "condition_id", "day", "price", hazard=0.01, prior=(0.5, 1.0, 1.0, 0.05))
+
+
+@query()
+def odd_wallets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How easily each wallet is set apart by what it trades, how much, where and when: an isolation forest over all wallets."""
+    tape = trades(spark, sf_dir)
+    share = lambda c: F.avg(c.cast("int"))
+    per = tape.groupBy("wallet").agg(
+        F.log(F.count(F.lit(1))).alias("orders"), F.log(F.greatest(F.sum("notional"), F.lit(1))).alias("notional"), F.countDistinct("asset_id").cast("double").alias("assets"), share(F.col("side") == "BUY").alias("buys"),
+        F.avg(F.abs(F.col("pc") - 50)).alias("extremity"), share(F.expr("sec div 3600 % 24 < 6")).alias("night"),
+    )
+    return I.isolation(cut(per), "wallet", ["orders", "notional", "assets", "buys", "extremity", "night"]).select("wallet", F.round("depth", 8).alias("depth"), F.round("score", 8).alias("score"))
