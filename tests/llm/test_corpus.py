@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, minhash, pii, quality, urls, vectors
+from tidemark.llm import blocks, decontaminate, minhash, pii, quality, urls, vectors
 from tidemark.llm.common import fold, tune
 from tidemark.llm.components import components
 from tidemark.llm.registry import ORACLES, QUERIES, RULES
@@ -98,6 +98,29 @@ def test_near_duplicates_match_brute_force(spark, copies, monkeypatch, block_row
         assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (len(sets[k]), want[k], want[k] == k), copies[k]
 
 
+def test_members_near_their_centre_travel_once(spark, tmp_path):
+    """60 vectors of bytes around one centre in key 1, of which 3 are far from it but near each other; key 2 has no centre at all."""
+    rng = np.random.default_rng(3)
+    base, far = rng.integers(0, 256, (2, minhash.BANDS * minhash.ROWS), dtype=np.uint8)
+    near = [base if k < 57 else far for k in range(60)] + [rng.integers(0, 256, len(base), dtype=np.uint8) for _ in range(9)]
+    rows = [(1 if k < 60 else 2, k, 60 if k < 60 else 9, 6 if k < 60 else 3, bytearray(x.tobytes())) for k, x in enumerate(near)]
+    df = spark.createDataFrame(rows, "h long, rep long, m long, g long, sig binary")
+    marked, _ = blocks.around_centres(df, "h", "rep", minhash._most_central, minhash._near_signatures, 3)
+    got = {r.rep: r for r in marked.collect()}
+    assert len(got) == marked.count() == 69 and all(bytes(got[k].sig) == bytes(rows[k][4]) for k in got)
+    first = {got[k].centre for k in range(57)}
+    assert len(first) == 1 and first < set(range(57)) and all(got[k].centre is None for k in (57, 58, 59))
+    assert sum(got[k].centre is not None for k in range(60, 69)) == 1  # a centre is near itself alone
+    met = blocks.dealt_apart(marked, "h", "rep", lambda c: F.ceil(F.count_if(c) / 10)).where("h = 1")
+    per = {r.rep: r["count"] for r in met.groupBy("rep").count().collect()}
+    assert all(per[k] == 1 for k in range(57)) and all(per[k] == 7 for k in (57, 58, 59))  # not once for each of seven blocks
+    pairs = {(r.bi, r.bj) for r in met.select("bi", "bj").distinct().collect()}
+    assert pairs == {(0, k) for k in range(7)}
+    alike = df.where("rep < 57")
+    marked, _ = blocks.around_centres(alike, "h", "rep", minhash._most_central, minhash._near_signatures, 3)
+    assert blocks.dealt_apart(marked, "h", "rep", lambda c: F.ceil(F.count_if(c) / 10)).count() == 0
+
+
 def test_near_duplicates_edge_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, "A b c d e"), (8, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in minhash.near_duplicates(df, 4).collect())

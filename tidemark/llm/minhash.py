@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.blocks import by_group, dealt, spanning_links
+from tidemark.llm.blocks import around_centres, by_group, dealt_apart, spanning_links
 from tidemark.llm.common import delete, integer_id, map_arrow, small_or_shuffled, with_ids, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_set
@@ -84,20 +84,19 @@ def _emit(ids: np.ndarray, links: list[tuple[int, int]]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], ["a", "b"])
 
 
-def _by_signature(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    ids, sig = group.column("rep").to_numpy(), _bytes_matrix(group.column("sig"))
-    own = group.column("own").to_numpy()
-    block = own if group.column("bi")[0].as_py() != group.column("bj")[0].as_py() else None
-    near = lambda i, js: (sig[js] == sig[i]).sum(axis=1) >= AGREE
-    yield from _emit(ids, spanning_links(len(ids), _central_first(sig), near, block))
+def _most_central(group: pa.Table) -> int:
+    return int(_central_first(_bytes_matrix(group.column("sig")))[0])
 
 
-def _by_sets(percent: int):
-    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, sig = group.column("rep").to_numpy(), _bytes_matrix(group.column("sig"))
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        sizes, own = np.array([len(s) for s in sets]), group.column("own").to_numpy()
-        block = own if group.column("bi")[0].as_py() != group.column("bj")[0].as_py() else None
+def _near_signatures(group: pa.Table):
+    sig = _bytes_matrix(group.column("sig"))
+    return lambda i, js: (sig[js] == sig[i]).sum(axis=1) >= AGREE
+
+
+def _near_sets(percent: int):
+    def near_of(group: pa.Table):
+        sig, sets = _bytes_matrix(group.column("sig")), [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
 
         def near(i: int, js: np.ndarray) -> np.ndarray:
             ok = (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])) & ((sig[js] == sig[i]).sum(axis=1) >= AGREE)
@@ -110,11 +109,36 @@ def _by_sets(percent: int):
                 ok[some] = 100 * both >= percent * (sizes[i] + sizes[js[some]] - both)
             return ok
 
-        yield from _emit(ids, spanning_links(len(ids), _central_first(sig), near, block))
+        return near
+
+    return near_of
+
+
+def _linking(near_of):
+    def run(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, sig = group.column("rep").to_numpy(), _bytes_matrix(group.column("sig"))
+        block = group.column("own").to_numpy() if group.column("bi")[0].as_py() != group.column("bj")[0].as_py() else None
+        yield from _emit(ids, spanning_links(len(ids), _central_first(sig), near_of(group), block, group.column("joined").to_numpy()))
 
     return run
 
 
+def _links(small: DataFrame, large: DataFrame | None, key: str, payload: list[str], near_of, blocks, n: int) -> tuple[DataFrame, list[str]]:
+    """Links (a, b) whose components are those of all near pairs of a key, and paths to delete. Columns key, rep, sig and more.
+
+    The keys of small have one block each. large (with m and g, None if there is none): keys of more than one, first tried
+    against their centres.
+    """
+    one = [F.lit(0).alias(c) for c in ("bi", "bj", "own")]
+    met, paths, attached = small.select(key, *one, F.lit(False).alias("joined"), *payload), [], None
+    if large is not None:
+        marked, paths = around_centres(large, key, "rep", _most_central, near_of, n)
+        met = met.union(dealt_apart(marked, key, "rep", blocks).select(key, "bi", "bj", "own", "joined", *payload))
+        attached = marked.where("centre is not null").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    found = by_group(met, [key, "bi", "bj"], _linking(near_of), "a bigint, b bigint", n)
+    return found if attached is None else found.union(attached), paths
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id reachable by links), kept (doc_id = component_id).
 
@@ -123,7 +147,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
 
     Rows with equal sets become one class, represented by its least id. Classes that share a band and enough of
     their signatures form candidate groups; within a group, full sets confirm the links; components follow. Blocks
-    bound every task, whatever the size of a group (blocks.py). Texts are fetched for the members of candidate groups
+    bound every task, whatever the size of a group; members of a group beyond one block are tried against a central one, and
+    only those not near it meet the others, so near copies of one text travel once (blocks.py). Texts are fetched for the members of candidate groups
     only. Ids must be integers. Null text is empty text; texts of any length are read whole. A null id is linked with
     nothing: its component_id is null and it is kept. Rows that share an id count as one document: one component.
     An empty table gives no rows; other columns are not read.
@@ -137,9 +162,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
 
     banded = classes.select(F.explode("bands").alias("h"), "rep")
     shared, shared_path = written(banded.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "bands")
-    members = banded.join(small_or_shuffled(shared), "h").join(classes.select("rep", "sig"), "rep")
-    blocks = dealt(members, "h", "rep", F.ceil(F.col("m") / BLOCK_ROWS)).select("h", "bi", "bj", "own", "rep", "sig")
-    candidates = components(by_group(blocks, ["h", "bi", "bj"], _by_signature, "a bigint, b bigint", n))
+
+    def members(some: DataFrame) -> DataFrame:
+        return banded.join(small_or_shuffled(some), "h").join(classes.select("rep", "sig"), "rep")
+
+    def rows_fit(met: Column) -> Column:
+        return F.ceil(F.count_if(met) / BLOCK_ROWS)
+
+    huge = shared.where(F.col("m") > BLOCK_ROWS)
+    large = members(huge).withColumn("g", F.ceil(F.col("m") / BLOCK_ROWS)) if huge.head(1) else None
+    links, used = _links(members(shared.where(F.col("m") <= BLOCK_ROWS)), large, "h", ["rep", "sig"], _near_signatures, rows_fit, n)
+    candidates = components(links)
+    for path in used:
+        delete(spark, path)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of the rows whose set is the class's; a repeat that follows at once is left out."""
@@ -159,11 +194,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     texts = with_ids(rows, "doc_id", wanted.select("doc_id"), "left_semi").join(wanted, "doc_id")
     texts = texts.select("component", F.col("doc_id").alias("rep"), "text", "key", "sig")
     found, found_path = written(texts.mapInArrow(sets, "component bigint, rep bigint, n bigint, shingles binary, sig binary"), "sets")
-    weight = found.groupBy("component").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
-    g = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_ROWS))
-    blocks = dealt(found.join(weight, "component"), "component", "rep", g).select("component", "bi", "bj", "own", "rep", "shingles", "sig")
-    linked = components(by_group(blocks, ["component", "bi", "bj"], _by_sets(percent), "a bigint, b bigint", n))
-    for path in (shared_path, wanted_path, found_path):
+
+    def sets_fit(met: Column) -> Column:
+        return F.greatest(F.ceil(F.coalesce(F.sum(F.when(met, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES), F.ceil(F.count_if(met) / BLOCK_ROWS))
+
+    weight, weight_path = written(found.groupBy("component").agg(sets_fit(F.lit(True)).alias("g"), F.count("*").alias("m")), "weights")
+    huge = weight.where("g > 1")
+    large = found.join(small_or_shuffled(huge), "component") if huge.head(1) else None
+    small = found.join(weight.where("g = 1"), "component") if huge.head(1) else found
+    links, used = _links(small, large, "component", ["rep", "shingles", "sig"], _near_sets(percent), sets_fit, n)
+    linked = components(links)
+    for path in (shared_path, wanted_path, found_path, weight_path, *used):
         delete(spark, path)
 
     resolved = classes.select("key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
