@@ -3,13 +3,15 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plain import louvain
 from tidemark.operators import concentration as C
 from tidemark.operators import primitives as P
 from tidemark.operators import skill as K
-from tidemark.operators.graph import connected_components, louvain
+from tidemark.operators.graph import connected_components
 from tidemark.operators.paths import markouts
 
 
@@ -113,6 +115,18 @@ def test_ranks_and_q_values_by_ranges(spark):
     assert [got[i] for i in range(90)] == pytest.approx(list(bh_qvalues([p for _, _, p in data])))
 
 
+def test_quantiles_from_counted_values(spark):
+    rng = random.Random(8)
+    data = [(rng.choice([None, 1, 2]), rng.choice([None, 0.5, 1.25, 1.25, 7.0, rng.random()])) for _ in range(120)] + [(3, 4.0), (4, None)]
+    df = spark.createDataFrame(data, "k long, v double")
+    asked = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = {r.k: r for r in P.counted_quantiles(df, ["k"], "v", asked).collect()}
+    assert set(got) == {None, 1, 2, 3}
+    for k, r in got.items():
+        want = np.quantile([v for key, v in data if key == k and v is not None], list(asked.values()))
+        assert [r[c] for c in asked] == pytest.approx(list(want))
+
+
 def test_narrow_dedup_keeps_what_the_window_keeps(spark):
     rng = random.Random(7)
     df = spark.createDataFrame([(rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2]), rng.randrange(3)) for _ in range(80)], "k long, a long, b long")

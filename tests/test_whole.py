@@ -1,6 +1,7 @@
 """Operators do the whole job: no cap on rows, no filter that thins them out."""
 
-from tidemark.operators.graph import communities, louvain
+from tests.plain import louvain
+from tidemark.operators.graph import communities
 from tidemark.plans.registry import QUERIES, load
 
 load()

@@ -254,16 +254,39 @@ def bh_qvalues(df: DataFrame, p: str, tie: Sequence[str]) -> DataFrame:
 def average_ranks(df: DataFrame, columns: Sequence[str], ties: str = "average") -> DataFrame:
     """A column rank_<c> for each c: over all rows, ascending, ties sharing the mean place (or the first, if ties is "min").
 
-    Places are counted over distinct values, by ranges; values then meet their places by an equi-join.
+    Places are counted over distinct values, by ranges; values then meet their places by an equi-join, in which few distinct
+    values are broadcast, so that a value that most rows share stays where it is.
     """
     for c in columns:
         counts = global_running(df.groupBy(c).agg(F.count(F.lit(1)).alias("_m")), [c], {"_upto": (F.col("_m"), "sum")})
         first = F.col("_upto") - F.col("_m") + 1
         place = first + (F.col("_m") - 1) / 2.0 if ties == "average" else first.cast("double")
-        df = df.join(counts.select(c, place.alias(f"rank_{c}")), c)
+        df = df.join(small_side(cut(counts.select(c, place.alias(f"rank_{c}")))), c)
     return df
 
 
+def counted_quantiles(df: DataFrame, keys: Sequence[str], value: str, asked: dict[str, float]) -> DataFrame:
+    """keys, and a column for each quantile asked for, by straight line between neighbours; null values are left out.
+
+    Each value of a key is counted first and places run over counted values by ranges, so no task holds a key's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_m"))
+    placed = cut(global_running(counts, [*keys, value], {"_upto": (F.col("_m"), "sum")}))
+    sizes = placed.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_m")).alias("_base"), F.sum("_m").alias("_n"))
+    sizes = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_base", "_n")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.lit(True))
+    inside = placed.join(small_side(sizes), same)
+    last = F.col("_upto") - F.col("_base") - 1
+    first = last - F.col("_m") + 1
+
+    def line(q: float) -> Column:
+        at = (F.col("_n") - 1) * F.lit(q)
+        low, high = (F.max(F.when(side(at).between(first, last), F.col(value))) for side in (F.floor, F.ceil))
+        return low + (high - low) * F.max(at - F.floor(at))
+
+    return inside.groupBy(*keys).agg(*[line(q).alias(name) for name, q in asked.items()])
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), ties: str = "average") -> DataFrame:
     """Rank correlation by keys, with average ranks for ties: rank + (ties - 1) / 2; or with the first place of ties ("min")."""
     if not keys:

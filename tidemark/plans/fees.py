@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.primitives import global_ntile, ratio
+from tidemark.operators.primitives import counted_quantiles, global_ntile, ratio
 from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
 from tidemark.sources.adapters import fills, written_fills
-
+from tidemark.sources.store import cut
 
 
 @query(fills_sql("""select category, count(*) as n, round(median(r), 8) as median, round(quantile_cont(r, 0.9), 8) as p90, round(quantile_cont(r, 0.99), 8) as p99, round(avg(case when r > 0.06 then 1 else 0 end), 8) as above
  from (select category, cast(fee as double) / (pc * (100 - pc) * q * 100) as r from f where fee > 0) group by 1"""))
 def fee_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rate that each fee implies under fee = rate * p * (1 - p) * shares."""
+    """The rate that each fee implies under fee = rate * p * (1 - p) * shares. Quantiles come from counts of each rate, by ranges."""
     rate = ratio(F.col("fee"), F.col("pc") * (100 - F.col("pc")) * F.col("q") * 100)
-    paid = fills(spark, sf_dir).where("fee > 0").withColumn("r", rate)
-    q = [F.round(F.percentile("r", F.lit(p)), 8).alias(f"p{round(p * 100)}") for p in (0.9, 0.99)]
-    return paid.groupBy("category").agg(F.count("*").alias("n"), F.round(F.median("r"), 8).alias("median"), *q, F.round(F.avg((F.col("r") > 0.06).cast("int")), 8).alias("above"))
+    paid = cut(fills(spark, sf_dir).where("fee > 0").select("category", rate.alias("r")))
+    sums = paid.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg((F.col("r") > 0.06).cast("int")), 8).alias("above"))
+    q = counted_quantiles(paid, ["category"], "r", {"median": 0.5, "p90": 0.9, "p99": 0.99})
+    return sums.join(q, "category").select("category", "n", *[F.round(c, 8).alias(c) for c in ("median", "p90", "p99")], "above")
 
 
 _SHARE = "round(cast(sum(fee) as double) / (sum(cents) * 10000), 8) as fee_share"
