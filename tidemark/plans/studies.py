@@ -322,8 +322,8 @@ def fill_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(raw_sql("select month, count(distinct case when evt_index <= 4 then tx_hash end) as base, count(distinct tx_hash) as whole, round(1 - count(distinct case when evt_index <= 4 then tx_hash end)::double / count(distinct tx_hash), 8) as gain from raw group by 1"))
 def coverage_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many transactions a second source adds to the first."""
-    base = F.countDistinct(F.when(F.col("evt_index") <= 4, F.col("tx_hash")))
-    out = raw_fills(spark, sf_dir).groupBy("month").agg(base.alias("base"), F.countDistinct("tx_hash").alias("whole"))
+    per = raw_fills(spark, sf_dir).groupBy("tx_hash", "month").agg(F.min("evt_index").alias("least"))  # where the tape lies, by transaction
+    out = per.groupBy("month").agg(F.count_if(F.col("least") <= 4).alias("base"), F.count("tx_hash").alias("whole"))
     return out.withColumn("gain", F.round(1 - ratio(F.col("base"), F.col("whole")), 8))
 
 
