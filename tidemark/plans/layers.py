@@ -12,7 +12,7 @@ from tidemark.operators.primitives import interval_gaps, merged_intervals
 from tidemark.plans.base_sql import fills_sql, raw_sql
 from tidemark.plans.registry import query
 from tidemark.sources import chain, readers, sinks
-from tidemark.sources.adapters import fills, raw_fills, table
+from tidemark.sources.adapters import fills, raw_fills, table, written_fills
 from tidemark.sources.store import new_path
 
 _CUSTOMER = "c_custkey as id, c_nationkey as nation, c_mktsegment as segment"
@@ -174,7 +174,7 @@ def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(fills_sql("select token_id % 6 as bucket, count(*) as n, cast(sum(cents) as bigint) as cents from f group by 1"))
 def resumed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job in buckets that is stopped and resumed (K07, K08): finished buckets stand, an unfinished one is done again."""
-    path, tape = new_path(spark, "buckets"), fills(spark, sf_dir).withColumn("bucket", F.col("token_id") % 6)
+    path, tape = new_path(spark, "buckets"), written_fills(spark, sf_dir, "token_id", "cents").withColumn("bucket", F.col("token_id") % 6)
     job = lambda k: tape.where(F.col("bucket") == k).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
     sinks.write_buckets(spark, {k: job(k) for k in range(3)}, path)
     sinks.write_buckets(spark, {k: job(k) for k in range(6)}, path)
