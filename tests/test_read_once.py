@@ -7,7 +7,7 @@ from tidemark.plans.registry import QUERIES, load
 load()
 
 
-@pytest.mark.parametrize("name", ["resumed_buckets", "winner_cotrade"])
+@pytest.mark.parametrize("name", ["resumed_buckets", "winner_cotrade", "episodes", "correction_profit"])
 def test_the_tape_is_read_once(name, spark, sf_dir, monkeypatch):
     scans, write = [], type(spark.range(0).write).parquet
 

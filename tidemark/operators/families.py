@@ -39,6 +39,7 @@ def price_sums(trades: DataFrame, stale_s: int = 172_800, least: int = 3, chunk:
     family but running totals, by chunks of time.
     """
     known = running(trades, ["family", "condition_id"], _ORDER, chunk, before={"prev_pc": F.col("pc"), "prev_sec": F.col("sec")})
+    known = cut(known)  # read twice by each running total
     late = F.coalesce((F.col("sec") - F.col("prev_sec") > stale_s).cast("bigint"), F.lit(0))
     known = known.withColumns({"late": late, "fresh": F.col("prev_sec").isNull().cast("bigint"), "step": F.col("pc") - F.coalesce("prev_pc", F.lit(0))})
     members = trades.groupBy("family", "condition_id").agg(F.max("sec").alias("sec"))
@@ -61,7 +62,7 @@ def _credited(sums: DataFrame, opens: int, closes: int, chunk: int) -> DataFrame
     """Trades with mag (what they take off the distance; negative if they add to it) and the number of their episode."""
     both = F.col("off_before").isNotNull() & F.col("off_after").isNotNull()
     state = F.when(F.col("off_after") > opens, 1).when(both & (F.col("off_after") < closes), 0)
-    held = running(sums, ["family"], _ORDER, chunk, before={"prior": state})
+    held = cut(running(sums, ["family"], _ORDER, chunk, before={"prior": state}))
     prior, state = F.coalesce("prior", F.lit(0)), F.coalesce(state, F.lit(-1))
     starts = ((prior == 0) & (state == 1)).cast("bigint")
     held = held.withColumns({"starts": starts, "ends": ((prior == 1) & (state == 0)).cast("int"), "inside": (prior == 1) | (starts == 1), "mag": F.when(both, F.col("off_before") - F.col("off_after"))})
@@ -74,7 +75,7 @@ def episodes(sums: DataFrame, opens: int = 5, closes: int = 2, chunk: int = 2_59
     sums: as price_sums gives them. Per episode: start, peak distance, how many wallets took something off, and the closer:
     the wallet with the largest total taken off (ties by its first such trade), null if there is none.
     """
-    inside = _credited(sums, opens, closes, chunk).where("inside")
+    inside = cut(_credited(sums, opens, closes, chunk).where("inside"))
     peak = F.when(F.col("mag").isNotNull(), F.greatest("off_before", "off_after")).when(F.col("starts") == 1, F.col("off_after"))
     whole = inside.groupBy("family", "episode").agg(F.min("sec").alias("start"), F.max(peak).alias("peak"), F.max("ends").alias("ended"))
     gains = inside.where("mag > 0").groupBy("family", "episode", "wallet").agg(F.sum("mag").alias("gain"), F.min(F.struct(*_ORDER)).alias("at"))

@@ -55,8 +55,12 @@ def _tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(spark, sf_dir).where("outcome_index = 0 and pc > 0 and pc < 100").withColumn("wallet", F.col("taker"))
 
 
+#: What price sums and wallets' accounts read of the tape. It is read several times, so it is written once.
+_READ = ["family", "condition_id", "sec", "tx_hash", "evt_index", "pc", "wallet", "side", "q", "cents", "winner", "fee"]
+
+
 def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return families.price_sums(_tape(spark, sf_dir), STALE_S)
+    return families.price_sums(cut(_tape(spark, sf_dir).select(*_READ[:7])), STALE_S)
 
 
 @query(fills_sql("select tx_hash, evt_index, pc, dense_rank() over (order by family) - 1 as fid, dense_rank() over (order by condition_id) - 1 as tid, dense_rank() over (order by wallet) - 1 as wid from e0", _E))
@@ -87,7 +91,7 @@ def wallet_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _closers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Per wallet its volume, profit, fees, trades and episodes closed; and the episodes."""
-    tape = _tape(spark, sf_dir)
+    tape = cut(_tape(spark, sf_dir).select(*_READ))
     found = cut(families.episodes(cut(families.price_sums(tape, STALE_S))))
     bought = F.when(F.col("side") == "BUY", F.col("q")).otherwise(-F.col("q"))
     cash = F.when(F.col("side") == "BUY", -F.col("cents")).otherwise(F.col("cents"))
