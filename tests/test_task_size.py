@@ -40,3 +40,16 @@ def test_shuffled_rows_keep_their_order_over_buckets(spark, monkeypatch):
     assert {tuple(r) for r in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("AS _h#") < plan.index("RepartitionByExpression")
+
+
+def test_ranges_of_intervals_grow_in_number(spark, monkeypatch):
+    from tidemark.operators import primitives
+
+    monkeypatch.setattr(primitives, "RANGE_ROWS", 20)
+    ranges = []
+    read = primitives.cut
+    monkeypatch.setattr(primitives, "cut", lambda df: ("_range" in df.columns and ranges.append(df.rdd.getNumPartitions())) or read(df))
+    df = spark.range(100).selectExpr("id % 3 as k", "id * 10 as lo", "id * 10 + 5 as hi")
+    gaps = sorted(map(tuple, primitives.interval_gaps(df, ["k"], "lo", "hi").collect()))
+    assert gaps == sorted((i % 3, i * 10 + 6, i * 10 + 29) for i in range(97))
+    assert max(ranges) >= 10
