@@ -11,10 +11,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.tails import normal_cdf, normal_sf_column, student_cdf
+from tidemark.sources.store import cut
 
 
 def seeded(*parts: object) -> np.random.Generator:
@@ -54,31 +56,48 @@ def bootstrap_ci(x: Sequence[float], statistic: Callable[[np.ndarray], float] =
     return tuple(np.quantile(draws, [(1 - level) / 2, (1 + level) / 2]))
 
 
-def sign_flip_p(x: Sequence[float], n: int = 2000, key: object = 0) -> float:
-    """One-sided permutation p of a positive sum under random signs: (hits + 1) / (n + 1)."""
-    x, rng, hits = np.asarray(x, float), seeded("sign-flip", key), 0
+def sign_flip_ps(x: np.ndarray, n: int, key: object) -> tuple[float, float]:
+    """One-sided permutation p of a positive and of a negative sum under the same random signs: (hits + 1) / (n + 1)."""
+    rng, seen, up, down = seeded("sign-flip", key), x.sum(), 0, 0
     for at in range(0, n, 256):
         signs = rng.integers(0, 2, (min(256, n - at), len(x))) * 2 - 1
-        hits += int((signs @ x >= x.sum() - 1e-12).sum())
-    return (hits + 1) / (n + 1)
+        drawn = signs @ x
+        up += int((drawn >= seen - 1e-12).sum())
+        down += int((-drawn >= -seen - 1e-12).sum())
+    return (up + 1) / (n + 1), (down + 1) / (n + 1)
+
+
+def sign_flip_p(x: Sequence[float], n: int = 2000, key: object = 0) -> float:
+    """One-sided permutation p of a positive sum under random signs."""
+    return sign_flip_ps(np.asarray(x, float), n, key)[0]
+
+
+#: Values of a bucket of keys, about: what a task tries at once.
+BUCKET_VALUES = 100_000
 
 
 def sign_flip(df: DataFrame, key: str, value: str, least: int = 10, n: int = 2000, cap: int = 5000) -> DataFrame:
     """Per key: n, total, z under random signs, and the Monte Carlo p that as much (p_up) or as little (p_down) comes by chance.
 
     p is null below `least` values and normal above `cap`, so a key of any size is only summed: no task holds more than cap
-    values of a key. Values are sorted, so the order of rows does not matter.
+    values of a key. Values are sorted, so the order of rows does not matter. Keys are tried by buckets; rows are written once.
     """
-    x = F.col(value).cast("double")
-    sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.sqrt(F.sum(x * x)).alias("_sd"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, k = np.sort(pdf[value].to_numpy(float)), pdf[key].iloc[0]
-        return pd.DataFrame([(k, sign_flip_p(x, n, k), sign_flip_p(-x, n, k))], columns=[key, "_up", "_down"])
-
-    tried = df.select(key, value).join(sums.where(F.col("n").between(least, cap)).select(key), key, "left_semi")
+    rows = cut(df.select(key, F.col(value).cast("double").alias("_x")))
+    x = F.col("_x")
+    sums = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"), F.sqrt(F.sum(x * x)).alias("_sd")))
+
+    def run(table: pa.Table) -> pa.Table:
+        of, first = np.unique(table[key].to_numpy(), return_inverse=True)
+        values = table["_x"].to_numpy()
+        order = np.lexsort((values, first))
+        parts = np.split(values[order], np.cumsum(np.bincount(first))[:-1])
+        up, down = zip(*[sign_flip_ps(part, n, k) for k, part in zip(of, parts)])
+        return pa.table({key: pa.array(of, table[key].type), "_up": up, "_down": down})
+
+    buckets = max(1, -(-rows.count() // BUCKET_VALUES))
+    tried = rows.join(sums.where(F.col("n").between(least, cap)).select(key), key, "left_semi").withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)))
     kind = df.schema[key].dataType.simpleString()
-    found = tried.groupBy(key).applyInPandas(run, f"`{key}` {kind}, _up double, _down double")
+    found = tried.repartition(min(buckets, 4_096), "_b").groupBy("_b").applyInArrow(run, f"`{key}` {kind}, _up double, _down double")
     z = F.coalesce(F.col("total") / F.nullif("_sd", F.lit(0.0)), F.lit(0.0))
     out = sums.withColumn("z", z).join(found, key, "left")
     tail = normal_sf_column(F.col("z"))
