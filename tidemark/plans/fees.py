@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.primitives import counted_quantiles, global_ntile, ratio
 from tidemark.plans.base_sql import fills_sql
 from tidemark.plans.registry import query
-from tidemark.sources.adapters import fills, written_fills
+from tidemark.sources.adapters import fills, table, task_count, written_fills
 from tidemark.sources.store import cut
 
 
@@ -24,6 +24,9 @@ def fee_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(q, "category").select("category", "n", *[F.round(c, 8).alias(c) for c in ("median", "p90", "p99")], "above")
 
 
+#: Tasks over which the wallets of a busy market and day are spread, at most.
+SLICES = 16
+
 _SHARE = "round(cast(sum(fee) as double) / (sum(cents) * 10000), 8) as fee_share"
 
 
@@ -117,8 +120,17 @@ def builder_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(fills_sql(f"select condition_id, day, count(*) as n, cast(sum(cents) as bigint) as notional, count(distinct taker) as takers, count(distinct maker) as makers, min(pc) as low, max(pc) as high, {_SHARE} from f group by 1, 2"))
 def market_day_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fills(spark, sf_dir).groupBy("condition_id", "day").agg(
-        F.count("*").alias("n"), F.sum("cents").alias("notional"), F.countDistinct("taker").alias("takers"), F.countDistinct("maker").alias("makers"), F.min("pc").alias("low"), F.max("pc").alias("high"), _fee_share()
+    """Each fill is told once of its taker, with its amounts, and once of its maker. A cell's wallets are dealt in slices, into tasks by rows."""
+    cell, wallet = ["condition_id", "day"], F.col("_e.wallet")
+    amounts = ("cents", "pc", "fee")
+    of = lambda who, role: F.struct(F.col(who).alias("wallet"), F.lit(role).alias("role"), *[(F.col(c) if role == 0 else F.lit(None).cast("bigint")).alias(c) for c in amounts])
+    ends = fills(spark, sf_dir).select(*cell, F.explode(F.array(of("taker", 0), of("maker", 1))).alias("_e")).select(*cell, F.pmod(F.hash(wallet), F.lit(SLICES)).alias("slice"), "_e.*")
+    dealt = ends.repartition(task_count(spark, 2 * table(spark, sf_dir, "lineitem").count()), *cell, "slice")
+    sums = [F.sum("cents").alias("cents"), F.min("pc").alias("low"), F.max("pc").alias("high"), F.sum("fee").alias("fee")]
+    known = dealt.groupBy(*cell, "slice", "role", "wallet").agg(F.count(F.lit(1)).alias("n"), *sums)
+    wallets = lambda role: F.count(F.when(F.col("role") == role, F.col("wallet")))
+    return known.groupBy(*cell).agg(
+        F.sum(F.when(F.col("role") == 0, F.col("n")).otherwise(0)).alias("n"), F.sum("cents").alias("notional"), wallets(0).alias("takers"), wallets(1).alias("makers"), F.min("low").alias("low"), F.max("high").alias("high"), _fee_share()
     )
 
 
