@@ -5,7 +5,7 @@ Each writes what it reads to the shared folder first, so that its rows can be he
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.primitives import interval_gaps, merged_intervals
@@ -104,7 +104,7 @@ _HEX = lambda c: F.lpad(F.lower(F.hex(F.col(c).cast("bigint"))), 64, "0")  # noq
 _WHO = lambda c: F.concat(F.lit("0x"), _HEX(c))
 
 
-def _log(tape: DataFrame, words: list[str], kind: str = "fill") -> DataFrame:
+def _log(tape: DataFrame, words: list[str], kind: str | Column = "fill") -> DataFrame:
     topics = F.array(F.lit(kind), _WHO("tx_hash"), _WHO("maker"), _WHO("taker"))
     return tape.select(F.col("sec").alias("block_number"), F.col("tx_hash").cast("string").alias("tx_hash"), "evt_index", topics.alias("topics"), F.concat(F.lit("0x"), *map(_HEX, words)).alias("data"))
 
@@ -132,8 +132,10 @@ def decoded_logs_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     tape = fills(spark, sf_dir).withColumns({
         "w0": F.when(buys, 0).otherwise(1), "w1": F.col("token_id"), "w2": F.when(buys, usdc).otherwise(shares), "w3": F.when(buys, shares).otherwise(usdc), "w4": F.col("fee"),
     })
-    full = ["w0", "w1", "w2", "w3", "w4"]
-    logs = _log(tape, full, "fill").union(_log(tape.where("is_taker"), full, "match")).union(_log(tape.where("fee_paying"), ["w4"], "fee"))
+    kinds = F.array_compact(F.array(F.lit("fill"), F.when(F.col("is_taker"), "match"), F.when(F.col("fee_paying"), "fee")))
+    logs = _log(tape, ["w0", "w1", "w2", "w3", "w4"], F.array_join(kinds, ",")).withColumn("kind", F.explode(F.split(F.col("topics")[0], ",")))  # words are written once for all kinds
+    data = F.when(F.col("kind") == "fee", F.concat(F.lit("0x"), F.right("data", F.lit(64)))).otherwise(F.col("data"))  # a fee has its last word only
+    logs = logs.withColumns({"data": data, "topics": F.array("kind", *[F.col("topics")[k] for k in (1, 2, 3)])})
     out = chain.decode_events_v2(logs, {"fill": "fill", "match": "match", "fee": "fee"})
     return out.select("tx_hash", "evt_index", "event", "side", "token_id", F.round("price", 9).alias("price"), "fee_raw")
 
