@@ -55,3 +55,30 @@ def test_counted_q_values_are_those_of_rows(spark):
     want = {r.p: r.q_value for r in P.bh_qvalues(df, "p", ["i"]).groupBy("p").agg(F.max("q_value").alias("q_value")).collect()}
     got = P.bh_counted(df.withColumn("one", F.lit(1)), "p", "one").collect()
     assert {r.p: r.q_value for r in got} == pytest.approx(want)
+
+
+def _sets(spark):
+    rng = random.Random(7)
+    rows = {(rng.randrange(4), rng.choice("BS"), rng.randrange(9), rng.randrange(1, 40)): rng.randrange(-5, 90) for _ in range(600)}
+    return spark.createDataFrame([(s // 2, s, side, t * 100, w, n) for (s, side, t, w), n in rows.items()], "condition_id long, asset_id long, side string, sec long, wallet long, notional long")
+
+
+def test_blocks_grow_but_parts_do_not(spark, monkeypatch):
+    trades = _sets(spark)
+    want = sorted(tuple(r) for r in G.cotrade_pairs(trades, 100, 1).collect())
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    monkeypatch.setattr(pairs, "BLOCKS", 2)
+    cells, sizes = pairs.sent_blocks(G._presence(trades, 100), G._CELL, "condition_id", G._STRATUM, "bucket"), []
+    assert cells.agg(F.max("_j")).first()[0] + 1 == 4  # 13 parts of 3 wallets, four a block
+    blocks = [r.asDict() for r in cells.where("_i = _j").collect()]
+    for row in blocks:
+        sizes += [len(p[0]) for p in pairs._parts(pairs._unpack(row))]
+    assert max(sizes) == 3 and sum(sizes) == 39
+    assert sorted(tuple(r) for r in pairs.block_pairs(cells, 1).collect()) == want
+
+
+def test_tasks_count_alike_pairs_themselves(spark):
+    sent = pairs.sent_blocks(G._presence(_sets(spark), 100), G._CELL, "condition_id", G._STRATUM, "bucket")
+    want = {(r.events, r.expected): r["count"] for r in pairs.block_pairs(sent, 1, expect=True).groupBy("events", "expected").count().collect()}
+    rows = pairs.block_pairs(sent, 1, expect=True, count=True).collect()
+    assert {(r.events, r.expected): r._m for r in rows} == want and len(rows) == len(want)

@@ -220,8 +220,9 @@ def entity_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ex as (select x.wallet as a, y.wallet as b, sum(x.k * y.k / x.n::double) as m from k x join k y using (asset_id, side) where x.wallet < y.wallet group by 1, 2)"))
 def cotrade_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poisson tails of shared buckets and their q-values over all pairs that were seen."""
-    out = G.cotrade_null(trades(spark, sf_dir), COTRADE_S)
-    return out.select("a", "b", "events", F.round("expected", 6).alias("expected"), F.round("p", 7).alias("p"), F.round("q_value", 7).alias("q_value"))
+    shown = {f"shown_{c}": F.round(c, digits) for c, digits in (("expected", 6), ("p", 7), ("q_value", 7))}
+    out = G.cotrade_null(trades(spark, sf_dir), COTRADE_S, **shown)
+    return out.select("a", "b", "events", *[F.col(f"shown_{c}").alias(c) for c in ("expected", "p", "q_value")])
 
 
 @query(trades_sql("""select name, half, count(*) as n, cast(sum(notional) as bigint) as notional, round(avg(won), 8) as win_rate, round(avg(won) - avg(implied) / 100, 8) as gap from ls join b using (wallet)
